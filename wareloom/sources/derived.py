@@ -50,6 +50,11 @@ def _captures(df, **columns):
     )
 
 
+def as_captures(df):
+    """Columns of `df` in the order and types of the capture schema."""
+    return _captures(df, **{name: F.col(name) for name in column_names(CAPTURES)})
+
+
 def hosted_pages(spark, sf_dir, *more):
     """Pages with the host and language found in their URL."""
     return table(spark, sf_dir, "pages").select(
