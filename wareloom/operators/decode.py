@@ -41,7 +41,9 @@ def _decoder(one):
                 for body, argument in zip(bodies, arguments)
             )
 
-    return F.pandas_udf(run, _DECODED)
+    # Not deterministic as far as the optimizer knows: a filter on decoded columns
+    # would otherwise be pushed below and decode everything a second time.
+    return F.pandas_udf(run, _DECODED).asNondeterministic()
 
 
 def decode_captures(captures):

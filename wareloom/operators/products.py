@@ -1,13 +1,17 @@
 """Product objects in the JSON-LD scripts of captured HTML."""
 
-import pandas as pd
+import sys
+
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from wareloom.functions import jsonld
 from wareloom.functions.text import body_text
 
+# Workers may not have the package installed, so the helpers travel with the job.
 cloudpickle.register_pickle_by_value(jsonld)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A page is read as HTML tokens with one regular expression, so that scripts inside
 # comments, raw-text elements and attribute values are not taken for scripts. All
@@ -66,41 +70,76 @@ def _script_parts(script):
     )
 
 
+def _with_scripts(captures):
+    """Captures with the body replaced by `_scripts`, the page's JSON-LD scripts (type, text)."""
+    keep = [name for name in captures.columns if name not in ("body", "products")]
+    found = F.transform(F.regexp_extract_all("_text", F.lit(_SCRIPTS), F.lit(2)), _script_parts)
+    wanted = F.filter(found, lambda s: (s["type"] == jsonld.JSONLD_TYPE) | s["type"].contains("&"))
+    usable = F.col("fetch_error").isNull() & F.col("status_code").between(200, 299)
+    texts = captures.select(*keep, F.when(usable, body_text(F.col("body"))).alias("_text"))
+    return texts.select(*keep, F.when(may_have_jsonld(F.col("_text")), wanted).alias("_scripts"))
+
+
 def jsonld_scripts(captures):
-    """JSON-LD script texts of 2xx captures as (capture columns but the body, script_ord, script_type, script).
+    """JSON-LD script texts of 2xx captures as (url, script_ord, script_type, script, batch_id, seq).
 
     `script_ord` counts the page's JSON-LD scripts. A type with character references
     is let through for the extraction stage to decide.
     """
-    keep = [name for name in captures.columns if name not in ("body", "script_ord", "script_type", "script")]
-    text = body_text(F.col("body"))
-    usable = captures.filter(
-        F.col("fetch_error").isNull() & F.col("status_code").between(200, 299) & may_have_jsonld(text)
+    pages = _with_scripts(captures.select("url", "status_code", "fetch_error", "body", "batch_id", "seq"))
+    rows = pages.select("url", F.posexplode_outer("_scripts").alias("script_ord", "_script"), "batch_id", "seq")
+    return rows.filter(F.col("script_ord").isNotNull()).select(
+        "url",
+        "script_ord",
+        F.col("_script.type").alias("script_type"),
+        F.col("_script.text").alias("script"),
+        "batch_id",
+        "seq",
     )
-    found = F.transform(F.regexp_extract_all(text, F.lit(_SCRIPTS), F.lit(2)), _script_parts)
-    wanted = F.filter(found, lambda s: (s["type"] == jsonld.JSONLD_TYPE) | s["type"].contains("&"))
-    rows = usable.select(*keep, F.posexplode(wanted).alias("script_ord", "_script"))
-    return rows.select(*keep, "script_ord", F.col("_script.type").alias("script_type"), F.col("_script.text").alias("script"))
 
 
 def _product_lists():
-    def run(types: pd.Series, scripts: pd.Series) -> pd.Series:
+    def run(types: pa.Array, texts: pa.Array) -> pa.Array:
         decoder = jsonld.literal_decoder()
-        return pd.Series([jsonld.script_products(*pair, decoder) for pair in zip(types, scripts)], dtype=object)
-
-    return F.pandas_udf(run, "array<string>")
+        rows = []
+        for page_types, page_texts in zip(types.to_pylist(), texts.to_pylist()):
+            scripts = enumerate(zip(page_types or (), page_texts or ()))
+            rows.append([
+                {"script_ord": script, "product_ord": place, "raw_json": product}
+                for script, pair in scripts
+                for place, product in enumerate(jsonld.script_products(*pair, decoder))
+            ])
+        return pa.array(rows, _PRODUCT_LIST)
+
+    # Not deterministic as far as the optimizer knows, or filters on its result would
+    # be pushed below and walk every script twice.
+    return F.arrow_udf(run, "array<struct<script_ord:int,product_ord:int,raw_json:string>>").asNondeterministic()
+
+
+_PRODUCT_LIST = pa.list_(
+    pa.struct([("script_ord", pa.int32()), ("product_ord", pa.int32()), ("raw_json", pa.string())])
+)
 
 
-def extract_products(captures):
-    """Products as (url, script_ord, product_ord, raw_json, batch_id, seq).
+def with_products(captures):
+    """Captures with `body` replaced by `products`, the page's products in document order.
 
-    Map-only: the prefilter, the HTML tokens and the type test run on the JVM, so
-    Python sees nothing but the text of JSON-LD scripts.
+    Map-only, one pass over the bodies: the prefilter, the HTML tokens and the type
+    test run on the JVM, so Python sees nothing but the text of JSON-LD scripts. The
+    rows that come out are narrow and serve both outcomes and products.
     """
-    scripts = jsonld_scripts(captures.select("url", "status_code", "fetch_error", "body", "batch_id", "seq"))
-    listed = scripts.select(
-        "url", "script_ord", _product_lists()("script_type", "script").alias("products"), "batch_id", "seq"
-    )
-    return listed.select(
-        "url", "script_ord", F.posexplode("products").alias("product_ord", "raw_json"), "batch_id", "seq"
-    )
+    pages = _with_scripts(captures)
+    keep = [name for name in pages.columns if name != "_scripts"]
+    return pages.select(*keep, _product_lists()(F.col("_scripts.type"), F.col("_scripts.text")).alias("products"))
+
+
+def explode_products(pages):
+    """Rows (url, script_ord, product_ord, raw_json, batch_id, seq) from `with_products`."""
+    rows = pages.select("url", F.explode_outer("products").alias("product"), "batch_id", "seq")
+    return rows.filter(F.col("product").isNotNull()).select("url", "product.*", "batch_id", "seq")
+
+
+def extract_products(captures):
+    """Products as (url, script_ord, product_ord, raw_json, batch_id, seq)."""
+    narrow = captures.select("url", "status_code", "fetch_error", "body", "batch_id", "seq")
+    return explode_products(with_products(narrow))

@@ -93,6 +93,7 @@ def append_products(spark, sf_dir):
     spanish = F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1) == "es"
     known = _seeded(spark, sf_dir, _candidates(spark, sf_dir).filter(~spanish))
     found = products.extract_products(derived.product_pages(spark, sf_dir)).drop("batch_id")
+    found = RunTables(spark, "products").write(found, "found")
     for batch in (0, 1, 1):
         rows = found.withColumn("batch_id", F.lit(batch).cast("bigint"))
         state.append_products(merges.products_with_ids(rows, known, FIRST))

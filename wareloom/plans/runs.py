@@ -13,7 +13,6 @@ from wareloom.operators.frontier import (
 )
 from wareloom.operators.merges import (
     apply_outcomes,
-    next_id,
     products_with_ids,
     seed_pages,
     upsert_pages,
@@ -22,14 +21,15 @@ from wareloom.operators.merges import (
 from wareloom.operators.joins import lookup_join
 from wareloom.operators.ordering import with_positions
 from wareloom.operators.outcomes import classify_outcomes
-from wareloom.operators.products import extract_products
+from wareloom.operators.products import explode_products, with_products
 from wareloom.operators.reports import resolve_summary, scrape_summary
 from wareloom.operators.resolve import resolve_sitemaps
 from wareloom.operators.robots import extract_robots_sitemaps
 from wareloom.session import RunTables
 
 
-def _hosts(urls, column="url"):
+def hosts_of(urls, column="url"):
+    """Hosts of a URL column, for reading only their part of the state."""
     return urls.select(url_host(F.col(column)).alias("host"))
 
 
@@ -51,8 +51,8 @@ def resolve_run(captures, robots, state, as_of, batch_id=0):
     records, pages = resolve_sitemaps(documents, starts, batch_id, tables)
     records, pages = tables.write(records, "records"), tables.write(pages, "pages")
 
-    known = state.read("sitemaps", _hosts(records, "loc"))
-    merged = upsert_sitemaps(known, records, as_of, id_start=next_id(state.read("sitemaps"), "sitemap_id"))
+    known = state.read("sitemaps", hosts_of(records, "loc"))
+    merged = upsert_sitemaps(known, records, as_of, id_start=state.last_id("sitemaps"))
     state.replace("sitemaps", merged)
     save_pages(pages, state, as_of)
     return resolve_summary(records, pages), records, pages
@@ -60,8 +60,8 @@ def resolve_run(captures, robots, state, as_of, batch_id=0):
 
 def save_pages(pages, state, as_of, order=("batch_id", "seq")):
     """Upsert page URLs (loc, lastmod, source_sitemap) into stored state."""
-    known = state.read("pages", _hosts(pages, "loc"))
-    state.replace("pages", upsert_pages(known, pages, as_of, order, next_id(state.read("pages"), "page_id")))
+    known = state.read("pages", hosts_of(pages, "loc"))
+    state.replace("pages", upsert_pages(known, pages, as_of, order, state.last_id("pages")))
 
 
 def pending_run_candidates(state, limit=0, skip=0):
@@ -74,11 +74,11 @@ def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True
     """Candidates of a run over listed URLs: sliced, seeded, and with `resume` only unvisited ones."""
     tables = RunTables(candidates.sparkSession, "candidates")
     chosen = tables.write(slice_candidates(candidates, skip, limit), "chosen")
-    known = state.read("pages", _hosts(chosen))
-    state.replace("pages", seed_pages(known, chosen, as_of, id_start=next_id(state.read("pages"), "page_id")))
+    known = state.read("pages", hosts_of(chosen))
+    state.replace("pages", seed_pages(known, chosen, as_of, id_start=state.last_id("pages")))
     if not resume:
         return chosen
-    return pending_from_candidates(chosen, state.read("pages", _hosts(chosen))).select("url", "cand_ord")
+    return pending_from_candidates(chosen, state.read("pages", hosts_of(chosen))).select("url", "cand_ord")
 
 
 def scrape_run(candidates, captures, state, as_of, batch_id=0):
@@ -95,36 +95,36 @@ def scrape_run(candidates, captures, state, as_of, batch_id=0):
     checked = tables.write(filter_allowed(chosen, allowed_domains(chosen)), "checked")
 
     wanted = checked.filter("allowed").select("url").distinct()
-    usable = decode_captures(captures.join(wanted, "url", "left_semi"))
-    # One row per URL, so that a candidate listed twice stores its products twice.
-    found = extract_products(usable).groupBy("url").agg(
-        F.collect_list(F.struct("script_ord", "product_ord", "raw_json")).alias("found")
-    )
+    responses = with_products(decode_captures(captures.join(wanted, "url", "left_semi")))
     responses = tables.write(
-        usable.select("url", "fetch_error", "status_code", "status_text", "duration_ms", F.lit(True).alias("captured")),
+        responses.select(
+            "url", "fetch_error", "status_code", "status_text", "duration_ms", "products", F.lit(True).alias("captured")
+        ),
         "responses",
     )
-    fetched = checked.join(responses, "url", "left").select(
+    # One response per URL, joined to candidates that may repeat: a page listed twice
+    # is scraped twice and stores its products twice.
+    joined = lookup_join(checked, responses, "url", "left")
+    batch = F.lit(batch_id).cast("bigint").alias("batch_id")
+    fetched = joined.select(
         "url",
         "allowed",
         F.when(F.col("captured").isNull(), F.lit("not captured")).otherwise(F.col("fetch_error")).alias("fetch_error"),
         "status_code",
         "status_text",
         "duration_ms",
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
+        "products",
+        batch,
         F.col("cand_ord").alias("seq"),
     )
-    outcomes = tables.write(classify_outcomes(fetched), "outcomes")
-    products = lookup_join(checked.filter("allowed").select("url", "cand_ord"), found, "url").select(
-        "url", F.explode("found").alias("product"), F.lit(batch_id).cast("bigint").alias("batch_id")
-    )
-    products = tables.write(products.select("url", "product.*", "batch_id"), "products")
-    store_scrape(outcomes, products, state, as_of)
+    fetched = tables.write(fetched, "fetched")
+    outcomes = classify_outcomes(fetched)
+    store_scrape(outcomes, explode_products(fetched.filter("allowed")), state, as_of)
     return scrape_summary(outcomes, state.read("structured_products")), outcomes
 
 
 def store_scrape(outcomes, products, state, as_of):
     """Store products first, then mark the pages; both steps can be repeated safely."""
-    known = state.read("pages", _hosts(outcomes))
+    known = state.read("pages", hosts_of(outcomes))
     state.append_products(products_with_ids(products, known, as_of))
     state.replace("pages", apply_outcomes(known, outcomes, as_of))

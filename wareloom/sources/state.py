@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from wareloom.operators.merges import next_id
 from wareloom.schemas import PAGES, SITEMAPS, STRUCTURED_PRODUCTS
 from wareloom.session import delete_path, path_exists
 
 _SCHEMAS = {"pages": PAGES, "sitemaps": SITEMAPS, "structured_products": STRUCTURED_PRODUCTS}
 _PARTITIONS = {"pages": ["host"], "sitemaps": ["host"], "structured_products": ["host", "batch_id"]}
 
+_IDS = {"pages": "page_id", "sitemaps": "sitemap_id"}
+
 # Up to this many hosts a read is narrowed by a literal list, which prunes folders
 # at planning time; beyond it a semi join does the same at run time.
 PRUNE_HOSTS = 5_000
@@ -22,22 +25,25 @@ def host_or_fail(host, url):
 class CrawlState:
     """Tables `pages`, `sitemaps` and `structured_products` under one root folder.
 
-    A change touches the partitions it has rows for and no others. It is written in
-    full next to the table first and then swapped in with a dynamic partition
-    overwrite; a run that dies in between is completed by the next one that opens
-    the state. One writer at a time.
+    A change touches the partitions it has rows for and no others. Merged pages and
+    sitemaps are written in full next to the table first and then swapped in with a
+    dynamic partition overwrite; a run that dies in between is completed by the next
+    one that opens the state. One writer at a time.
     """
 
     def __init__(self, spark, root):
         self.spark = spark
         self.root = root.rstrip("/")
-        for table in _SCHEMAS:
+        for table in _IDS:
             if path_exists(spark, f"{self._staged(table)}/_SUCCESS"):
                 self._publish(table)
 
     def _path(self, table):
         return f"{self.root}/{table}"
 
+    def _mark(self, table):
+        return f"{self.root}/_last_id/{table}"
+
     def _staged(self, table):
         return f"{self.root}/_staged/{table}"
 
@@ -54,30 +60,50 @@ class CrawlState:
             return rows.filter(F.col("host").isin(named))
         return rows.join(wanted, "host", "left_semi")
 
+    def last_id(self, table):
+        """Highest id ever given out for the table, without scanning the table.
+
+        The mark is raised before rows with new ids are published, so a crash can
+        leave gaps but never give an id twice.
+        """
+        if path_exists(self.spark, f"{self._mark(table)}/_SUCCESS"):
+            return self.spark.read.schema("last_id bigint").parquet(self._mark(table)).first()["last_id"]
+        return next_id(self.read(table), _IDS[table])
+
     def replace(self, table, rows):
         """Replace the partitions `rows` has with exactly these rows."""
         placed = rows.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
-        # The hint makes adaptive execution split hosts with many rows over several
-        # tasks and put small ones together, so files come out evenly sized.
-        keys = _PARTITIONS[table]
-        placed.hint("rebalance", *keys).write.mode("overwrite").parquet(self._staged(table))
+        placed.write.mode("overwrite").parquet(self._staged(table))
+        staged = self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table))
+        top = staged.agg(F.greatest(F.max(_IDS[table]), F.lit(self.last_id(table))).alias("last_id"))
+        top.write.mode("overwrite").parquet(self._mark(table))
         self._publish(table)
 
     def _publish(self, table):
         staged = self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table))
+        self._overwrite(table, staged)
+        delete_path(self.spark, self._staged(table))
+
+    def _overwrite(self, table, rows):
+        # The hint makes adaptive execution split hosts with many rows over several
+        # tasks and put small ones together, so files come out evenly sized.
         keys = _PARTITIONS[table]
         (
-            staged.hint("rebalance", *keys)
+            rows.hint("rebalance", *keys)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .parquet(self._path(table))
         )
-        delete_path(self.spark, self._staged(table))
 
     def append_products(self, products):
-        """Append products; writing a batch again replaces that batch instead of doubling it."""
-        self.replace("structured_products", products)
+        """Append products; writing a batch again replaces that batch instead of doubling it.
+
+        A batch owns its partitions, so it needs no staging: a run that dies is
+        repeated and writes the same partitions again.
+        """
+        placed = products.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
+        self._overwrite("structured_products", placed)
 
 
 def write_state(df, path):

@@ -5,10 +5,10 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from wareloom.operators.decode import decode_captures
-from wareloom.operators.merges import next_id, seed_pages
+from wareloom.operators.merges import apply_outcomes, products_with_ids, seed_pages
 from wareloom.operators.outcomes import classify_outcomes
-from wareloom.operators.products import extract_products
-from wareloom.plans.runs import _hosts, store_scrape
+from wareloom.operators.products import explode_products, with_products
+from wareloom.plans.runs import hosts_of
 from wareloom.schemas import CAPTURES
 from wareloom.session import RunTables
 
@@ -33,23 +33,28 @@ def unseen_urls(arriving, pages):
 def process_captures(captures, batch_id, state, as_of, seed=False):
     """Bring one micro-batch of captures into `state`.
 
-    A replayed batch replaces its own products and sets the same outcomes again.
-    With `seed`, URLs never seen before become pages first.
+    Bodies are read once and not stored again. A replayed batch replaces its own
+    products and sets the same outcomes again. With `seed`, URLs never seen before
+    become pages first.
     """
     tables = RunTables(captures.sparkSession, f"batch-{batch_id}")
-    batch = tables.write(decode_captures(captures), "captures")
+    scraped = with_products(decode_captures(captures))
+    batch = tables.write(
+        scraped.select("url", "fetch_error", "status_code", "status_text", "duration_ms", "products", "seq").withColumn(
+            "batch_id", F.lit(batch_id).cast("bigint")
+        ),
+        "scraped",
+    )
     if batch.isEmpty():
         return
+    pages = state.read("pages", hosts_of(batch))
     if seed:
-        arriving = batch.select("url", F.col("seq").alias("cand_ord"))
-        known = state.read("pages", _hosts(arriving))
-        fresh = unseen_urls(arriving, known)
-        start = next_id(state.read("pages"), "page_id")
-        state.replace("pages", seed_pages(known, fresh, as_of, id_start=start))
-    products = tables.write(extract_products(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint")), "products")
-    fetched = batch.select("url", "fetch_error", "status_code", "status_text", "duration_ms", "batch_id", "seq")
-    outcomes = tables.write(classify_outcomes(fetched), "outcomes")
-    store_scrape(outcomes, products, state, as_of)
+        fresh = unseen_urls(batch.select("url", F.col("seq").alias("cand_ord")), pages)
+        pages = tables.write(seed_pages(pages, fresh, as_of, id_start=state.last_id("pages"), tables=tables), "pages")
+    outcomes = classify_outcomes(batch)
+    products = products_with_ids(explode_products(batch), pages, as_of)
+    state.append_products(products)
+    state.replace("pages", apply_outcomes(pages, outcomes, as_of))
     tables.drop()
 
 
