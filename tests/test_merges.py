@@ -1,0 +1,129 @@
+import pytest
+
+from wareloom.operators import merges
+from wareloom.operators.outcomes import classify_outcomes
+from wareloom.operators.reports import count_pages, count_pending, count_products, scrape_log, scrape_summary
+from wareloom.schemas import OUTCOMES, PAGES, RESOLVED_PAGES, SITEMAPS
+
+T1, T2, T3 = "2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-03 00:00:00"
+PAGE_BATCH = "loc string, lastmod string, source_sitemap string, batch_id long, seq long"
+RECORDS = "loc string, discovered_from string, status string, type string, error string, delay_ms long, duration_ms long, batch_id long, seq long"
+
+
+@pytest.fixture
+def no_pages(spark):
+    return spark.createDataFrame([], PAGES)
+
+
+def rows(df, *names):
+    return sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
+def fixed(df):
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def test_state_round_trip(spark, no_pages):
+    batch = spark.createDataFrame([("https://example.com/product", "2026-01-01", "https://example.com/sitemap.xml", 0, 0)], PAGE_BATCH)
+    pages = no_pages
+    for _ in range(2):
+        pages = fixed(merges.upsert_pages(pages, batch, T1))
+    assert count_pages(pages).first().pages == 1
+    assert count_pending(pages).first().pending == 1
+    done = spark.createDataFrame([("https://example.com/product", "success", 200, 25, None, "scraped", 0, 0)], OUTCOMES)
+    pages = fixed(merges.apply_outcomes(pages, done, T2))
+    assert count_pending(pages).first().pending == 0
+    product = spark.createDataFrame([("https://example.com/product", 0, 0, '{"@type":"Product"}', 0, 0), ("unknown", 0, 0, "{}", 0, 0)],
+                                    "url string, script_ord int, product_ord int, raw_json string, batch_id long, seq long")
+    assert count_products(merges.products_with_ids(product, pages, T2)).first().products == 1
+
+
+def test_failure_counts_as_visit(spark, no_pages):
+    seeds = spark.createDataFrame([("https://example.com/fail", 0)], "url string, cand_ord long")
+    pages = fixed(merges.seed_pages(no_pages, seeds, T1))
+    failed = spark.createDataFrame([("https://example.com/fail", "failed", 403, 50, "forbidden", "failed", 0, 0)], OUTCOMES)
+    page = merges.apply_outcomes(pages, failed, T2).first()
+    assert (page.scrape_status, page.status_code, page.duration_ms, page.error) == ("failed", 403, 50, "forbidden")
+    assert page.visited_at is not None
+
+
+def test_upsert_pages_rules(spark, no_pages):
+    first = spark.createDataFrame([("b", "d1", "s1", 0, 5), ("a", "", "s1", 0, 1), ("b", None, "", 0, 6), ("c", "d2", "s2", 0, 0)], PAGE_BATCH)
+    pages = fixed(merges.upsert_pages(no_pages, first, T1))
+    assert rows(pages, "page_id", "url", "source_sitemap", "lastmod", "scrape_status") == [
+        (1, "c", "s2", "d2", "pending"), (2, "a", "s1", None, "pending"), (3, "b", None, "d1", "pending")]
+    second = spark.createDataFrame([("c", None, None, 1, 0), ("d", "d4", "s4", 1, 1), ("a", "d5", "s5", 1, 2), ("a", None, "s6", 1, 3)], PAGE_BATCH)
+    done = spark.createDataFrame([("c", "success", 200, 1, None, "scraped", 0, 0)], OUTCOMES)
+    pages = fixed(merges.upsert_pages(fixed(merges.apply_outcomes(pages, done, T2)), second, T3))
+    assert rows(pages, "page_id", "url", "source_sitemap", "lastmod", "scrape_status") == [
+        (1, "c", None, "d2", "success"), (2, "a", "s6", "d5", "pending"), (3, "b", None, "d1", "pending"), (4, "d", "s4", "d4", "pending")]
+    stamps = {r.url: (str(r.created_at), str(r.updated_at), r.visited_at is not None) for r in pages.collect()}
+    assert stamps == {"a": (T1, T3, False), "b": (T1, T1, False), "c": (T1, T3, True), "d": (T3, T3, False)}
+
+
+def test_seeding_drops_the_source(spark, no_pages):
+    pages = fixed(merges.upsert_pages(no_pages, spark.createDataFrame([("a", "d", "s", 0, 0)], PAGE_BATCH), T1))
+    seeds = spark.createDataFrame([("n", 0), ("a", 1), ("n", 2)], "url string, cand_ord long")
+    assert rows(merges.seed_pages(pages, seeds, T2), "page_id", "url", "source_sitemap", "lastmod") == [(1, "a", None, "d"), (2, "n", None, None)]
+
+
+def test_array_orders(spark, no_pages):
+    batch = spark.createDataFrame([("a", "x", "late", 0, [2, 0, 10]), ("a", "y", "early", 0, [2, 0, 9]), ("b", "z", "s", 0, [1, 5])], RESOLVED_PAGES)
+    assert rows(merges.upsert_pages(no_pages, batch, T1), "page_id", "url", "source_sitemap", "lastmod") == [(1, "b", "s", "z"), (2, "a", "late", "x")]
+
+
+def test_upsert_sitemaps_takes_nulls(spark):
+    empty = spark.createDataFrame([], SITEMAPS)
+    first = spark.createDataFrame([("s", "robots.txt", "success", "urlset", "", 1, 2, 0, 0)], RECORDS)
+    state = fixed(merges.upsert_sitemaps(empty, first, T1))
+    second = spark.createDataFrame([("s", "p", "success", "urlset", None, 0, 0, 1, 0), ("s", "q", "failed", None, "boom", 3, 4, 1, 1)], RECORDS)
+    row = merges.upsert_sitemaps(state, second, T2).first()
+    assert (row.sitemap_id, row.discovered_from, row.status, row.type, row.error, row.delay_ms, row.duration_ms) == (1, "q", "failed", None, "boom", 3, 4)
+    assert (str(row.created_at), str(row.updated_at)) == (T1, T2)
+
+
+def test_merge_laws(spark, no_pages):
+    data = [(f"u{i % 17}", None if i % 3 else f"d{i}", f"s{i}" if i % 4 else None, i // 10, i) for i in range(60)]
+    names = ("page_id", "url", "source_sitemap", "lastmod", "scrape_status", "created_at")
+    whole = spark.createDataFrame(data, PAGE_BATCH)
+    once = fixed(merges.upsert_pages(no_pages, whole, T1))
+    again = merges.upsert_pages(once, whole, T1)
+    assert rows(again, *names) == rows(once, *names)
+    halves = fixed(merges.upsert_pages(no_pages, spark.createDataFrame(data[:30], PAGE_BATCH), T1))
+    halves = merges.upsert_pages(halves, spark.createDataFrame(data[30:], PAGE_BATCH), T1)
+    assert rows(halves, *names) == rows(once, *names)
+
+
+def test_last_outcome_wins_and_unknown_urls_do_nothing(spark, no_pages):
+    pages = fixed(merges.seed_pages(no_pages, spark.createDataFrame([("a", 0), ("b", 1)], "url string, cand_ord long"), T1))
+    outcomes = spark.createDataFrame([
+        ("a", "success", 200, 5, None, "scraped", 1, 0), ("a", "failed", 0, 1, "x", "failed", 0, 9), ("z", "success", 200, 1, None, "scraped", 0, 1)], OUTCOMES)
+    assert rows(merges.apply_outcomes(pages, outcomes, T2), "url", "scrape_status", "error") == [("a", "success", None), ("b", "pending", None)]
+
+
+def test_classification_and_reports(spark):
+    fetched = spark.createDataFrame(
+        [
+            ("skip", False, "x", 200, "200 OK", 9, None, 0, 0),
+            ("net", True, "dial tcp", None, None, 7, None, 0, 1),
+            ("http", True, None, 403, "403 Forbidden", 50, None, 0, 2),
+            ("parse", True, None, 200, "200 OK", 5, "bad html", 0, 3),
+            ("edge", True, None, 300, "300 Multiple Choices", 5, None, 0, 4),
+            ("ok", True, None, 204, "204 No Content", 3, None, 0, 5),
+        ],
+        "url string, allowed boolean, fetch_error string, status_code int, status_text string, duration_ms long, extract_error string, batch_id long, seq long",
+    )
+    outcomes = classify_outcomes(fetched)
+    assert [tuple(r)[:6] for r in outcomes.orderBy("seq").collect()] == [
+        ("skip", "failed", 0, 0, "URL outside allowed domains", "skipped"),
+        ("net", "failed", 0, 7, "dial tcp", "failed"),
+        ("http", "failed", 403, 50, "unexpected status 403 Forbidden", "failed"),
+        ("parse", "failed", 200, 5, "bad html", "failed"),
+        ("edge", "failed", 300, 5, "unexpected status 300 Multiple Choices", "failed"),
+        ("ok", "success", 204, 3, None, "scraped"),
+    ]
+    lines = [r.line for r in scrape_log(outcomes).orderBy("position").collect()]
+    assert lines[2] == "[failed]\t[3/6]\t403\t50ms\thttp\tunexpected status 403 Forbidden"
+    assert lines[5] == "[scraped]\t[6/6]\t204\t3ms\tok"
+    assert scrape_summary(outcomes, spark.range(4)).first().asDict() == dict(pages_scraped=6, failures=5, stored_products=4)
+    assert scrape_summary(outcomes.filter("false"), spark.range(0)).first().asDict() == dict(pages_scraped=0, failures=0, stored_products=0)

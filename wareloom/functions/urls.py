@@ -18,8 +18,8 @@ _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 # leading colon.
 _CONTROL = r"[\x00-\x1F\x7F]"
 _BROKEN_ESCAPE = r"^[^?#]*%(?![0-9A-Fa-f]{2})|#.*%(?![0-9A-Fa-f]{2})"
-_BAD_PORT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[[^\]/?#]*\]|[^/?#:@\[]*):[^/?#]*[^0-9/?#]"
-_BAD_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?[^/?#]*[ \\^`{|}]"
+_BAD_PORT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?+(?:\[[^\]/?#]*\]|[^/?#:@\[]*):[^/?#]*[^0-9/?#]"
+_BAD_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?+[^/?#]*[ \\^`{|}]"
 _NO_SCHEME = r"^:"
 
 
