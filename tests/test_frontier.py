@@ -69,7 +69,7 @@ def test_allowed_domains(spark):
 @pytest.mark.parametrize("small_rows", [0, 1000])
 def test_filter_allowed(spark, monkeypatch, small_rows):
     join = joins.small_or_lookup_join
-    monkeypatch.setattr(frontier, "small_or_lookup_join", lambda *a: join(*a, small_rows=small_rows))
+    monkeypatch.setattr(frontier, "small_or_lookup_join", lambda *a, **k: join(*a, small_rows=small_rows, **k))
     domains = spark.createDataFrame([("a.com",), ("b.com",)], "host string")
     urls = ["https://a.com/1", "https://A.com/1", "https://b.com:1/2", "https://c.com", "/x", "https://a.com/%zz", "https://a.com/1"]
     got = sorted((r.cand_ord, r.allowed) for r in frontier.filter_allowed(candidates(spark, *urls), domains).collect())

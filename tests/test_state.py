@@ -69,6 +69,34 @@ def test_a_url_without_host_is_an_error(spark, run_dir):
         write_state(pages_of(spark, page(1, "/x", "")), run_dir + "/p")
 
 
+def test_a_state_per_host(spark, run_dir):
+    assert CrawlState.for_url(spark, run_dir, "https://u@Shop.com:8/x").root == run_dir + "/Shop.com"
+    assert CrawlState.for_url(spark, run_dir, "https://[::1]:8/x").root == run_dir + "/::1"
+    with pytest.raises(ValueError, match="cannot derive a state location"):
+        CrawlState.for_url(spark, run_dir, "/x")
+
+
+def test_pages_without_host_are_kept(spark, captures, run_dir):
+    robots = captures(dict(url="https://a/robots.txt", body="Sitemap: https://a/s.xml"))
+    sitemaps = captures(dict(url="https://a/s.xml", body="<urlset><url><loc>/rel</loc></url><url><loc>https://a/1</loc></url></urlset>"))
+    state = CrawlState(spark, run_dir + "/s")
+    for _ in range(2):
+        runs.resolve_run(sitemaps, robots, state, NOW)
+    assert sorted((r.url, r.host) for r in state.read("pages").collect()) == [("/rel", "_"), ("https://a/1", "a")]
+    _, outcomes = runs.scrape_run(runs.pending_run_candidates(state), captures(dict(url="https://a/1")), state, NOW)
+    assert {r.url: r.error for r in outcomes.collect()} == {"/rel": "URL outside allowed domains", "https://a/1": None}
+    assert state.read("pages").filter("visited_at IS NULL").count() == 0
+
+
+def test_many_wanted_pages_are_not_broadcast(spark, captures, run_dir, monkeypatch):
+    monkeypatch.setattr(runs, "SMALL_ROWS", 1)
+    state = CrawlState(spark, run_dir + "/s")
+    chosen = runs.listed_run_candidates(read_page_list(spark, urls=["https://a/1", "https://a/2"]), state, NOW)
+    pages = captures(dict(url="https://a/1", body=LD), dict(url="https://a/2"), dict(url="https://a/3", body=LD))
+    summary, _ = runs.scrape_run(chosen, pages, state, NOW)
+    assert summary.first().asDict() == dict(pages_scraped=2, failures=0, stored_products=1)
+
+
 def test_reading_one_host_prunes_folders(spark, run_dir):
     write_state(pages_of(spark, page(1, "https://a/1", "a"), page(2, "https://b/2", "b")), run_dir + "/p")
     one = read_state(spark, run_dir + "/p", PAGES, "a")

@@ -4,6 +4,8 @@
 with a blank, and keeps the brackets of IPv6 literals.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 _AUTHORITY = (
@@ -28,6 +30,21 @@ def url_host(col):
     return F.concat(F.regexp_extract(col, _AUTHORITY, 1), F.regexp_extract(col, _AUTHORITY, 2))
 
 
+# Stored rows whose URL names no host are kept together under this name.
+NO_HOST = "_"
+
+
+def state_host(col):
+    """Host under which a URL's row is stored."""
+    return F.coalesce(F.nullif(url_host(col), F.lit("")), F.lit(NO_HOST))
+
+
+def host_of(url):
+    """`url_host` of one URL outside of a DataFrame."""
+    match = re.match(_AUTHORITY, url)
+    return (match.group(1) or match.group(2) or "") if match else ""
+
+
 def url_path(col):
     return F.regexp_extract(col, _PATH, 1)
 

@@ -57,7 +57,7 @@ def allowed_domains(candidates):
     )
 
 
-def filter_allowed(rows, domains):
+def filter_allowed(rows, domains, tables=None):
     """Add `allowed`: the row's host is one of `domains`.
 
     Domains are few as a rule and then broadcast after their number has been
@@ -65,5 +65,5 @@ def filter_allowed(rows, domains):
     """
     known = domains.select(F.col("host").alias("_host"), F.lit(True).alias("_known")).distinct()
     hosted = rows.withColumn("_host", F.when(~is_bad_url(F.col("url")), url_host(F.col("url"))))
-    flagged = small_or_lookup_join(hosted, known, "_host", "left")
+    flagged = small_or_lookup_join(hosted, known, "_host", "left", tables=tables)
     return flagged.withColumn("allowed", F.coalesce("_known", F.lit(False))).drop("_host", "_known")

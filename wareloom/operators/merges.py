@@ -7,7 +7,7 @@ gathers in one task, and the joins that follow have one row per URL on both side
 from pyspark.sql import functions as F
 
 from wareloom.functions.text import empty_to_null
-from wareloom.functions.urls import url_host
+from wareloom.functions.urls import state_host
 from wareloom.operators.joins import lookup_join
 from wareloom.operators.ordering import with_positions
 from wareloom.schemas import PAGES, SITEMAPS, column_names
@@ -78,7 +78,7 @@ def upsert_sitemaps(sitemaps, records, as_of, order=ORDER, id_start=None, tables
         latest,
         "sitemap_id",
         {**new, "updated_at": now},
-        {**new, "created_at": now, "updated_at": now, "host": url_host(F.col("url"))},
+        {**new, "created_at": now, "updated_at": now, "host": state_host(F.col("url"))},
         column_names(SITEMAPS),
         id_start,
         tables,
@@ -124,7 +124,7 @@ def upsert_pages(pages, batch, as_of, order=ORDER, id_start=None, tables=None):
             "visited_at": F.lit(None).cast("timestamp"),
             "created_at": now,
             "updated_at": now,
-            "host": url_host(F.col("url")),
+            "host": state_host(F.col("url")),
         },
         column_names(PAGES),
         id_start,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wareloom.functions.urls import url_host
+from wareloom.functions.urls import state_host
 from wareloom.operators.decode import decode_captures, gunzip_sitemaps
 from wareloom.operators.frontier import (
     allowed_domains,
@@ -18,7 +18,7 @@ from wareloom.operators.merges import (
     upsert_pages,
     upsert_sitemaps,
 )
-from wareloom.operators.joins import lookup_join
+from wareloom.operators.joins import SMALL_ROWS, lookup_join
 from wareloom.operators.ordering import with_positions
 from wareloom.operators.outcomes import classify_outcomes
 from wareloom.operators.products import explode_products, with_products
@@ -30,7 +30,7 @@ from wareloom.session import RunTables
 
 def hosts_of(urls, column="url"):
     """Hosts of a URL column, for reading only their part of the state."""
-    return urls.select(url_host(F.col(column)).alias("host"))
+    return urls.select(state_host(F.col(column)).alias("host"))
 
 
 def resolve_run(captures, robots, state, as_of, batch_id=0):
@@ -66,8 +66,8 @@ def save_pages(pages, state, as_of, order=("batch_id", "seq")):
 
 def pending_run_candidates(state, limit=0, skip=0):
     """Candidates of a run over stored state: pending pages in id order."""
-    pending = pending_pages(state.read("pages"), limit, skip)
-    return pending.select("url", F.col("page_id").alias("cand_ord"))
+    narrow = state.read("pages").select("page_id", "url", "visited_at")
+    return pending_pages(narrow, limit, skip).select("url", F.col("page_id").alias("cand_ord"))
 
 
 def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True):
@@ -81,6 +81,17 @@ def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True
     return pending_from_candidates(chosen, state.read("pages", hosts_of(chosen))).select("url", "cand_ord")
 
 
+def _narrowed(captures, wanted):
+    """Captures of few wanted URLs by a broadcast whose size has been checked, else all captures.
+
+    Bodies are never shuffled: with many wanted URLs every capture is read where it
+    lies, and the join of the narrow results drops what nobody asked for.
+    """
+    if wanted.count() <= SMALL_ROWS:
+        return captures.join(F.broadcast(wanted), "url", "left_semi")
+    return captures
+
+
 def scrape_run(candidates, captures, state, as_of, batch_id=0):
     """Scrape candidates (url, cand_ord) from captures into `state`; returns (summary, outcomes).
 
@@ -92,10 +103,10 @@ def scrape_run(candidates, captures, state, as_of, batch_id=0):
     chosen = tables.write(candidates.select("url", "cand_ord"), "chosen")
     if chosen.isEmpty():
         raise ValueError("no pending page URLs to scrape")
-    checked = tables.write(filter_allowed(chosen, allowed_domains(chosen)), "checked")
+    checked = tables.write(filter_allowed(chosen, allowed_domains(chosen), tables), "checked")
 
-    wanted = checked.filter("allowed").select("url").distinct()
-    responses = with_products(decode_captures(captures.join(wanted, "url", "left_semi")))
+    wanted = tables.write(checked.filter("allowed").select("url").distinct(), "wanted")
+    responses = with_products(decode_captures(_narrowed(captures, wanted)))
     responses = tables.write(
         responses.select(
             "url", "fetch_error", "status_code", "status_text", "duration_ms", "products", F.lit(True).alias("captured")

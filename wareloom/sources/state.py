@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wareloom.functions.urls import host_of
 from wareloom.operators.merges import next_id
 from wareloom.schemas import PAGES, SITEMAPS, STRUCTURED_PRODUCTS
 from wareloom.session import delete_path, path_exists
@@ -31,6 +32,14 @@ class CrawlState:
     one that opens the state. One writer at a time.
     """
 
+    @classmethod
+    def for_url(cls, spark, root, url):
+        """A state of its own for the host of `url`, at <root>/<host>; no host is an error."""
+        host = host_of(url)
+        if not host:
+            raise ValueError(f"cannot derive a state location from URL {url!r}")
+        return cls(spark, f"{root.rstrip('/')}/{host}")
+
     def __init__(self, spark, root):
         self.spark = spark
         self.root = root.rstrip("/")
