@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from wareloom.operators import sitemaps
 from wareloom.operators.sitemaps import parse_sitemaps, sitemap_children, sitemap_pages
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -88,3 +90,60 @@ def test_parser_runs_once(captures):
     plan = sitemap_pages(parse_sitemaps(captures(dict(url="s", body="<urlset/>"))))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("from_xml(") == 1
+
+
+# name: (body, whether it has the plain form)
+FORMS = {
+    "usual": (HEAD + '\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\r\n  <url>\n<loc>a</loc><lastmod>d</lastmod><changefreq>daily</changefreq><priority>1.0</priority></url>\n</urlset>\n', True),
+    "references": (SET % "<url><loc>a?x=1&amp;y=&lt;&gt;&quot;&apos;&amp;lt;</loc></url>", True),
+    "last-of-two": (SET % "<url><loc>a</loc><loc>b</loc><lastmod>1</lastmod><lastmod>2</lastmod></url>", True),
+    "no-location": (SET % "<url><lastmod>1</lastmod></url><url></url><url>\n</url>", True),
+    "blanks": (SET % "<url><loc>\n a\tb </loc></url>", True),
+    "images": ('<urlset xmlns:image="i">' + "<url><loc>a</loc><image:image><image:loc>i1</image:loc><image:title>t &amp; u</image:title></image:image></url>" * 2 + "</urlset>", True),
+    "alternates": ('<urlset xmlns:xhtml="h"><url><loc>a</loc><xhtml:link rel="alternate" hreflang="de" href="b"/><xhtml:link href=\'c\'></xhtml:link></url></urlset>', True),
+    "index": ("<sitemapindex><sitemap><loc>a&amp;b</loc><lastmod>d</lastmod></sitemap></sitemapindex>", True),
+    "empty": ("<urlset></urlset>", True),
+    "text-after-root": (SET % "<url><loc>a</loc></url>" + "<x", True),
+    "prefixed-location": ('<urlset xmlns:v="v"><url><v:loc>b</v:loc></url></urlset>', False),
+    "comment": (SET % "<!-- x --><url><loc>a</loc></url>", False),
+    "cdata": (SET % "<url><loc><![CDATA[a]]></loc></url>", False),
+    "number-reference": (SET % "<url><loc>a&#38;b</loc></url>", False),
+    "return-in-text": (SET % "<url><loc>a\r\nb</loc></url>", False),
+    "control-character": (SET % "<url><loc>a\x01</loc></url>", False),
+    "section-end-in-text": (SET % "<url><loc>a]]>b</loc></url>", False),
+    "text-between": (SET % "x<url><loc>a</loc></url>", False),
+    "nested": (SET % "<url><loc>a<b>c</b></loc></url>", False),
+    "other-element": (SET % "<url><loc>a</loc><news>x</news></url>", False),
+    "wrong-end": (SET % "<url><loc>a</lastmod></url>", False),
+    "wrong-prefixed-end": ('<urlset xmlns:i="i"><url><loc>a</loc><i:x>1</i:y></url></urlset>', False),
+    "cut-off": ("<urlset><url><loc>a</loc></url>", False),
+    "index-items-in-set": (SET % "<sitemap><loc>a</loc></sitemap>", False),
+}
+
+
+def outcome(docs):
+    return {
+        r.url: (r.status, r.type, r.children or [], [tuple(e) for e in r.entries or []]) for r in docs.collect()
+    }
+
+
+def test_plain_form_gives_what_the_parser_gives(captures, monkeypatch):
+    rows = captures(*[dict(url=name, body=form[0]) for name, form in {**FORMS, **DOCUMENTS}.items()])
+    fast = outcome(parse_sitemaps(rows))
+    monkeypatch.setattr(sitemaps, "_is_plain", lambda xml, root: F.lit(False))
+    assert fast == outcome(parse_sitemaps(rows))
+    assert fast["last-of-two"][3] == [("b", "2")] and fast["images"][3] == [("a", None)] * 2
+    assert fast["references"][3] == [("a?x=1&y=<>\"'&lt;", None)]
+
+
+def test_plain_form_is_recognised(captures):
+    rows = captures(*[dict(url=name, body=form[0]) for name, form in FORMS.items()])
+    xml = F.col("body").cast("string")
+    root = F.regexp_extract(xml, sitemaps._ROOT, 1)
+    got = {r.url: r.plain for r in rows.select("url", sitemaps._is_plain(xml, root).alias("plain")).collect()}
+    assert got == {name: form[1] for name, form in FORMS.items()}
+
+
+def test_large_plain_document(captures):
+    body = SET % ("<url><loc>https://a/x</loc><i:i><i:l>1</i:l></i:i></url>" * 30_000)
+    assert sitemap_pages(parse_sitemaps(captures(dict(url="s", body=body)))).count() == 30_000

@@ -29,6 +29,32 @@ _DECLARED_VERSION = r"(?s)^[\x{FEFF}\s]*<\?xml[^>]*?\sversion\s*=\s*[\"']([^\"']
 _OTHER_CASE = (
     r"(</?(?:[^\s<>/:]+:)?)(?!(?:url|sitemap|loc|lastmod)[\s/>])(?=(?i:url|sitemap|loc|lastmod)[\s/>])"
 )
+# Most sitemaps are plain: nothing but the usual elements, extension elements with a
+# prefix, and the five predefined references. One possessive expression tells whether a
+# document is of this form, which also proves it well-formed; its entries are then cut
+# out as text, several times faster than by the XML parser, which reads all the rest.
+_BLANK = r"[ \t\r\n]*+"
+_TEXT = r"[^<&\p{Cntrl}]*+(?:(?:[\t\n]|&(?:amp|lt|gt|quot|apos);)[^<&\p{Cntrl}]*+)*+"
+_ATTRIBUTES = (
+    r"(?:[ \t\r\n]++[A-Za-z_][\w:.-]*+=(?:\"[^\"<&\p{Cntrl}]*+\"|'[^'<&\p{Cntrl}]*+'))*+" + _BLANK
+)
+_PREFIXED = r"[A-Za-z]++:(?!(?:loc|lastmod|url|sitemap)[ \t\r\n/>])[A-Za-z_]++"
+_EXTENSION = (
+    rf"<({_PREFIXED}){_ATTRIBUTES}(?:/>|>{_TEXT}(?:<([A-Za-z]++:[A-Za-z_]++)>{_TEXT}</\2>{_BLANK})*+</\1>)"
+)
+
+
+def _plain_form(root, item):
+    fields = "|".join(f"<{name}>{_TEXT}</{name}>" for name in ("loc", "lastmod", "changefreq", "priority"))
+    return (
+        rf"^(?:<\?xml[ \t\r\n][^?>]*+\?>)?+{_BLANK}<{root}{_ATTRIBUTES}>{_BLANK}"
+        rf"(?:<{item}>{_BLANK}(?:(?:{fields}|{_EXTENSION}){_BLANK})*+</{item}>{_BLANK})*+</{root}>"
+    )
+
+
+_NOT_PLAIN = ("]]>", chr(0xFFFE), chr(0xFFFF))
+_PLAIN_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
 _NESTED_MARKUP = r"(?s)<([^\s<>/]+)(?:\s[^<>]*)?>.*?</\1\s*>|<[^\s<>/]+(?:\s[^<>]*)?/>"
 
 
@@ -37,6 +63,33 @@ def _own_text(col):
     return F.when(col.contains("<"), F.regexp_replace(col, _NESTED_MARKUP, "")).otherwise(col)
 
 
+def _entry(loc, lastmod):
+    return F.struct(loc.alias("loc"), lastmod.alias("lastmod"))
+
+
+def _is_plain(xml, root):
+    form = F.when(root == "urlset", xml.rlike(_plain_form("urlset", "url"))).when(
+        root == "sitemapindex", xml.rlike(_plain_form("sitemapindex", "sitemap"))
+    )
+    for text in _NOT_PLAIN:
+        form = form & ~xml.contains(text)
+    return F.coalesce(form, F.lit(False))
+
+
+def _plain_field(block, name):
+    """Text of the last `name` element of a plain entry, NULL when it has none."""
+    text = F.substring_index(F.substring_index(block, f"<{name}>", -1), f"</{name}>", 1)
+    unescaped = text
+    for reference, char in _PLAIN_REFERENCES:
+        unescaped = F.replace(unescaped, F.lit(reference), F.lit(char))
+    return F.when(block.contains(f"<{name}>"), F.when(text.contains("&"), unescaped).otherwise(text))
+
+
+def _plain_blocks(xml, item):
+    parts = F.split(xml, f"<{item}>")
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
 def parse_sitemaps(captures):
     """One row per captured document with its outcome and its entries.
 
@@ -74,20 +127,20 @@ def parse_sitemaps(captures):
     rooted = checked.withColumn("_xml", F.when(F.col("_problem").isNull(), stripped)).withColumn(
         "_root", F.when(F.col("_problem").isNull(), F.regexp_extract("_xml", _ROOT, 1))
     )
+    sorted_out = rooted.withColumn("_plain", _is_plain(F.col("_xml"), F.col("_root")))
     exact = F.when(F.col("_xml").rlike(_OTHER_CASE), F.regexp_replace("_xml", _OTHER_CASE, "$1other-"))
-    parsed = rooted.withColumn(
-        "_doc", F.from_xml(F.coalesce(exact, F.col("_xml")), _DOCUMENT, _OPTIONS)
-    )
+    general = F.when(~F.col("_plain"), F.coalesce(exact, F.col("_xml")))
+    parsed = sorted_out.withColumn("_doc", F.from_xml(general, _DOCUMENT, _OPTIONS))
     error = (
         F.when(F.col("_problem").isNotNull(), F.col("_problem"))
-        .when(F.col("_doc._corrupt").isNotNull() | (F.col("_root") == ""), F.lit("malformed XML"))
+        .when(~F.col("_plain") & (F.col("_doc._corrupt").isNotNull() | (F.col("_root") == "")), F.lit("malformed XML"))
         .when(
             ~F.col("_root").isin("sitemapindex", "urlset"),
             F.concat(F.lit('unsupported root element "'), F.col("_root"), F.lit('"')),
         )
     )
     judged = parsed.select(
-        "url", "delay_ms", "duration_ms", "batch_id", "seq", "_root",
+        "url", "delay_ms", "duration_ms", "batch_id", "seq", "_root", "_plain", "_xml",
         error.alias("error"),
         F.col("_doc.sitemap").alias("_sitemap"),
         F.col("_doc.url").alias("_url"),
@@ -102,14 +155,22 @@ def parse_sitemaps(captures):
         F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"),
         "batch_id",
         "seq",
-        F.when(ok & (F.col("_root") == "sitemapindex"), F.transform("_sitemap", lambda e: _own_text(e["loc"])))
-        .alias("children"),
+        F.when(
+            ok & (F.col("_root") == "sitemapindex"),
+            F.when(
+                F.col("_plain"),
+                F.transform(_plain_blocks(F.col("_xml"), "sitemap"), lambda e: _plain_field(e, "loc")),
+            ).otherwise(F.transform("_sitemap", lambda e: _own_text(e["loc"]))),
+        ).alias("children"),
         F.when(
             ok & (F.col("_root") == "urlset"),
-            F.transform(
-                "_url",
-                lambda e: F.struct(_own_text(e["loc"]).alias("loc"), _own_text(e["lastmod"]).alias("lastmod")),
-            ),
+            F.when(
+                F.col("_plain"),
+                F.transform(
+                    _plain_blocks(F.col("_xml"), "url"),
+                    lambda e: _entry(_plain_field(e, "loc"), _plain_field(e, "lastmod")),
+                ),
+            ).otherwise(F.transform("_url", lambda e: _entry(_own_text(e["loc"]), _own_text(e["lastmod"])))),
         ).alias("entries"),
     )
 
