@@ -53,7 +53,7 @@ def test_slices(spark, monkeypatch):
         assert [r.url for r in frontier.slice_candidates(rows, 2, 3).collect()] == list("cde")
         assert [r.url for r in frontier.slice_candidates(rows, 4).collect()] == list("ef")
         assert [r.url for r in frontier.slice_candidates(rows, 0, 2).collect()] == list("ab")
-    with pytest.raises(ValueError, match="skip value 6"):
+    with pytest.raises(ValueError, match="cannot skip 6 of 6"):
         frontier.slice_candidates(rows, 6)
 
 
@@ -62,7 +62,7 @@ def test_allowed_domains(spark):
     assert [r.host for r in frontier.allowed_domains(rows).collect()] == ["b.com", "A.com", "a.com", "c.com"]
     with pytest.raises(ValueError, match="cannot be parsed"):
         frontier.allowed_domains(candidates(spark, "https://a.com", "https://a.com/%zz"))
-    with pytest.raises(ValueError, match="no valid domains"):
+    with pytest.raises(ValueError, match="no page URL has a host"):
         frontier.allowed_domains(candidates(spark, "/x", ""))
 
 

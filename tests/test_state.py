@@ -156,7 +156,7 @@ def test_resolve_then_scrape_pending(spark, shop, run_dir):
     summary, outcomes = runs.scrape_run(runs.pending_run_candidates(state), pages, state, NOW, batch_id=2)
     assert [(r.url, r.error) for r in outcomes.collect()] == [("https://b/3", "not captured")]
     assert summary.first().asDict() == dict(pages_scraped=1, failures=1, stored_products=2)
-    with pytest.raises(ValueError, match="no pending page URLs"):
+    with pytest.raises(ValueError, match="no pages to scrape"):
         runs.scrape_run(runs.pending_run_candidates(state), pages, state, NOW)
 
 
@@ -175,7 +175,7 @@ def test_scrape_listed_pages(spark, shop, run_dir):
 
 def test_no_declared_sitemap_is_an_error(spark, captures, run_dir):
     robots = captures(dict(url="https://a/robots.txt", body="User-agent: *"))
-    with pytest.raises(ValueError, match="no sitemaps found"):
+    with pytest.raises(ValueError, match="declare no sitemap"):
         runs.resolve_run(robots, robots, CrawlState(spark, run_dir + "/s"), NOW)
 
 

@@ -2,6 +2,8 @@
 
 import zlib
 
+from wareloom.fixed_values import CUT_OFF, EMPTY_INPUT, NOT_GZIP
+
 PLAIN = "plain"
 DECODED = "decoded"
 PASSED = "passthrough"
@@ -14,11 +16,11 @@ class BadHeader(ValueError):
 
 def _gzip_header(data):
     if not data:
-        raise ValueError("EOF")
+        raise ValueError(EMPTY_INPUT)
     if len(data) < 10:
-        raise ValueError("unexpected EOF")
+        raise ValueError(CUT_OFF)
     if data[:3] != b"\x1f\x8b\x08":
-        raise BadHeader("gzip: invalid header")
+        raise BadHeader(NOT_GZIP)
 
 
 def gunzip(data):
@@ -33,13 +35,13 @@ def gunzip(data):
         except BadHeader:
             if not out:
                 raise
-            raise ValueError("gzip: invalid header") from None
+            raise ValueError(NOT_GZIP) from None
         except zlib.error as exc:
             if not out and "header" in str(exc):
-                raise BadHeader("gzip: invalid header") from None
+                raise BadHeader(NOT_GZIP) from None
             raise ValueError(f"gzip: {exc}") from None
         if not member.eof:
-            raise ValueError("unexpected EOF")
+            raise ValueError(CUT_OFF)
         rest = member.unused_data
     return b"".join(out)
 
@@ -68,7 +70,7 @@ def inflate(data):
     if stream.eof:
         return out
     if is_zlib:
-        raise ValueError("unexpected EOF")
+        raise ValueError(CUT_OFF)
     return None
 
 

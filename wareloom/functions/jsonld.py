@@ -9,9 +9,7 @@ import json
 import re
 from json.encoder import encode_basestring
 
-# The script type that is read, the types that count as products.
-JSONLD_TYPE = "application/ld+json"
-PRODUCT_TYPES = ("product", "https://schema.org/product")
+from wareloom.fixed_values import JSONLD_TYPE, PRODUCT_TYPES
 
 _LONE_SURROGATE = re.compile("[\ud800-\udfff]")
 _REPLACEMENT = chr(0xFFFD)

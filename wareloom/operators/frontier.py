@@ -33,7 +33,7 @@ def slice_candidates(candidates, skip=0, limit=0):
     if skip > 0:
         total = candidates.count()
         if skip >= total:
-            raise ValueError(f"skip value {skip} is greater than or equal to total discovered URLs ({total})")
+            raise ValueError(f"cannot skip {skip} of {total} candidates: nothing would be left")
     return slice_ordered(candidates, ["cand_ord"], skip, limit)
 
 
@@ -48,7 +48,7 @@ def allowed_domains(candidates):
     if bad:
         raise ValueError(f"{bad} page URL(s) cannot be parsed")
     if not named:
-        raise ValueError("no valid domains found in page URLs")
+        raise ValueError("no page URL has a host")
     return (
         hosts.filter(F.col("host") != "")
         .groupBy("host")

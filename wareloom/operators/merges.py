@@ -6,6 +6,7 @@ gathers in one task, and the joins that follow have one row per URL on both side
 
 from pyspark.sql import functions as F
 
+from wareloom.fixed_values import PENDING
 from wareloom.functions.text import empty_to_null
 from wareloom.functions.urls import state_host
 from wareloom.operators.joins import lookup_join
@@ -117,7 +118,7 @@ def upsert_pages(pages, batch, as_of, order=ORDER, id_start=None, tables=None):
         {
             "source_sitemap": F.col("new_source_sitemap"),
             "lastmod": F.col("new_lastmod"),
-            "scrape_status": F.lit("pending"),
+            "scrape_status": F.lit(PENDING),
             "status_code": F.lit(None).cast("bigint"),
             "duration_ms": F.lit(None).cast("bigint"),
             "error": F.lit(None).cast("string"),

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from wareloom.fixed_values import FAILED, OUTSIDE_DOMAINS, SCRAPED, SKIPPED, SUCCESS, UNEXPECTED_STATUS
 from wareloom.functions.text import empty_to_null
 
-OUTSIDE = "URL outside allowed domains"
-
 
 def classify_outcomes(fetched):
     """Outcome rows from fetch results (url, allowed, fetch_error, status_code, status_text, duration_ms, ...).
@@ -21,20 +20,20 @@ def classify_outcomes(fetched):
     bad_status = ~F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
     zero = F.lit(0).cast("bigint")
     error = (
-        F.when(disallowed, F.lit(OUTSIDE))
+        F.when(disallowed, F.lit(OUTSIDE_DOMAINS))
         .when(no_fetch, F.col("fetch_error"))
-        .when(bad_status, F.concat(F.lit("unexpected status "), F.coalesce("status_text", F.lit(""))))
+        .when(bad_status, F.concat(F.lit(UNEXPECTED_STATUS), F.coalesce("status_text", F.lit(""))))
         .when(extract_error.isNotNull(), extract_error)
     )
     failed = disallowed | no_fetch | bad_status | extract_error.isNotNull()
     status_code = F.coalesce(F.col("status_code").cast("bigint"), zero)
     return fetched.select(
         "url",
-        F.when(failed, F.lit("failed")).otherwise(F.lit("success")).alias("scrape_status"),
+        F.when(failed, F.lit(FAILED)).otherwise(F.lit(SUCCESS)).alias("scrape_status"),
         F.when(disallowed | no_fetch, zero).otherwise(status_code).alias("status_code"),
         F.when(disallowed, zero).otherwise(F.coalesce("duration_ms", zero)).alias("duration_ms"),
         empty_to_null(error).alias("error"),
-        F.when(disallowed, F.lit("skipped")).when(failed, F.lit("failed")).otherwise(F.lit("scraped")).alias("label"),
+        F.when(disallowed, F.lit(SKIPPED)).when(failed, F.lit(FAILED)).otherwise(F.lit(SCRAPED)).alias("label"),
         "batch_id",
         "seq",
     )

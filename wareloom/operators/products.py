@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from wareloom.fixed_values import JSONLD_TYPE
 from wareloom.functions import jsonld
 from wareloom.functions.text import body_text
 
@@ -74,7 +75,7 @@ def _with_scripts(captures):
     """Captures with the body replaced by `_scripts`, the page's JSON-LD scripts (type, text)."""
     keep = [name for name in captures.columns if name not in ("body", "products")]
     found = F.transform(F.regexp_extract_all("_text", F.lit(_SCRIPTS), F.lit(2)), _script_parts)
-    wanted = F.filter(found, lambda s: (s["type"] == jsonld.JSONLD_TYPE) | s["type"].contains("&"))
+    wanted = F.filter(found, lambda s: (s["type"] == JSONLD_TYPE) | s["type"].contains("&"))
     usable = F.col("fetch_error").isNull() & F.col("status_code").between(200, 299)
     texts = captures.select(*keep, F.when(usable, body_text(F.col("body"))).alias("_text"))
     return texts.select(*keep, F.when(may_have_jsonld(F.col("_text")), wanted).alias("_scripts"))

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from wareloom.fixed_values import FAILED, INDEX_ROOT, SET_ROOT, SUCCESS
 from wareloom.operators.ordering import with_positions
 
 
@@ -28,13 +29,13 @@ def _one_row(*parts):
 
 def resolve_summary(records, pages):
     """One row of counters; `final_urls` counts repeats, `failed_pages` is always 0."""
-    done = F.col("status") == "success"
+    done = F.col("status") == SUCCESS
     counts = records.agg(
         F.count("*").alias("sitemaps_attempted"),
         F.count_if(done).alias("sitemaps_succeeded"),
         F.count_if(~done).alias("sitemaps_failed"),
-        F.count_if(done & (F.col("type") == "sitemapindex")).alias("sitemap_indexes"),
-        F.count_if(done & (F.col("type") == "urlset")).alias("url_sets"),
+        F.count_if(done & (F.col("type") == INDEX_ROOT)).alias("sitemap_indexes"),
+        F.count_if(done & (F.col("type") == SET_ROOT)).alias("url_sets"),
     )
     finals = pages.agg(F.count("*").alias("final_urls"))
     return _one_row(counts, finals).withColumn("failed_pages", F.lit(0).cast("bigint"))
@@ -47,14 +48,14 @@ def slowest_sitemaps(records, k=5):
 
 def failed_sitemaps(records, k=5):
     """The first k failed sitemaps in record order."""
-    failed = records.filter(F.col("status") == "failed")
+    failed = records.filter(F.col("status") == FAILED)
     return failed.orderBy("batch_id", "seq").select("loc", "error").limit(k)
 
 
 def scrape_summary(outcomes, products):
     """Pages attempted, products stored in total, failures."""
     counts = outcomes.agg(
-        F.count("*").alias("pages_scraped"), F.count_if(F.col("scrape_status") == "failed").alias("failures")
+        F.count("*").alias("pages_scraped"), F.count_if(F.col("scrape_status") == FAILED).alias("failures")
     )
     stored = products.agg(F.count("*").alias("stored_products"))
     return _one_row(counts, stored)

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from wareloom.fixed_values import FAILED, INDEX_ROOT, ROBOTS_SOURCE, SET_ROOT
 from wareloom.operators.sitemaps import parse_sitemaps
 from wareloom.session import RunTables
 
-ROOT_SOURCE = "robots.txt"
 NOT_CAPTURED = "not captured"
 
 
@@ -22,11 +22,11 @@ def resolve_sitemaps(captures, starts, batch_id=0, tables=None):
     spark = captures.sparkSession
     tables = tables or RunTables(spark, "resolve")
     docs = tables.write(parse_sitemaps(captures), "docs")
-    links = docs.filter(F.col("type") == "sitemapindex").select(F.col("url").alias("parent"), "children")
+    links = docs.filter(F.col("type") == INDEX_ROOT).select(F.col("url").alias("parent"), "children")
     visited_path = tables.path("visited")
 
     frontier = starts.groupBy("url").agg(
-        F.lit(ROOT_SOURCE).alias("discovered_from"), F.array(F.min(F.col("ord").cast("bigint"))).alias("trail")
+        F.lit(ROBOTS_SOURCE).alias("discovered_from"), F.array(F.min(F.col("ord").cast("bigint"))).alias("trail")
     )
     columns = "url string, discovered_from string, trail array<bigint>"
     depth = 0
@@ -60,7 +60,7 @@ def resolve_sitemaps(captures, starts, batch_id=0, tables=None):
     records = reached.select(
         F.col("url").alias("loc"),
         "discovered_from",
-        F.coalesce("status", F.lit("failed")).alias("status"),
+        F.coalesce("status", F.lit(FAILED)).alias("status"),
         "type",
         F.when(F.col("captured").isNull(), F.lit(NOT_CAPTURED)).otherwise(F.col("error")).alias("error"),
         F.coalesce("delay_ms", F.lit(0).cast("bigint")).alias("delay_ms"),
@@ -69,7 +69,7 @@ def resolve_sitemaps(captures, starts, batch_id=0, tables=None):
         F.lit(batch_id).cast("bigint").alias("batch_id"),
         place.alias("seq"),
     )
-    entries = docs.filter(F.col("type") == "urlset").select("url", "entries")
+    entries = docs.filter(F.col("type") == SET_ROOT).select("url", "entries")
     pages = (
         visited.join(entries, "url")
         .select("url", place.alias("place"), F.posexplode("entries").alias("entry_ord", "entry"))

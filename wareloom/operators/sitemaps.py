@@ -2,6 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from wareloom.fixed_values import (
+    EMPTY_INPUT,
+    FAILED,
+    FETCH_SITEMAP,
+    INDEX_ROOT,
+    SET_ROOT,
+    SUCCESS,
+    UNEXPECTED_STATUS,
+    UNSUPPORTED_ROOT,
+)
 from wareloom.functions.text import empty_to_null
 
 # The corrupt-record field has to come last, otherwise fields are mixed up.
@@ -68,8 +78,8 @@ def _entry(loc, lastmod):
 
 
 def _is_plain(xml, root):
-    form = F.when(root == "urlset", xml.rlike(_plain_form("urlset", "url"))).when(
-        root == "sitemapindex", xml.rlike(_plain_form("sitemapindex", "sitemap"))
+    form = F.when(root == SET_ROOT, xml.rlike(_plain_form(SET_ROOT, "url"))).when(
+        root == INDEX_ROOT, xml.rlike(_plain_form(INDEX_ROOT, "sitemap"))
     )
     for text in _NOT_PLAIN:
         form = form & ~xml.contains(text)
@@ -111,9 +121,9 @@ def parse_sitemaps(captures):
         .when(F.col("status_code").isNull(), F.lit("no status"))
         .when(
             ~F.col("status_code").between(200, 299),
-            F.concat(F.lit("fetch sitemap "), F.col("url"), F.lit(": unexpected status "), F.col("status_text")),
+            F.concat(F.lit(FETCH_SITEMAP), F.col("url"), F.lit(f": {UNEXPECTED_STATUS}"), F.col("status_text")),
         )
-        .when(F.col("_text").isNull() | (F.col("_text") == ""), F.lit("EOF"))
+        .when(F.col("_text").isNull() | (F.col("_text") == ""), F.lit(EMPTY_INPUT))
         .when(~F.is_valid_utf8("_text"), F.lit("malformed XML: invalid UTF-8"))
         .when(
             (encoding != "") & (F.lower(encoding) != "utf-8"),
@@ -135,8 +145,8 @@ def parse_sitemaps(captures):
         F.when(F.col("_problem").isNotNull(), F.col("_problem"))
         .when(~F.col("_plain") & (F.col("_doc._corrupt").isNotNull() | (F.col("_root") == "")), F.lit("malformed XML"))
         .when(
-            ~F.col("_root").isin("sitemapindex", "urlset"),
-            F.concat(F.lit('unsupported root element "'), F.col("_root"), F.lit('"')),
+            ~F.col("_root").isin(INDEX_ROOT, SET_ROOT),
+            F.concat(F.lit(UNSUPPORTED_ROOT + '"'), F.col("_root"), F.lit('"')),
         )
     )
     judged = parsed.select(
@@ -148,7 +158,7 @@ def parse_sitemaps(captures):
     ok = F.col("error").isNull()
     return judged.select(
         "url",
-        F.when(ok, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
+        F.when(ok, F.lit(SUCCESS)).otherwise(F.lit(FAILED)).alias("status"),
         F.when(ok, F.col("_root")).alias("type"),
         "error",
         F.coalesce("delay_ms", F.lit(0)).alias("delay_ms"),
@@ -156,14 +166,14 @@ def parse_sitemaps(captures):
         "batch_id",
         "seq",
         F.when(
-            ok & (F.col("_root") == "sitemapindex"),
+            ok & (F.col("_root") == INDEX_ROOT),
             F.when(
                 F.col("_plain"),
                 F.transform(_plain_blocks(F.col("_xml"), "sitemap"), lambda e: _plain_field(e, "loc")),
             ).otherwise(F.transform("_sitemap", lambda e: _own_text(e["loc"]))),
         ).alias("children"),
         F.when(
-            ok & (F.col("_root") == "urlset"),
+            ok & (F.col("_root") == SET_ROOT),
             F.when(
                 F.col("_plain"),
                 F.transform(

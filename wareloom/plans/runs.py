@@ -42,7 +42,7 @@ def resolve_run(captures, robots, state, as_of, batch_id=0):
     tables = RunTables(spark, "resolve-run")
     declared = tables.write(extract_robots_sitemaps(decode_captures(robots)), "declared")
     if declared.isEmpty():
-        raise ValueError("no sitemaps found in the robots files")
+        raise ValueError("the robots files declare no sitemap")
     starts = declared.select(
         F.col("sitemap_url").alias("url"), F.struct("batch_id", "seq", "line_no").alias("place")
     )
@@ -102,7 +102,7 @@ def scrape_run(candidates, captures, state, as_of, batch_id=0):
     tables = RunTables(spark, "scrape-run")
     chosen = tables.write(candidates.select("url", "cand_ord"), "chosen")
     if chosen.isEmpty():
-        raise ValueError("no pending page URLs to scrape")
+        raise ValueError("there are no pages to scrape")
     checked = tables.write(filter_allowed(chosen, allowed_domains(chosen), tables), "checked")
 
     wanted = tables.write(checked.filter("allowed").select("url").distinct(), "wanted")
