@@ -40,6 +40,17 @@ def lookup_join(left, right, key, how="inner", hot_rows=HOT_KEY_ROWS, salts=SALT
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
+def missing_rows(rows, known, key):
+    """Rows whose key `known` (one row per key) does not have.
+
+    The known keys among the rows are found first: when the rows are few, they are
+    broadcast and a large `known` is only scanned. A direct anti join would have to
+    shuffle it. `rows` is read twice.
+    """
+    hits = known.select(key).join(rows.select(key), key, "left_semi")
+    return rows.join(hits, key, "left_anti")
+
+
 def small_or_lookup_join(left, right, key, how="inner", small_rows=SMALL_ROWS, tables=None):
     """Broadcast `right` when its stored table has few rows, else `lookup_join`."""
     tables = tables or RunTables(left.sparkSession, "lookup")

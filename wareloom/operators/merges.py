@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wareloom.fixed_values import PENDING
 from wareloom.functions.text import empty_to_null
 from wareloom.functions.urls import state_host
-from wareloom.operators.joins import lookup_join
+from wareloom.operators.joins import lookup_join, missing_rows
 from wareloom.operators.ordering import with_positions
 from wareloom.schemas import PAGES, SITEMAPS, column_names
 from wareloom.session import RunTables
@@ -39,7 +39,7 @@ def _merge(state, latest, id_column, updates, inserts, columns, id_start, tables
     expressions see batch columns under a `new_` prefix.
     """
     latest = tables.write(latest, "latest")
-    fresh = latest.join(state.select("url"), "url", "left_anti")
+    fresh = missing_rows(latest, state, "url")
     start = next_id(state, id_column) if id_start is None else id_start
     numbered = assign_ids(fresh, ["first_order"], id_column, start, tables)
     merged = state.join(latest.withColumn("_hit", F.lit(True)), "url", "left")
@@ -141,17 +141,21 @@ def seed_pages(pages, candidates, as_of, order=("cand_ord",), id_start=None, tab
     return upsert_pages(pages, bare, as_of, order, id_start, tables)
 
 
-def apply_outcomes(pages, outcomes, as_of, order=ORDER):
+def apply_outcomes(pages, outcomes, as_of, order=ORDER, tables=None):
     """Write scrape outcomes onto pages by URL; the last outcome wins, unknown URLs do nothing.
 
-    Failures count as visits too, so they are not tried again on resume.
+    Failures count as visits too, so they are not tried again on resume. The collapsed
+    outcomes are stored first: their size is then known when the join is planned, and
+    a small batch does not shuffle the pages.
     """
+    tables = tables or RunTables(pages.sparkSession, "outcomes")
     values = ("scrape_status", "status_code", "duration_ms", "error")
     latest = (
         outcomes.groupBy("url")
         .agg(F.max_by(F.struct(*values), _order(order)).alias("last"))
         .select("url", F.lit(True).alias("_hit"), *[F.col(f"last.{name}").alias(f"new_{name}") for name in values])
     )
+    latest = tables.write(latest, "latest-outcomes")
     now = F.lit(as_of).cast("timestamp")
     updates = {name: F.col(f"new_{name}") for name in values}
     updates.update(visited_at=now, updated_at=now)

@@ -130,12 +130,12 @@ def scrape_run(candidates, captures, state, as_of, batch_id=0):
     )
     fetched = tables.write(fetched, "fetched")
     outcomes = classify_outcomes(fetched)
-    store_scrape(outcomes, explode_products(fetched.filter("allowed")), state, as_of)
+    store_scrape(outcomes, explode_products(fetched.filter("allowed")), state, as_of, tables)
     return scrape_summary(outcomes, state.read("structured_products")), outcomes
 
 
-def store_scrape(outcomes, products, state, as_of):
+def store_scrape(outcomes, products, state, as_of, tables):
     """Store products first, then mark the pages; both steps can be repeated safely."""
     known = state.read("pages", hosts_of(outcomes))
     state.append_products(products_with_ids(products, known, as_of))
-    state.replace("pages", apply_outcomes(known, outcomes, as_of))
+    state.replace("pages", apply_outcomes(known, outcomes, as_of, tables=tables))

@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from wareloom.operators.decode import decode_captures
+from wareloom.operators.joins import missing_rows
 from wareloom.operators.merges import apply_outcomes, products_with_ids, seed_pages
 from wareloom.operators.outcomes import classify_outcomes
 from wareloom.operators.products import explode_products, with_products
@@ -27,7 +28,7 @@ def unseen_urls(arriving, pages):
     The stored pages are the memory: a watermark would forget old URLs.
     """
     first = arriving.groupBy("url").agg(F.min("cand_ord").alias("cand_ord"))
-    return first.join(pages.select("url"), "url", "left_anti")
+    return missing_rows(first, pages, "url")
 
 
 def process_captures(captures, batch_id, state, as_of, seed=False):
@@ -54,7 +55,7 @@ def process_captures(captures, batch_id, state, as_of, seed=False):
     outcomes = classify_outcomes(batch)
     products = products_with_ids(explode_products(batch), pages, as_of)
     state.append_products(products)
-    state.replace("pages", apply_outcomes(pages, outcomes, as_of))
+    state.replace("pages", apply_outcomes(pages, outcomes, as_of, tables=tables))
     tables.drop()
 
 
