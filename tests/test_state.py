@@ -25,16 +25,19 @@ def stored(state, table="pages"):
     return sorted((r.host, r.page_id, r.scrape_status) for r in state.read(table).collect())
 
 
-def test_only_touched_hosts_change(spark, run_dir):
-    state = CrawlState(spark, run_dir + "/s")
+@pytest.mark.parametrize("buckets", [None, 2, 64])
+def test_only_touched_hosts_change(spark, run_dir, buckets):
+    state = CrawlState(spark, run_dir + "/s", buckets)
     assert state.read("pages").count() == 0 and state.last_id("pages") == 0
     state.replace("pages", pages_of(spark, page(1, "https://a/1", "a"), page(2, "https://b/2", "b"), page(3, "https://123/3", "123")))
     known = state.read("pages", spark.createDataFrame([("a",)], "host string"))
-    assert known.count() == 1
-    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "success"), page(7, "https://a/7", "a")))
+    others = known.filter("host <> 'a'")
+    assert known.count() < 3 if buckets == 64 else known.filter("host = 'a'").count() == 1
+    changed = pages_of(spark, page(1, "https://a/1", "a", "success"), page(7, "https://a/7", "a"))
+    state.replace("pages", changed.unionByName(others))
     assert stored(state) == [("123", 3, "pending"), ("a", 1, "success"), ("a", 7, "pending"), ("b", 2, "pending")]
     assert state.last_id("pages") == 7
-    assert stored(CrawlState(spark, run_dir + "/s")) == stored(state)
+    assert stored(CrawlState(spark, run_dir + "/s", buckets)) == stored(state)
 
 
 def test_interrupted_publish_is_completed(spark, run_dir, monkeypatch):
@@ -143,9 +146,10 @@ def shop(captures):
     return robots, sitemaps, pages
 
 
-def test_resolve_then_scrape_pending(spark, shop, run_dir):
+@pytest.mark.parametrize("buckets", [None, 1])
+def test_resolve_then_scrape_pending(spark, shop, run_dir, buckets):
     robots, sitemaps, pages = shop
-    state = CrawlState(spark, run_dir + "/s")
+    state = CrawlState(spark, run_dir + "/s", buckets)
     summary, _, _ = runs.resolve_run(sitemaps, robots, state, NOW)
     assert summary.first().asDict() == dict(sitemaps_attempted=2, sitemaps_succeeded=1, sitemaps_failed=1, sitemap_indexes=0, url_sets=1, final_urls=3, failed_pages=0)
     runs.resolve_run(sitemaps, robots, state, NOW)

@@ -4,21 +4,19 @@ from pyspark.sql import functions as F
 
 from wareloom.functions.urls import host_of
 from wareloom.operators.merges import next_id
-from wareloom.schemas import PAGES, SITEMAPS, STRUCTURED_PRODUCTS
+from wareloom.schemas import PAGES, SITEMAPS, STRUCTURED_PRODUCTS, column_names
 from wareloom.session import delete_path, path_exists
 
 _SCHEMAS = {"pages": PAGES, "sitemaps": SITEMAPS, "structured_products": STRUCTURED_PRODUCTS}
-_PARTITIONS = {"pages": ["host"], "sitemaps": ["host"], "structured_products": ["host", "batch_id"]}
-
 _IDS = {"pages": "page_id", "sitemaps": "sitemap_id"}
 
-# Up to this many hosts a read is narrowed by a literal list, which prunes folders
-# at planning time; beyond it a semi join does the same at run time.
-PRUNE_HOSTS = 5_000
+# Up to this many partition values a read is narrowed by a literal list, which prunes
+# folders at planning time; beyond it a semi join does the same at run time.
+PRUNE_VALUES = 5_000
 
 
 def host_or_fail(host, url):
-    """State is kept per host; a URL without one has no place to go."""
+    """State is kept per host; a row without one has no place to go."""
     message = F.concat(F.lit("cannot derive a state location from URL "), F.coalesce(url, F.lit("NULL")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.raise_error(message).cast("string")).otherwise(host)
 
@@ -26,23 +24,26 @@ def host_or_fail(host, url):
 class CrawlState:
     """Tables `pages`, `sitemaps` and `structured_products` under one root folder.
 
-    A change touches the partitions it has rows for and no others. Merged pages and
-    sitemaps are written in full next to the table first and then swapped in with a
-    dynamic partition overwrite; a run that dies in between is completed by the next
-    one that opens the state. One writer at a time.
+    Tables are partitioned by host, or by `buckets` hash buckets of hosts, which keeps
+    the number of folders fixed when a crawl covers very many hosts. A change touches
+    the partitions it has rows for and no others. Merged pages and sitemaps are written
+    in full next to the table first and then swapped in with a dynamic partition
+    overwrite; a run that dies in between is completed by the next one that opens the
+    state. One writer at a time, and always the same number of buckets.
     """
 
     @classmethod
-    def for_url(cls, spark, root, url):
+    def for_url(cls, spark, root, url, buckets=None):
         """A state of its own for the host of `url`, at <root>/<host>; no host is an error."""
         host = host_of(url)
         if not host:
             raise ValueError(f"cannot derive a state location from URL {url!r}")
-        return cls(spark, f"{root.rstrip('/')}/{host}")
+        return cls(spark, f"{root.rstrip('/')}/{host}", buckets)
 
-    def __init__(self, spark, root):
+    def __init__(self, spark, root, buckets=None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
         for table in _IDS:
             if path_exists(spark, f"{self._staged(table)}/_SUCCESS"):
                 self._publish(table)
@@ -56,18 +57,27 @@ class CrawlState:
     def _staged(self, table):
         return f"{self.root}/_staged/{table}"
 
+    def _partition(self):
+        """Name and value of the partition column."""
+        if self.buckets:
+            return "bucket", F.pmod(F.xxhash64("host"), F.lit(self.buckets)).cast("int")
+        return "host", F.col("host")
+
     def read(self, table, hosts=None):
-        """The table, or the part of it that belongs to `hosts` (a DataFrame with `host`)."""
+        """The table, or the partitions that hold `hosts` (a DataFrame with `host`)."""
         if not path_exists(self.spark, self._path(table)):
             return self.spark.createDataFrame([], _SCHEMAS[table])
-        rows = self.spark.read.schema(_SCHEMAS[table]).parquet(self._path(table))
-        if hosts is None:
-            return rows
-        wanted = hosts.select("host").distinct()
-        named = [row.host for row in wanted.limit(PRUNE_HOSTS + 1).collect()]
-        if len(named) <= PRUNE_HOSTS:
-            return rows.filter(F.col("host").isin(named))
-        return rows.join(wanted, "host", "left_semi")
+        name, value = self._partition()
+        schema = _SCHEMAS[table] + (", bucket int" if self.buckets else "")
+        rows = self.spark.read.schema(schema).parquet(self._path(table))
+        if hosts is not None:
+            wanted = hosts.select(value.alias(name)).distinct()
+            values = [row[name] for row in wanted.limit(PRUNE_VALUES + 1).collect()]
+            if len(values) <= PRUNE_VALUES:
+                rows = rows.filter(F.col(name).isin(values))
+            else:
+                rows = rows.join(wanted, name, "left_semi")
+        return rows.select(*column_names(_SCHEMAS[table]))
 
     def last_id(self, table):
         """Highest id ever given out for the table, without scanning the table.
@@ -88,37 +98,41 @@ class CrawlState:
         top.write.mode("overwrite").parquet(self._mark(table))
         self._publish(table)
 
+    def append_products(self, products):
+        """Append products; writing a batch again replaces that batch instead of doubling it.
+
+        A batch owns its partitions, so it needs no staging: a run that dies is
+        repeated and writes the same partitions again.
+        """
+        placed = products.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
+        self._overwrite("structured_products", placed, "batch_id")
+
     def _publish(self, table):
-        staged = self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table))
-        self._overwrite(table, staged)
+        self._overwrite(table, self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table)))
         delete_path(self.spark, self._staged(table))
 
-    def _overwrite(self, table, rows):
+    def _overwrite(self, table, rows, *more_keys):
+        name, value = self._partition()
+        keys = [name, *more_keys]
         # The hint makes adaptive execution split hosts with many rows over several
-        # tasks and put small ones together, so files come out evenly sized.
-        keys = _PARTITIONS[table]
+        # tasks and put small ones together, so files come out evenly sized. Rows are
+        # sorted by URL, so that looking one up reads few row groups.
         (
-            rows.hint("rebalance", *keys)
+            rows.withColumn(name, value)
+            .hint("rebalance", *keys)
+            .sortWithinPartitions(*keys, "url")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .parquet(self._path(table))
         )
 
-    def append_products(self, products):
-        """Append products; writing a batch again replaces that batch instead of doubling it.
-
-        A batch owns its partitions, so it needs no staging: a run that dies is
-        repeated and writes the same partitions again.
-        """
-        placed = products.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
-        self._overwrite("structured_products", placed)
-
 
 def write_state(df, path):
     """Write one host-partitioned state table to `path`."""
     placed = df.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
-    placed.hint("rebalance", "host").write.mode("overwrite").partitionBy("host").parquet(path)
+    sorted_rows = placed.hint("rebalance", "host").sortWithinPartitions("host", "url")
+    sorted_rows.write.mode("overwrite").partitionBy("host").parquet(path)
 
 
 def read_state(spark, path, schema, host=None):
