@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from wareloom.operators import merges
@@ -127,3 +129,36 @@ def test_classification_and_reports(spark):
     assert lines[5] == "[scraped]\t[6/6]\t204\t3ms\tok"
     assert scrape_summary(outcomes, spark.range(4)).first().asDict() == dict(pages_scraped=6, failures=5, stored_products=4)
     assert scrape_summary(outcomes.filter("false"), spark.range(0)).first().asDict() == dict(pages_scraped=0, failures=0, stored_products=0)
+
+
+def test_random_batches_against_row_by_row_updates(spark, no_pages):
+    """Merges give what inserting and updating one row after the other would."""
+    rng = random.Random(7)
+    urls = [f"https://h{i % 3}.com/{i}" for i in range(25)]
+    expected, pages = {}, no_pages
+    for batch in range(4):
+        upserts, outcomes = [], []
+        for seq in range(60):
+            url = rng.choice(urls)
+            lastmod, source = rng.choice([None, "", f"d{seq}"]), rng.choice([None, "", f"s{seq}"])
+            upserts.append((url, lastmod, source, batch, seq))
+            row = expected.setdefault(url, [len(expected) + 1, None, None, "pending", None, None, None, None])
+            row[1], row[2] = source or None, lastmod or row[2]
+        for seq in range(30):
+            url = rng.choice(urls + ["unknown"])
+            failed = rng.random() < 0.5
+            status, error = (rng.choice([0, 404, 500]), f"e{seq}") if failed else (200, None)
+            outcomes.append((url, "failed" if failed else "success", status, seq, error, "", batch, seq))
+            if url in expected:
+                expected[url][3:] = ["failed" if failed else "success", status, seq, error, batch]
+        rng.shuffle(upserts)
+        rng.shuffle(outcomes)
+        now = f"2024-02-0{batch + 1} 00:00:00"
+        pages = fixed(merges.upsert_pages(pages, spark.createDataFrame(upserts, PAGE_BATCH), now))
+        pages = fixed(merges.apply_outcomes(pages, spark.createDataFrame(outcomes, OUTCOMES), now))
+    got = {
+        r.url: [r.page_id, r.source_sitemap, r.lastmod, r.scrape_status, r.status_code, r.duration_ms, r.error,
+                r.visited_at.day - 1 if r.visited_at else None]
+        for r in pages.collect()
+    }
+    assert got == expected

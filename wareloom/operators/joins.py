@@ -16,9 +16,12 @@ def lookup_join(left, right, key, how="inner", hot_rows=HOT_KEY_ROWS, salts=SALT
     Keys with more than `hot_rows` rows are spread over `salts` partitions and their
     single right row is repeated as often. At most HOT_KEYS keys are salted, the
     most frequent ones, which bounds the broadcast; each key beyond them holds less
-    than one in HOT_KEYS rows, so it cannot overload a task. `left` is read twice
-    (the first time only its key), so store it beforehand if it is expensive.
+    than one in HOT_KEYS rows, so it cannot overload a task. With `hot_rows` rows or
+    fewer on the left there is nothing to salt. `left` is read more than once (at first
+    only its key), so store it beforehand if it is expensive.
     """
+    if left.select(key).count() <= hot_rows:
+        return left.join(right, key, how)
     others = [name for name in left.columns if name != key] or [key]
     hot = (
         left.groupBy(key)
