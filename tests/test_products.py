@@ -77,6 +77,8 @@ SCRIPTS = {
     "types": ('[{"@type":"https://schema.org/PRODUCT"},{"@type":"http://schema.org/Product"},{"@type":"schema:Product"},{"@type":[["x",["PRODUCT"]]]},{"@type":{"a":"Product"}},{"@type":null},{"type":"Product"}]', ['{"@type":"https://schema.org/PRODUCT"}', '{"@type":[["x",["PRODUCT"]]]}']),
     "lone-surrogate": ('{"@type":"Product","a":"\\ud800x"}', ['{"@type":"Product","a":"' + chr(0xFFFD) + 'x"}']),
     "pair": ('{"@type":"Product","a":"\\ud83d\\ude00"}', ['{"@type":"Product","a":"😀"}']),
+    "empties": ('{"@type":"Product","a":{},"b":[],"c":[[],{}],"d":""}', ['{"@type":"Product","a":{},"b":[],"c":[[],{}],"d":""}']),
+    "deep-inside": ('{"@type":"Product","a":' + "[" * 1500 + "1.0" + "]" * 1500 + "}", ['{"@type":"Product","a":' + "[" * 1500 + "1.0" + "]" * 1500 + "}"]),
     "deep": ("[" * 400 + '{"@type":"Product"}' + "]" * 400, ['{"@type":"Product"}']),
 }
 

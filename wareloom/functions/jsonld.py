@@ -70,17 +70,35 @@ def _quote(text):
 
 
 def canonical_json(value):
-    """Compact JSON with sorted keys, number literals kept and mark-up characters escaped."""
-    if isinstance(value, Literal):
-        return str(value)
-    if isinstance(value, str):
-        return _quote(value)
-    if isinstance(value, dict):
-        clean = {_LONE_SURROGATE.sub(_REPLACEMENT, key): item for key, item in value.items()}
-        return "{" + ",".join(f"{_quote(key)}:{canonical_json(clean[key])}" for key in sorted(clean)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical_json, value)) + "]"
-    return {None: "null", True: "true", False: "false"}[value]
+    """Compact JSON with sorted keys, number literals kept and mark-up characters escaped.
+
+    Works off a stack of values and finished pieces, so deep nesting is no problem.
+    """
+    out, waiting = [], [value]
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, Literal):
+            out.append(item)
+        elif isinstance(item, str):
+            out.append(_quote(item))
+        elif isinstance(item, dict):
+            clean = {_LONE_SURROGATE.sub(_REPLACEMENT, key): member for key, member in item.items()}
+            waiting.append(Literal("}"))
+            for place, key in reversed(list(enumerate(sorted(clean)))):
+                waiting.append(clean[key])
+                waiting.append(Literal(f"{',' if place else '{'}{_quote(key)}:"))
+            if not clean:
+                waiting.append(Literal("{"))
+        elif isinstance(item, list):
+            waiting.append(Literal("]"))
+            for place, member in reversed(list(enumerate(item))):
+                waiting.append(member)
+                waiting.append(Literal("," if place else "["))
+            if not item:
+                waiting.append(Literal("["))
+        else:
+            out.append({None: "null", True: "true", False: "false"}[item])
+    return "".join(out)
 
 
 def script_products(script_type, text, decoder):
