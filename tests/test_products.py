@@ -139,3 +139,22 @@ def test_bodies_are_decoded_and_walked_once(captures):
 @pytest.mark.parametrize("script_type", ["application/ld+json", "application/ld&#x2b;json"])
 def test_type_references(script_type):
     assert script_products(script_type, P, literal_decoder()) == [P]
+
+
+def test_long_constructs_do_not_exhaust_the_stack(captures):
+    """Every loop of the token expression, with a few hundred thousand turns."""
+    many = 300_000
+    pages = {
+        "comment": "<!--" + "-<x" * many + "-->",
+        "script": "<script>" + "a<b " * many + "</script>",
+        "script-comment": "<script><!--" + "-<x " * many + "--></script>",
+        "inner-script": "<script><!-- <script>" + "<y " * many + "</script> --></script>",
+        "raw-element": "<style>" + "a<b " * many + "</style>",
+        "attributes": "<p " + 'a="1" b ' * many + ">",
+        "attribute": '<p a="' + "x<" * many + '">',
+        "tags": "<p><br/>" * many,
+        "text": "< 1 <" * many,
+        "bogus": "<!x><?y>" * many,
+    }
+    rows = captures(*[dict(url=name, body=page + LD) for name, page in pages.items()])
+    assert {r.url for r in extract_products(rows).collect()} == set(pages)
