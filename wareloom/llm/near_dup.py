@@ -4,12 +4,13 @@
    into bands. Documents with equal words form one class; a class goes on as its smallest id.
 2. Classes that share a band form a bucket. The bucket's smallest class is its pivot, and all others
    are verified against the pivot on full sets: as many rows as members, never all pairs.
-3. Members that are no match for the pivot may still match each other. Let D(x) be the shingles in
-   which x and the pivot differ. x and y differ in D(x) ^ D(y); if they match and x does not match
-   the pivot, D(x) and D(y) overlap, and by so much that x and y share an element among the first
-   few of D(x) and D(y) in any fixed order (prefix filter). Those elements are the buckets of the next
-   level. So every pair that shares a band is connected or refuted exactly, and a group of
-   near copies costs its size times the few elements that set its members apart.
+3. Members that are no match for the pivot may still match each other. A pivot's members that fall into
+   several components get a centre: the member nearest to the shingles most of them have. Let D(x) be
+   the shingles in which x and the centre differ. x and y differ in D(x) ^ D(y); if they match and x
+   does not match the centre, D(x) and D(y) overlap, and by so much that x and y share an element
+   among the first few of D(x) and D(y) in any fixed order (prefix filter). The order puts what a member
+   has of its own first, so only members with the same rare changes meet. Every pair that shares a
+   band is thereby connected or refuted exactly, without a look at most of them.
 4. Links are thinned by union-find inside each task and then contracted, smallest id first, until
    no link is left between components.
 """
@@ -107,111 +108,133 @@ def _plain(docs):
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
 
 
-def _pivots(members, tables, name):
-    """Members of open buckets next to the bucket's pivot, the pivot itself left out.
-
-    A bucket is open if it has two nodes, one that may be a pivot (`near`), and one whose links are
-    not settled yet (`loose`).
-    """
-    keys = [c for c in members.columns if c not in ("node", "near", "loose")]
-    several = (
-        members.groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("near"), F.col("node"))).alias("pivot"),
-            F.min("node").alias("_low"),
-            F.max("node").alias("_high"),
-            F.max("loose").alias("_loose"),
-        )
-        .filter(F.col("pivot").isNotNull() & (F.col("_low") < F.col("_high")) & F.col("_loose"))
-        .drop("_low", "_high", "_loose")
-    )
-    several = tables.write(several, f"{name}-pivots")
-    return members.join(several, keys).filter(F.col("node") != F.col("pivot"))
+def band_pairs(sketches, tables):
+    """(node, pivot): every class next to the smallest class of each of its buckets."""
+    named = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node")).select("node").distinct()
+    heads = named.select(F.col("doc_id").alias("node"), "bands").join(tables.write(nodes, "nodes"), "node", "left_semi")
+    members = heads.select("node", F.explode("bands").alias("band"))
+    several = members.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("_high"))
+    several = tables.write(several.filter("pivot < _high").drop("_high"), "buckets")
+    found = members.join(several, "band").filter("node != pivot").select("node", "pivot").distinct()
+    return tables.write(found, "pairs")
 
 
-def compare(pairs, sets, percent):
-    """Verify (group, node, pivot) on full sets; adds sizes, `linked` and the two halves of the difference."""
+def verified(pairs, sets, percent):
+    """The pairs (node, pivot) whose full sets match."""
     own = sets.select("node", F.col("shingles").alias("own"))
     other = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs"))
-    both = pairs.join(own, "node").join(other, "pivot")
     common = F.size(F.array_intersect("own", "theirs"))
-    sized = both.withColumns(
-        {"_common": common, "_own": F.size("own"), "_theirs": F.size("theirs")}
+    sized = pairs.join(own, "node").join(other, "pivot").select(
+        "node", "pivot", common.alias("common"), (F.size("own") + F.size("theirs")).alias("both")
     )
-    union = F.col("_own") + F.col("_theirs") - F.col("_common")
-    linked = (F.lit(100) * F.col("_common") >= F.lit(percent) * union).alias("linked")
-    return sized.select(
-        "group",
-        "node",
-        "pivot",
-        linked,
-        F.col("_own").alias("n_own"),
-        F.col("_theirs").alias("n_theirs"),
-        F.sort_array(F.array_except("own", "theirs")).alias("added"),
-        F.sort_array(F.array_except("theirs", "own")).alias("missing"),
+    return sized.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("both") - F.col("common"))).select("node", "pivot")
+
+
+def _count_elements(batches):
+    for batch in batches:
+        parts = []
+        for group, rows in batch.groupby("group"):
+            elements, counts = np.unique(np.concatenate(rows["own"].to_list()), return_counts=True)
+            parts.append(pd.DataFrame({"group": group, "element": elements, "n": counts}))
+        if parts:
+            yield pd.concat(parts)
+
+
+def centres(members, tables):
+    """(group, centre, usual): the shingles more than half of a group's members have, and the nearest member."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
+    counted = members.mapInPandas(_count_elements, "group bigint, element bigint, n bigint")
+    usual = (
+        counted.groupBy("group", "element")
+        .agg(F.sum("n").alias("n"))
+        .join(sizes, "group")
+        .filter(F.col("n") * 2 > F.col("members"))
+        # No more than twice the shingles of a member.
+        .groupBy("group")
+        .agg(F.sort_array(F.collect_list("element")).alias("usual"))
     )
+    usual = tables.write(usual, "usual")
+    shared = F.size(F.array_intersect("own", "usual"))
+    apart = (F.size("own") + F.size("usual") - 2 * shared).alias("apart")
+    near = members.join(usual, "group").select("group", "node", apart)
+    nearest = near.groupBy("group").agg(F.min_by("node", F.struct("apart", "node")).alias("centre"))
+    return tables.write(nearest.join(usual, "group"), "centres")
 
 
-def next_buckets(compared, percent):
-    """Buckets of the next level: (group, element, node, near, loose).
+def differences(members, centre_of, sets, percent):
+    """(group, node, element, near, loose): the first elements of each member's difference from the centre.
 
     With c = (100 - percent) / (100 + percent), sets x and y match if |D(x) ^ D(y)| <= c (|x| + |y|).
     If z matches some y, they share at least |D(z)| - c |z| (1 + 100 / percent) elements of D(z). If
-    moreover y is no match for the pivot p, they share more than (|D(z)| + c (|p| - |z|)) / 2. The first
-    bound gives the prefix by which z meets any partner, both give the shorter one (`near`) by which
-    it meets partners that are no match for the pivot. One of a pair always is of that kind.
+    moreover y is no match for the centre p, they share more than (|D(z)| + c (|p| - |z|)) / 2. The first
+    bound gives the prefix by which z meets any partner, both give the shorter one (`near`) by which it
+    meets partners that are no match for the centre (`loose`). One of a pair not yet linked is loose.
     """
     c, whole = 100 - percent, 100 + percent
+    other = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("theirs"))
+    known = centre_of.join(other, "centre")
+    added, missing = F.array_except("own", "theirs"), F.array_except("theirs", "own")
+    rows = members.join(known, "group").filter("node != centre").select(
+        "group", "node", "usual", F.size("own").alias("n"), F.size("theirs").alias("p"),
+        F.sort_array(added).alias("added"), F.sort_array(missing).alias("missing"),
+    )
     apart = (F.size("added") + F.size("missing")).cast("bigint")
-    shared = F.floor((whole * apart + c * (F.col("n_theirs") - F.col("n_own"))) / (2 * whole))
-    far = F.least(apart, F.floor(F.lit(c) * F.col("n_own") / F.lit(percent)) + 1)
-    near = F.least(far, apart - F.greatest(F.lit(0), shared))
-    reach = F.when(F.col("linked"), near).otherwise(far).cast("int")
-    unlinked = compared.filter(~F.col("linked")).select("group").distinct()
-    # Added elements come before missing ones, each sorted: the same order for all members of a group.
+    rows = rows.withColumn("apart", apart)
+    loose = F.lit(whole) * F.col("apart") > F.lit(c) * (F.col("n") + F.col("p"))
+    shared = F.floor((whole * F.col("apart") + c * (F.col("p") - F.col("n"))) / (2 * whole))
+    far = F.least(F.col("apart"), F.floor(F.lit(c) * F.col("n") / F.lit(percent)) + 1)
+    near = F.least(far, F.col("apart") - F.greatest(F.lit(0), shared))
+    # What only this member has comes first, then what it lacks, then what sets the centre itself apart.
     ordered = F.concat(
-        F.slice("added", F.lit(1), reach),
-        F.slice("missing", F.lit(1), F.greatest(F.lit(0), reach - F.size("added"))),
-    )
-    return (
-        compared.join(unlinked, "group", "left_semi")
-        .select("group", "node", "linked", near.alias("_near"), F.posexplode(ordered).alias("_place", "element"))
-        .select("group", "element", "node", (F.col("_place") < F.col("_near")).alias("near"), (~F.col("linked")).alias("loose"))
+        F.array_except("added", "usual"), F.array_intersect("missing", "usual"),
+        F.array_intersect("added", "usual"), F.array_except("missing", "usual"),
     )
+    reach = F.when(loose, far).otherwise(near).cast("int")
+    return rows.select(
+        "group", "node", loose.alias("loose"), near.alias("_near"), F.posexplode(F.slice(ordered, F.lit(1), reach)).alias("_place", "element")
+    ).select("group", "element", "node", (F.col("_place") < F.col("_near")).alias("near"), "loose")
 
 
 def find_links(sketches, docs, tables, percent=PERCENT, words=WORDS):
-    """Verified links (a, b), a > b, that connect all classes a chain of matches connects."""
-    spark = sketches.sparkSession
-    classes = (
-        sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"))
-    )
-    nodes = tables.write(classes.select("node").distinct(), "nodes")
-    heads = sketches.select(F.col("doc_id").alias("node"), "bands").join(nodes, "node", "left_semi")
-    members = heads.select("node", F.explode("bands").alias("element"), F.lit(True).alias("near"), F.lit(True).alias("loose"))
-    found = _pivots(members, tables, "bands")
-    pairs = tables.write(found.select(F.col("pivot").alias("group"), "node", "pivot").distinct(), "pairs-0")
-    involved = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("pivot")).distinct()
-    texts = _plain(docs).join(tables.write(involved, "involved"), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    """Verified links (a, b) that connect all classes a chain of matches connects."""
+    pairs = band_pairs(sketches, tables)
+    involved = tables.write(pairs.select(F.col("node").alias("doc_id")).union(pairs.select("pivot")).distinct(), "involved")
+    texts = _plain(docs).join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = tables.write(texts.mapInPandas(_sets(words), "node bigint, shingles array<bigint>"), "sets")
-    links, level = [], 0
-    while not pairs.isEmpty():
-        compared = tables.write(compare(pairs, sets, percent), f"compared-{level}")
-        links.append(compared.filter("linked").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
-        members = tables.write(next_buckets(compared, percent), f"members-{level + 1}")
-        level += 1
-        found = _pivots(members, tables, f"level-{level}")
-        pairs = found.select(F.xxhash64("group", "pivot").alias("group"), "node", "pivot").distinct()
-        pairs = tables.write(pairs, f"pairs-{level}")
-    if not links:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    return every
+    links = tables.write(verified(pairs, sets, percent).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
+    labels = components(links, tables, "first")
+
+    def labelled(rows):
+        placed = rows.join(labels, "node", "left")
+        return placed.withColumn("component_id", F.coalesce("component_id", "node"))
+
+    # A pivot and all members of its buckets; groups in one component, and pairs, are settled.
+    groups = pairs.select(F.col("pivot").alias("group"), "node").union(pairs.select(F.col("pivot").alias("group"), "pivot").distinct())
+    groups = tables.write(labelled(groups), "groups")
+    unsettled = groups.groupBy("group").agg(
+        F.count("*").alias("n"), F.min("component_id").alias("low"), F.max("component_id").alias("high")
+    ).filter("n > 2 AND low < high").select("group")
+    own = sets.select("node", F.col("shingles").alias("own"))
+    members = groups.join(unsettled, "group", "left_semi").join(own, "node").select("group", "node", "own")
+    members = tables.write(members, "members")
+    centre_of = centres(members, tables)
+    to_centre = members.select("group", "node").join(centre_of.select("group", F.col("centre").alias("pivot")), "group")
+    to_centre = to_centre.filter("node != pivot").select("node", "pivot").distinct()
+
+    parts = tables.write(labelled(differences(members, centre_of, sets, percent)), "differences")
+    met = parts.groupBy("group", "element").agg(
+        F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.max("near").alias("near"), F.max("loose").alias("loose")
+    ).filter("low < high AND near AND loose").select("group", "element")
+    parts = tables.write(parts.join(met, ["group", "element"], "left_semi"), "meeting")
+    one = parts.filter("loose").select("group", "element", "node", "component_id")
+    two = parts.filter("near").select("group", "element", F.col("node").alias("pivot"), F.col("component_id").alias("_other"))
+    candidates = one.join(two, ["group", "element"]).filter("component_id != _other")
+    candidates = candidates.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+    candidates = tables.write(candidates.union(to_centre), "candidates")
+    more = verified(candidates, sets, percent).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    known = labels.filter("node != component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    return known.union(more)
 
 
 def _spanning(batches):
@@ -247,15 +270,15 @@ def _spanning(batches):
     yield pd.DataFrame({"a": nodes, "b": tops}, dtype="int64")
 
 
-def components(links, tables):
+def components(links, tables, name="all"):
     """(node, component_id) of all linked nodes: the smallest node that links reach."""
-    edges = tables.write(links.mapInPandas(_spanning, "a bigint, b bigint"), "edges-0")
+    edges = tables.write(links.mapInPandas(_spanning, "a bigint, b bigint"), f"{name}-edges-0")
     labels, step = None, 0
     while not edges.isEmpty():
         step += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("_low")).select(F.col("a").alias("node"), F.least("a", "_low").alias("up"))
-        up = tables.write(up, f"up-{step}")
+        up = tables.write(up, f"{name}-up-{step}")
         # Parents are never larger, so jumping ends at the root of each node's tree.
         jump = 0
         while True:
@@ -263,7 +286,7 @@ def components(links, tables):
             over = up.select(F.col("node").alias("up"), F.col("up").alias("_over"))
             top = F.coalesce("_over", "up")
             up = up.join(over, "up", "left").select("node", top.alias("up"), (top != F.col("up")).alias("_moved"))
-            up = tables.write(up, f"up-{step}-{jump}")
+            up = tables.write(up, f"{name}-up-{step}-{jump}")
             if up.filter("_moved").isEmpty():
                 break
             up = up.drop("_moved")
@@ -273,10 +296,10 @@ def components(links, tables):
         else:
             moved = up.select(F.col("node").alias("component_id"), "up")
             labels = labels.join(moved, "component_id", "left").select("node", F.coalesce("up", "component_id").alias("component_id"))
-        labels = tables.write(labels, f"labels-{step}")
+        labels = tables.write(labels, f"{name}-labels-{step}")
         to_a, to_b = up.select(F.col("node").alias("a"), F.col("up").alias("_a")), up.select(F.col("node").alias("b"), F.col("up").alias("_b"))
         rest = edges.join(to_a, "a").join(to_b, "b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b"))
-        edges = tables.write(rest.filter("a != b").distinct(), f"edges-{step}")
+        edges = tables.write(rest.filter("a != b").distinct(), f"{name}-edges-{step}")
     return links.sparkSession.createDataFrame([], "node bigint, component_id bigint") if labels is None else labels
 
 
