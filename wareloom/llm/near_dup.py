@@ -163,7 +163,7 @@ def centres(members, tables):
 
 
 def differences(members, centre_of, sets, percent):
-    """(group, node, element, near, loose): the first elements of each member's difference from the centre.
+    """(group, element, node, place, apart, n, near, loose): the first elements of each member's difference.
 
     With c = (100 - percent) / (100 + percent), sets x and y match if |D(x) ^ D(y)| <= c (|x| + |y|).
     If z matches some y, they share at least |D(z)| - c |z| (1 + 100 / percent) elements of D(z). If
@@ -191,9 +191,31 @@ def differences(members, centre_of, sets, percent):
         F.array_intersect("added", "usual"), F.array_except("missing", "usual"),
     )
     reach = F.when(loose, far).otherwise(near).cast("int")
-    return rows.select(
-        "group", "node", loose.alias("loose"), near.alias("_near"), F.posexplode(F.slice(ordered, F.lit(1), reach)).alias("_place", "element")
-    ).select("group", "element", "node", (F.col("_place") < F.col("_near")).alias("near"), "loose")
+    first = F.posexplode(F.slice(ordered, F.lit(1), reach)).alias("place", "element")
+    return rows.select("group", "node", "apart", "n", loose.alias("loose"), near.alias("_near"), first).select(
+        "group", "element", "node", "place", "apart", "n", (F.col("place") < F.col("_near")).alias("near"), "loose"
+    )
+
+
+def meetings(parts, percent):
+    """Pairs (node, pivot) of different components whose differences may overlap enough for a match.
+
+    A pair needs an overlap of a = (|D(x)| + |D(y)| - c (|x| + |y|)) / 2, so the first element they share has
+    at least a - 1 others behind it on both sides.
+    """
+    c, whole = 100 - percent, 100 + percent
+    one = parts.filter("loose").select("group", "element", "node", "component_id", "place", "apart", "n")
+    two = parts.filter("near").select(
+        "group", "element", F.col("node").alias("pivot"), F.col("component_id").alias("_other"),
+        F.col("place").alias("_place"), F.col("apart").alias("_apart"), F.col("n").alias("_n"),
+    )
+    overlap = whole * (F.col("apart") + F.col("_apart")) - c * (F.col("n") + F.col("_n"))
+    enough = (2 * whole * (F.col("apart") - F.col("place")) >= overlap) & (2 * whole * (F.col("_apart") - F.col("_place")) >= overlap)
+    sizes = (100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n"))
+    met = (
+        (one["group"] == two["group"]) & (one["element"] == two["element"]) & (F.col("component_id") != F.col("_other")) & enough & sizes
+    )
+    return one.join(two, met).select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
 
 
 def find_links(sketches, docs, tables, percent=PERCENT, words=WORDS):
@@ -227,10 +249,7 @@ def find_links(sketches, docs, tables, percent=PERCENT, words=WORDS):
         F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.max("near").alias("near"), F.max("loose").alias("loose")
     ).filter("low < high AND near AND loose").select("group", "element")
     parts = tables.write(parts.join(met, ["group", "element"], "left_semi"), "meeting")
-    one = parts.filter("loose").select("group", "element", "node", "component_id")
-    two = parts.filter("near").select("group", "element", F.col("node").alias("pivot"), F.col("component_id").alias("_other"))
-    candidates = one.join(two, ["group", "element"]).filter("component_id != _other")
-    candidates = candidates.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+    candidates = meetings(parts, percent)
     candidates = tables.write(candidates.union(to_centre), "candidates")
     more = verified(candidates, sets, percent).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     known = labels.filter("node != component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
