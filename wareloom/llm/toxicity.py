@@ -37,7 +37,6 @@ EXCEPTIONS = ("trash can", "clown fish", "trash bin", "stupid simple")
 
 _WORD = re.compile(r"[\w@$!]+")
 _DISGUISED = re.compile(r"[013457@$!]")
-_EDGE = "!$@_"
 
 SCORED = "n_words bigint, n_hits bigint, weight double, score double"
 
@@ -51,7 +50,7 @@ def fold(text):
 
 
 def _unmask(word):
-    word = word.strip(_EDGE) or word
+    word = word.rstrip("!") or word
     return word.translate(SUBSTITUTES) if any(letter.isalpha() for letter in word) else word
 
 
