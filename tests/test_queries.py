@@ -4,8 +4,8 @@ import __spark_entry__ as entry_points
 from compare import assert_same
 from conftest import SF
 
-QUERIES = entry_points.queries()
-CHECKS = entry_points.oracle_sql()
+from wareloom.plans.checks import CHECKS
+from wareloom.plans.registered import QUERIES
 
 # Queries whose results depend on positions, order of arrival or ties.
 ORDERED = ["upsert_pages", "pending_pages_after", "failed_sitemaps", "scrape_log", "resolved_pages"]
@@ -13,6 +13,7 @@ ORDERED = ["upsert_pages", "pending_pages_after", "failed_sitemaps", "scrape_log
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(CHECKS) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
