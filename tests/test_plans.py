@@ -60,7 +60,7 @@ def test_scraping_never_shuffles_bodies(spark, stored_captures, monkeypatch):
     wanted = RunTables(spark, "plans").write(stored_captures.select("url"), "wanted")
     few = plan(runs._narrowed(stored_captures, wanted))
     assert "BroadcastHashJoin" in few and "Exchange hashpartitioning" not in few
-    monkeypatch.setattr(runs, "SMALL_ROWS", 1)
+    monkeypatch.setattr(runs, "BROADCAST_BYTES", 1)
     many = plan(runs._narrowed(stored_captures, wanted))
     assert "Join" not in many and "Exchange" not in many
 

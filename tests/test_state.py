@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from wareloom.schemas import PAGES, STRUCTURED_PRODUCTS
 from wareloom.session import checkpoint_root
 from wareloom.sources.captures import read_captures, read_page_list
 from wareloom.sources.state import CrawlState, read_state, write_state
+from wareloom.streaming.capture_state import process_captures
 
 NOW = datetime(2024, 1, 1)
 
@@ -53,9 +55,76 @@ def test_interrupted_publish_is_completed(spark, run_dir, monkeypatch):
             state.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "success"), page(9, "https://b/9", "b")))
     assert stored(state) == [("a", 1, "pending")]
     again = CrawlState(spark, run_dir + "/s")
+    assert stored(again) == [("a", 1, "pending")]
+    again.recover()
     assert stored(again) == [("a", 1, "success"), ("b", 9, "pending")] and again.last_id("pages") == 9
 
 
+@pytest.mark.parametrize("step", ["_raise_mark", "_publish", "_overwrite"])
+def test_no_id_is_given_twice_after_a_crash(spark, run_dir, monkeypatch, step):
+    state = CrawlState(spark, run_dir + "/s")
+    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(CrawlState, step, die)
+        with pytest.raises(RuntimeError):
+            state.replace("pages", pages_of(spark, page(1, "https://a/1", "a"), page(2, "https://a/2", "a")))
+    again = CrawlState(spark, run_dir + "/s")
+    runs.listed_run_candidates(read_page_list(spark, urls=["https://a/3"]), again, NOW)
+    assert sorted((r.page_id, r.url) for r in again.read("pages").collect()) == [(1, "https://a/1"), (2, "https://a/2"), (3, "https://a/3")]
+
+
+def test_runs_and_streams_keep_each_others_products(spark, captures, run_dir):
+    state = CrawlState(spark, run_dir + "/s")
+    for number, url in enumerate(["https://a/1", "https://a/2"], 1):
+        chosen = runs.listed_run_candidates(read_page_list(spark, urls=[url]), state, NOW)
+        summary, _ = runs.scrape_run(chosen, captures(dict(url=url, body=LD)), state, NOW)
+        assert summary.first()["stored_products"] == number
+    for name in ("one", "two", "two"):
+        process_captures(captures(dict(url="https://a/2", body=LD)), 0, state, NOW, stream=name)
+    assert sorted(r.url for r in state.read("structured_products").collect()) == ["https://a/1", *["https://a/2"] * 3]
+
+
+def test_undecodable_and_repeated_captures(spark, captures, run_dir):
+    state = CrawlState(spark, run_dir + "/s")
+    urls = ["https://a/br", "https://a/mixed", "https://a/twice"]
+    chosen = runs.listed_run_candidates(read_page_list(spark, urls=urls), state, NOW)
+    rows = captures(
+        dict(url=urls[0], body=b"\x0b\x02\x80", content_encoding="br"),
+        dict(url=urls[1], body=gzip.compress(b"\x0b\x02\x80"), content_encoding="br, gzip"),
+        dict(url=urls[2], body=LD + LD, batch_id=1),
+        dict(url=urls[2], body=LD, batch_id=2),
+    )
+    summary, outcomes = runs.scrape_run(chosen, rows, state, NOW)
+    assert summary.first().asDict() == dict(pages_scraped=3, failures=2, stored_products=1)
+    assert [(r.scrape_status, r.error) for r in outcomes.orderBy("seq").collect()] == [
+        ("failed", "unsupported content encoding br"), ("failed", "unsupported content encoding br, gzip"), ("success", None)
+    ]
+
+
+def test_products_of_unknown_pages_are_failures(spark, captures, run_dir):
+    state = CrawlState(spark, run_dir + "/s")
+    chosen = read_page_list(spark, urls=["https://a/never-seeded"])
+    summary, _ = runs.scrape_run(chosen, captures(dict(url="https://a/never-seeded", body=LD + LD)), state, NOW)
+    assert summary.first().asDict() == dict(pages_scraped=1, failures=2, stored_products=0)
+
+
+def test_failed_robots_are_records(spark, captures, run_dir):
+    robots = captures(
+        dict(url="https://a/robots.txt", body="Sitemap: https://a/s.xml"),
+        dict(url="https://b/robots.txt", status_code=503, status_text="503 Busy"),
+        dict(url="https://c/robots.txt", fetch_error="reset"),
+    )
+    maps = captures(dict(url="https://a/s.xml", body="<urlset><url><loc>https://a/1</loc></url></urlset>"))
+    summary, records, _ = runs.resolve_run(maps, robots, CrawlState(spark, run_dir + "/s"), NOW)
+    failed = {r["loc"]: r.error for r in records.filter("status = 'failed'").collect()}
+    assert failed == {"https://b/robots.txt": "unexpected status 503 Busy", "https://c/robots.txt": "reset"}
+    assert summary.first()["sitemaps_failed"] == 2
+
+
 def test_batches_of_products_are_replaced_not_doubled(spark, run_dir):
     state = CrawlState(spark, run_dir + "/s")
 
@@ -92,7 +161,7 @@ def test_pages_without_host_are_kept(spark, captures, run_dir):
 
 
 def test_many_wanted_pages_are_not_broadcast(spark, captures, run_dir, monkeypatch):
-    monkeypatch.setattr(runs, "SMALL_ROWS", 1)
+    monkeypatch.setattr(runs, "BROADCAST_BYTES", 1)
     state = CrawlState(spark, run_dir + "/s")
     chosen = runs.listed_run_candidates(read_page_list(spark, urls=["https://a/1", "https://a/2"]), state, NOW)
     pages = captures(dict(url="https://a/1", body=LD), dict(url="https://a/2"), dict(url="https://a/3", body=LD))

@@ -20,6 +20,7 @@ UNSUPPORTED_ROOT = "unsupported root element "
 EMPTY_INPUT = "EOF"
 CUT_OFF = "unexpected EOF"
 NOT_GZIP = "gzip: invalid header"
+NOT_DECODED = "unsupported content encoding "
 
 # The script type that is read and the types, in lower case, that count as products.
 JSONLD_TYPE = "application/ld+json"

@@ -8,6 +8,7 @@ PLAIN = "plain"
 DECODED = "decoded"
 PASSED = "passthrough"
 FAILED = "error"
+UNSUPPORTED = "unsupported"
 
 
 class BadHeader(ValueError):
@@ -75,10 +76,13 @@ def inflate(data):
 
 
 def decode_body(data, encodings):
-    """(body, status, error) after undoing a comma list of encodings, last one first."""
+    """(body, status, error) after undoing a comma list of encodings, last one first.
+
+    A body with Brotli in its list stays undecoded as a whole, whatever else was undone.
+    """
     status = PLAIN
-    for name in reversed(encodings.split(",")):
-        name = name.strip()
+    names = [name.strip() for name in encodings.split(",")]
+    for name in reversed(names):
         try:
             if name == "gzip":
                 data, status = gunzip(data), DECODED
@@ -89,7 +93,7 @@ def decode_body(data, encodings):
             status = PASSED
         except ValueError as exc:
             return None, FAILED, str(exc)
-    return data, status, None
+    return data, UNSUPPORTED if "br" in names else status, None
 
 
 def gunzip_body(data):

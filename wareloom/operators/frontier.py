@@ -24,8 +24,8 @@ def page_by_url(pages, url):
 
 
 def pages_by_url(pages, urls):
-    """Batched form of `page_by_url` for a table of URLs with one row per URL."""
-    return pages.join(urls.select("url"), "url")
+    """Batched form of `page_by_url` for a table of URLs, repeated ones included."""
+    return pages.join(urls.select("url"), "url", "left_semi")
 
 
 def slice_candidates(candidates, skip=0, limit=0):

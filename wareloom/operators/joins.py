@@ -43,6 +43,17 @@ def lookup_join(left, right, key, how="inner", hot_rows=HOT_KEY_ROWS, salts=SALT
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
+def latest_rows(rows, key, order=("batch_id", "seq")):
+    """Of the rows of each key those with the highest `order`, one if that is free of ties.
+
+    Only key and order are aggregated, map-side; pass stored, narrow rows, since they are read twice.
+    """
+    last = rows.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
+    last = last.select(F.col(key).alias("_key"), *[F.col(f"_last.{name}").alias(f"_{name}") for name in order])
+    same = [rows[key] == last["_key"], *[rows[name].eqNullSafe(last[f"_{name}"]) for name in order]]
+    return rows.join(last, same, "left_semi")
+
+
 def missing_rows(rows, known, key):
     """Rows whose key `known` (one row per key) does not have.
 

@@ -52,11 +52,14 @@ def failed_sitemaps(records, k=5):
     return failed.orderBy("batch_id", "seq").select("loc", "error").limit(k)
 
 
-def scrape_summary(outcomes, products):
-    """Pages attempted, products stored in total, failures."""
+def scrape_summary(outcomes, products, unstored=None):
+    """Pages attempted, products stored in total, failures; each row of `unstored` is a failure too."""
     counts = outcomes.agg(
         F.count("*").alias("pages_scraped"), F.count_if(F.col("scrape_status") == FAILED).alias("failures")
     )
+    if unstored is not None:
+        lost = unstored.agg(F.lit(0).cast("bigint").alias("pages_scraped"), F.count("*").alias("failures"))
+        counts = counts.union(lost).agg(F.sum("pages_scraped").alias("pages_scraped"), F.sum("failures").alias("failures"))
     stored = products.agg(F.count("*").alias("stored_products"))
     return _one_row(counts, stored)
 

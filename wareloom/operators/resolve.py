@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wareloom.fixed_values import FAILED, INDEX_ROOT, ROBOTS_SOURCE, SET_ROOT
+from wareloom.operators.joins import latest_rows
 from wareloom.operators.sitemaps import parse_sitemaps
 from wareloom.session import RunTables
 
@@ -12,8 +13,8 @@ NOT_CAPTURED = "not captured"
 def resolve_sitemaps(captures, starts, batch_id=0, tables=None):
     """Sitemap records and page URLs reachable from `starts` (url, ord).
 
-    Each URL string is visited once, so cycles end. `captures` holds one response
-    per URL; a URL without one becomes a failed record. Bodies are read and parsed
+    Each URL string is visited once, so cycles end. Of several responses of a URL the
+    latest by (batch_id, seq) counts; a URL without one becomes a failed record. Bodies are read and parsed
     once, before the hops: a hop only joins the frontier with the links of index
     documents, one row per document on either side, so no key can be hot. When
     several parents name a child, the least (depth, parent order, entry position)
@@ -21,7 +22,7 @@ def resolve_sitemaps(captures, starts, batch_id=0, tables=None):
     """
     spark = captures.sparkSession
     tables = tables or RunTables(spark, "resolve")
-    docs = tables.write(parse_sitemaps(captures), "docs")
+    docs = latest_rows(tables.write(parse_sitemaps(captures), "docs"), "url")
     links = docs.filter(F.col("type") == INDEX_ROOT).select(F.col("url").alias("parent"), "children")
     visited_path = tables.path("visited")
 

@@ -9,7 +9,7 @@ from wareloom.operators import frontier, merges, ordering, products, reports
 from wareloom.operators.decode import decode_captures, gunzip_sitemaps
 from wareloom.operators.outcomes import classify_outcomes
 from wareloom.operators.resolve import resolve_sitemaps
-from wareloom.operators.robots import extract_robots_sitemaps
+from wareloom.operators.robots import extract_robots_sitemaps, failed_robots
 from wareloom.operators.sitemaps import parse_sitemaps, sitemap_children, sitemap_pages
 from wareloom.plans import runs
 from wareloom.schemas import PAGES, SITEMAPS, column_names
@@ -17,7 +17,7 @@ from wareloom.session import RunTables
 from wareloom.sources import derived
 from wareloom.sources.captures import read_captures, read_page_list
 from wareloom.sources.state import CrawlState, read_state, write_state
-from wareloom.streaming.capture_state import read_capture_stream, stream_capture_state, unseen_urls
+from wareloom.streaming.capture_state import process_captures, read_capture_stream, stream_capture_state, unseen_urls
 
 FIRST, SECOND = "2024-06-01 00:00:00", "2024-06-02 00:00:00"
 HALF = "2024-01-16"
@@ -81,6 +81,64 @@ def page_list(spark, sf_dir):
     return read_page_list(spark, path, ["https://first.example.com/a", "https://first.example.com/a"], json_lines=True)
 
 
+def page_list_array(spark, sf_dir):
+    """The list as JSON arrays, one for every hundred pages, each in a file of its own."""
+    path = RunTables(spark, "page-list").path("arrays")
+    spanish = F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1) == "es"
+    listed = derived.table(spark, sf_dir, "pages").select(
+        F.lpad(F.floor(F.col("page_id") / 100).cast("string"), 12, "0").alias("part"),
+        "page_id",
+        F.to_json(F.struct(F.when(spanish, F.lit("")).otherwise(F.col("url")).alias("loc"))).alias("entry"),
+    )
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "entry"))), lambda one: one["entry"])
+    arrays = listed.groupBy("part").agg(F.concat(F.lit("["), F.array_join(entries, ",\n"), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return read_page_list(spark, path, ["https://first.example.com/a", "https://first.example.com/a"])
+
+
+def state_round_trip_buckets(spark, sf_dir):
+    """The crawled state in host buckets: every page is stored once, then read for all hosts."""
+    state = CrawlState(spark, RunTables(spark, "bucketed").path("state"), buckets=16)
+    state.replace("pages", _crawled(spark, sf_dir))
+    pages = state.read("pages", _candidates(spark, sf_dir).select(url_host(F.col("url")).alias("host")))
+    return pages.select("host", "url", "page_id", *OUTCOME_COLUMNS)
+
+
+def append_products_runs(spark, sf_dir):
+    """Two scrape runs and two streams' batches over one state, none of which names its run."""
+    state = CrawlState(spark, RunTables(spark, "product-runs").path("state"))
+    bodies = derived.product_pages(spark, sf_dir)
+    for _ in range(2):
+        chosen = runs.listed_run_candidates(_candidates(spark, sf_dir), state, FIRST, resume=False)
+        runs.scrape_run(chosen, bodies, state, SECOND)
+    for stream in ("first", "second", "second"):
+        process_captures(bodies, 0, state, SECOND, stream=stream)
+    return state.read("structured_products").groupBy("url").agg(F.count("*").alias("stored_products"))
+
+
+def scrape_recrawled(spark, sf_dir):
+    """Every page captured twice, the first time with an error; the later capture counts."""
+    state = CrawlState(spark, RunTables(spark, "recrawled").path("state"))
+    bodies = derived.product_pages(spark, sf_dir).withColumn("batch_id", F.lit(1).cast("bigint"))
+    early = bodies.withColumns({"batch_id": F.lit(0).cast("bigint"), "status_code": F.lit(500).cast(bodies.schema["status_code"].dataType)})
+    chosen = runs.listed_run_candidates(_candidates(spark, sf_dir), state, FIRST)
+    runs.scrape_run(chosen, early.unionByName(bodies), state, SECOND)
+    counted = state.read("structured_products").groupBy("url").agg(F.count("*").alias("stored_products"))
+    pages = state.read("pages").join(counted, "url", "left")
+    return pages.select("url", "scrape_status", "status_code", F.coalesce("stored_products", F.lit(0)).alias("stored_products"))
+
+
+def failed_robots_files(spark, sf_dir):
+    """Robots files of hosts with an even name length answer with an error."""
+    robots = derived.robots_captures(spark, sf_dir)
+    even = F.length("url") % 2 == 0
+    status = robots.schema["status_code"].dataType
+    broken = robots.withColumns(
+        {"status_code": F.when(even, F.lit(503)).otherwise(F.lit(200)).cast(status), "status_text": F.when(even, F.lit("503 Busy"))}
+    )
+    return failed_robots(decode_captures(broken)).select("loc", "status", "error")
+
+
 def state_round_trip(spark, sf_dir):
     path = RunTables(spark, "state").path("pages")
     write_state(_crawled(spark, sf_dir), path)
@@ -355,7 +413,12 @@ def stream_captures(spark, sf_dir):
 QUERIES = {
     "read_captures": captures_round_trip,
     "read_page_list": page_list,
+    "read_page_list_array": page_list_array,
     "state_round_trip": state_round_trip,
+    "state_round_trip_buckets": state_round_trip_buckets,
+    "append_products_runs": append_products_runs,
+    "scrape_recrawled": scrape_recrawled,
+    "failed_robots": failed_robots_files,
     "append_products": append_products,
     "decode_captures": decoded,
     "gunzip_sitemaps": gunzipped,

@@ -18,15 +18,18 @@ from wareloom.operators.merges import (
     upsert_pages,
     upsert_sitemaps,
 )
-from wareloom.operators.joins import SMALL_ROWS, lookup_join
+from wareloom.operators.joins import latest_rows, lookup_join
 from wareloom.operators.ordering import with_positions
-from wareloom.operators.outcomes import classify_outcomes
+from wareloom.operators.outcomes import classify_outcomes, extract_error
 from wareloom.operators.products import explode_products, with_products
 from wareloom.operators.reports import resolve_summary, scrape_summary
 from wareloom.operators.resolve import resolve_sitemaps
-from wareloom.operators.robots import extract_robots_sitemaps
+from wareloom.operators.robots import extract_robots_sitemaps, failed_robots
 from wareloom.session import RunTables
 
+# Wanted URLs narrow the captures by a broadcast while their stored table is no larger than this.
+BROADCAST_BYTES = 64 << 20
+
 
 def hosts_of(urls, column="url"):
     """Hosts of a URL column, for reading only their part of the state."""
@@ -36,11 +39,14 @@ def hosts_of(urls, column="url"):
 def resolve_run(captures, robots, state, as_of, batch_id=0):
     """Robots files to sitemaps to pages, merged into `state`; returns (summary, records, pages).
 
-    `robots` and `captures` are responses of robots files and of sitemap files.
+    `robots` and `captures` are responses of robots files and of sitemap files. Robots files
+    that failed are failed records as well.
     """
     spark = captures.sparkSession
+    state.recover()
     tables = RunTables(spark, "resolve-run")
-    declared = tables.write(extract_robots_sitemaps(decode_captures(robots)), "declared")
+    decoded = decode_captures(robots)
+    declared = tables.write(extract_robots_sitemaps(decoded), "declared")
     if declared.isEmpty():
         raise ValueError("the robots files declare no sitemap")
     starts = declared.select(
@@ -49,7 +55,8 @@ def resolve_run(captures, robots, state, as_of, batch_id=0):
     starts = with_positions(starts, ["place", "url"], "ord", tables=tables).select("url", "ord")
     documents = gunzip_sitemaps(decode_captures(captures))
     records, pages = resolve_sitemaps(documents, starts, batch_id, tables)
-    records, pages = tables.write(records, "records"), tables.write(pages, "pages")
+    failures = failed_robots(decoded, batch_id).select(*records.columns)
+    records, pages = tables.write(records.unionByName(failures), "records"), tables.write(pages, "pages")
 
     known = state.read("sitemaps", hosts_of(records, "loc"))
     merged = upsert_sitemaps(known, records, as_of, id_start=state.last_id("sitemaps"))
@@ -72,6 +79,7 @@ def pending_run_candidates(state, limit=0, skip=0):
 
 def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True):
     """Candidates of a run over listed URLs: sliced, seeded, and with `resume` only unvisited ones."""
+    state.recover()
     tables = RunTables(candidates.sparkSession, "candidates")
     chosen = tables.write(slice_candidates(candidates, skip, limit), "chosen")
     known = state.read("pages", hosts_of(chosen))
@@ -82,23 +90,28 @@ def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True
 
 
 def _narrowed(captures, wanted):
-    """Captures of few wanted URLs by a broadcast whose size has been checked, else all captures.
+    """Captures of wanted URLs by a broadcast whose stored size has been checked, else all captures.
 
-    Bodies are never shuffled: with many wanted URLs every capture is read where it
-    lies, and the join of the narrow results drops what nobody asked for.
+    Bodies are never shuffled: when the wanted URLs are too many for a broadcast (some
+    millions), every capture is read where it lies, and the join of the narrow
+    results drops what nobody asked for.
     """
-    if wanted.count() <= SMALL_ROWS:
+    if int(wanted._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES:
         return captures.join(F.broadcast(wanted), "url", "left_semi")
     return captures
 
 
-def scrape_run(candidates, captures, state, as_of, batch_id=0):
+def scrape_run(candidates, captures, state, as_of, batch_id=None):
     """Scrape candidates (url, cand_ord) from captures into `state`; returns (summary, outcomes).
 
-    A candidate without capture fails like an unreachable page. Bodies are dropped
-    right after extraction, so the merges move narrow rows only.
+    A candidate without capture fails like an unreachable page; of several captures the
+    latest by (batch_id, seq) counts. Bodies are dropped right after extraction, so the merges
+    move narrow rows only. The state hands out the id of the run; with an id of an
+    earlier run, that run's products are replaced.
     """
     spark = captures.sparkSession
+    state.recover()
+    batch_id = state.run_id() if batch_id is None else batch_id
     tables = RunTables(spark, "scrape-run")
     chosen = tables.write(candidates.select("url", "cand_ord"), "chosen")
     if chosen.isEmpty():
@@ -109,10 +122,13 @@ def scrape_run(candidates, captures, state, as_of, batch_id=0):
     responses = with_products(decode_captures(_narrowed(captures, wanted)))
     responses = tables.write(
         responses.select(
-            "url", "fetch_error", "status_code", "status_text", "duration_ms", "products", F.lit(True).alias("captured")
+            "url", "fetch_error", "status_code", "status_text", "duration_ms", "products", "batch_id", "seq",
+            extract_error(F.col("decode_status"), F.col("content_encoding")).alias("extract_error"),
+            F.lit(True).alias("captured"),
         ),
         "responses",
     )
+    responses = latest_rows(responses, "url").drop("batch_id", "seq")
     # One response per URL, joined to candidates that may repeat: a page listed twice
     # is scraped twice and stores its products twice.
     joined = lookup_join(checked, responses, "url", "left")
@@ -125,17 +141,23 @@ def scrape_run(candidates, captures, state, as_of, batch_id=0):
         "status_text",
         "duration_ms",
         "products",
+        "extract_error",
         batch,
         F.col("cand_ord").alias("seq"),
     )
     fetched = tables.write(fetched, "fetched")
     outcomes = classify_outcomes(fetched)
-    store_scrape(outcomes, explode_products(fetched.filter("allowed")), state, as_of, tables)
-    return scrape_summary(outcomes, state.read("structured_products")), outcomes
+    unstored = store_scrape(outcomes, explode_products(fetched.filter("allowed")), state, as_of, tables)
+    return scrape_summary(outcomes, state.read("structured_products"), unstored), outcomes
 
 
 def store_scrape(outcomes, products, state, as_of, tables):
-    """Store products first, then mark the pages; both steps can be repeated safely."""
+    """Store products first, then mark the pages; both steps can be repeated safely.
+
+    Returns the products whose page is not stored: they cannot be, and count as failures.
+    """
     known = state.read("pages", hosts_of(outcomes))
+    unstored = tables.write(products.select("url").join(known.select("url"), "url", "left_anti"), "unstored")
     state.append_products(products_with_ids(products, known, as_of))
     state.replace("pages", apply_outcomes(known, outcomes, as_of, tables=tables))
+    return unstored

@@ -1,5 +1,7 @@
 """Crawl state on a shared file system: parquet tables partitioned by host."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wareloom.functions.urls import host_of
@@ -28,8 +30,9 @@ class CrawlState:
     the number of folders fixed when a crawl covers very many hosts. A change touches
     the partitions it has rows for and no others. Merged pages and sitemaps are written
     in full next to the table first and then swapped in with a dynamic partition
-    overwrite; a run that dies in between is completed by the next one that opens the
-    state. One writer at a time, and always the same number of buckets.
+    overwrite; what a run that died left behind is completed by `recover`, which every run
+    calls before it reads. Opening and reading a state change nothing. One writer at a
+    time, and always the same number of buckets.
     """
 
     @classmethod
@@ -44,10 +47,31 @@ class CrawlState:
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+
+    def recover(self):
+        """Complete what a writer that died had staged; for writers only, before they read."""
         for table in _IDS:
-            if path_exists(spark, f"{self._staged(table)}/_SUCCESS"):
+            if path_exists(self.spark, f"{self._staged(table)}/_SUCCESS"):
+                self._raise_mark(table)
                 self._publish(table)
 
+    def run_id(self, key=None):
+        """An id of its own for a run or a stream's batch; a key that has one keeps it.
+
+        The mark is raised before the id is stored under its key, so that a crash leaves
+        a gap at most.
+        """
+        path = f"{self.root}/_runs/{key or uuid.uuid4().hex}"
+        if path_exists(self.spark, f"{path}/_SUCCESS"):
+            return self.spark.read.schema("last_id bigint").parquet(path).first()["last_id"]
+        last = self.read("structured_products").agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("last_id"))
+        if path_exists(self.spark, f"{self._mark('runs')}/_SUCCESS"):
+            last = self.spark.read.schema("last_id bigint").parquet(self._mark("runs"))
+        number = self.spark.createDataFrame([(last.first()["last_id"] + 1,)], "last_id bigint").coalesce(1)
+        number.write.mode("overwrite").parquet(self._mark("runs"))
+        number.write.mode("overwrite").parquet(path)
+        return number.first()["last_id"]
+
     def _path(self, table):
         return f"{self.root}/{table}"
 
@@ -82,27 +106,35 @@ class CrawlState:
     def last_id(self, table):
         """Highest id ever given out for the table, without scanning the table.
 
-        The mark is raised before rows with new ids are published, so a crash can
-        leave gaps but never give an id twice.
+        The mark is raised before rows with new ids are published, by their writer or by
+        `recover`, so a crash can leave gaps but never give an id twice.
         """
-        if path_exists(self.spark, f"{self._mark(table)}/_SUCCESS"):
-            return self.spark.read.schema("last_id bigint").parquet(self._mark(table)).first()["last_id"]
+        for mark in (self._mark(table), f"{self._mark(table)}_next"):
+            if path_exists(self.spark, f"{mark}/_SUCCESS"):
+                return self.spark.read.schema("last_id bigint").parquet(mark).first()["last_id"]
         return next_id(self.read(table), _IDS[table])
 
     def replace(self, table, rows):
         """Replace the partitions `rows` has with exactly these rows."""
         placed = rows.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
         placed.write.mode("overwrite").parquet(self._staged(table))
-        staged = self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table))
-        top = staged.agg(F.greatest(F.max(_IDS[table]), F.lit(self.last_id(table))).alias("last_id"))
-        top.write.mode("overwrite").parquet(self._mark(table))
+        self._raise_mark(table)
         self._publish(table)
 
+    def _raise_mark(self, table):
+        staged = self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table))
+        top = staged.agg(F.greatest(F.max(_IDS[table]), F.lit(self.last_id(table))).alias("last_id")).first()["last_id"]
+        mark = self.spark.createDataFrame([(top or 0,)], "last_id bigint").coalesce(1)
+        # A mark that is being replaced is gone for a moment; the new one is complete before that.
+        mark.write.mode("overwrite").parquet(f"{self._mark(table)}_next")
+        mark.write.mode("overwrite").parquet(self._mark(table))
+
     def append_products(self, products):
         """Append products; writing a batch again replaces that batch instead of doubling it.
 
         A batch owns its partitions, so it needs no staging: a run that dies is
-        repeated and writes the same partitions again.
+        repeated and writes the same partitions again. Ids come from `run_id`; a
+        run that makes up its own replaces the products of an earlier one with that id.
         """
         placed = products.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
         self._overwrite("structured_products", placed, "batch_id")

@@ -1,5 +1,6 @@
 """Structured Streaming jobs that keep crawl state up to date as captures arrive."""
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from wareloom.operators.decode import decode_captures
 from wareloom.operators.joins import missing_rows
 from wareloom.operators.merges import apply_outcomes, products_with_ids, seed_pages
-from wareloom.operators.outcomes import classify_outcomes
+from wareloom.operators.outcomes import classify_outcomes, extract_error
 from wareloom.operators.products import explode_products, with_products
 from wareloom.plans.runs import hosts_of
 from wareloom.schemas import CAPTURES
@@ -31,19 +32,29 @@ def unseen_urls(arriving, pages):
     return missing_rows(first, pages, "url")
 
 
-def process_captures(captures, batch_id, state, as_of, seed=False):
+def process_captures(captures, batch_id, state, as_of, seed=False, stream="stream"):
     """Bring one micro-batch of captures into `state`.
 
-    Bodies are read once and not stored again. A replayed batch replaces its own
-    products and sets the same outcomes again. With `seed`, URLs never seen before
+    Bodies are read once and not stored again. The state hands out an id for the batch of
+    this `stream`: a replayed batch replaces its own products and sets the same outcomes
+    again, and no other run or stream shares it. With `seed`, URLs never seen before
     become pages first.
     """
+    state.recover()
+    run = state.run_id(f"{stream}-{batch_id}")
     tables = RunTables(captures.sparkSession, f"batch-{batch_id}")
+    try:
+        _process(captures, run, state, as_of, seed, tables)
+    finally:
+        tables.drop()
+
+
+def _process(captures, batch_id, state, as_of, seed, tables):
     scraped = with_products(decode_captures(captures))
     batch = tables.write(
-        scraped.select("url", "fetch_error", "status_code", "status_text", "duration_ms", "products", "seq").withColumn(
-            "batch_id", F.lit(batch_id).cast("bigint")
-        ),
+        scraped.select("url", "fetch_error", "status_code", "status_text", "duration_ms", "products", "seq",
+            extract_error(F.col("decode_status"), F.col("content_encoding")).alias("extract_error"),
+        ).withColumn("batch_id", F.lit(batch_id).cast("bigint")),
         "scraped",
     )
     if batch.isEmpty():
@@ -56,14 +67,15 @@ def process_captures(captures, batch_id, state, as_of, seed=False):
     products = products_with_ids(explode_products(batch), pages, as_of)
     state.append_products(products)
     state.replace("pages", apply_outcomes(pages, outcomes, as_of, tables=tables))
-    tables.drop()
 
 
 def stream_capture_state(captures, state, checkpoint, as_of=None, seed=False, **trigger):
     """Start a query that applies arriving captures to `state`; the caller awaits or stops it."""
 
     def apply(batch, batch_id):
-        process_captures(batch, batch_id, state, as_of or datetime.now(timezone.utc), seed)
+        # The stream's own id, as its checkpoint has it; another stream into this state has another.
+        stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        process_captures(batch, batch_id, state, as_of or datetime.now(timezone.utc), seed, stream)
 
     writer = captures.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
