@@ -1,10 +1,15 @@
 """Token ids of whole texts by a public tokenizer, with a bounded cache of word pieces."""
 
+import os
 import re
+import struct
 
-import numpy as np
-import public_tokenizers
-from tokenizers import Tokenizer
+# Tasks run side by side already.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+import numpy as np  # noqa: E402
+import public_tokenizers  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -12,7 +17,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # the blank belongs to what follows it. Only runs of three blanks, or two at the end, are cut otherwise.
 _LONG_RUN = re.compile(r"\s\s(?:\s|\Z)")
 _PIECES = re.compile(r"\s*\S+|\s+\Z")
-CACHE_ENTRIES = 400_000
+_ENDED = re.compile(r"[A-Za-z][.,]\Z")
+CACHE_ENTRIES = 1_200_000
 CACHE_CHARS = 48
 
 
@@ -28,14 +34,27 @@ class PieceTokenizer(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens inside a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
+        self.ends = {end: self.encode(end) for end in ",."}
 
     def __missing__(self, piece):
-        ids = self.encode(" " + piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        if len(piece) > CACHE_CHARS:
+            return self.encode(" " + piece)
+        self.learn([piece])
+        return self[piece]
+
+    def learn(self, pieces):
+        """Encode words in one call; a comma or full stop after a letter is a token of its own."""
+        if len(self) + 2 * len(pieces) > CACHE_ENTRIES:
+            self.clear()
+        ended = [piece for piece in pieces if _ENDED.search(piece)]
+        stems = {piece[:-1] for piece in ended}
+        stems.update(piece for piece in pieces if not _ENDED.search(piece))
+        new = [stem for stem in stems if stem not in self]
+        coded = self.tokenizer.encode_batch_fast([" " + stem for stem in new], add_special_tokens=False)
+        for stem, one in zip(new, coded):
+            self[stem] = struct.pack(f"<{len(one.ids)}I", *one.ids)
+        for piece in ended:
+            self[piece] = self[piece[:-1]] + self.ends[piece[-1]]
 
     def encode(self, text):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -47,6 +66,9 @@ class PieceTokenizer(dict):
         if _LONG_RUN.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")
+        unknown = [piece for piece in set(rest) if piece not in self and len(piece) <= CACHE_CHARS]
+        if unknown:
+            self.learn(unknown)
         return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
     def pieces(self, text):
