@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -42,39 +43,65 @@ def test_only_touched_hosts_change(spark, run_dir, buckets):
     assert stored(CrawlState(spark, run_dir + "/s", buckets)) == stored(state)
 
 
-def test_interrupted_publish_is_completed(spark, run_dir, monkeypatch):
-    state = CrawlState(spark, run_dir + "/s")
-    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
+def die(*_):
+    raise RuntimeError("killed")
 
-    def die(*_):
-        raise RuntimeError("killed")
 
+@pytest.mark.parametrize("buckets", [None, 4])
+@pytest.mark.parametrize("step", ["_publish", "_clean"])
+def test_a_change_is_seen_whole_or_not_at_all(spark, run_dir, monkeypatch, step, buckets):
+    state = CrawlState(spark, run_dir + "/s", buckets)
+    before = [("a", 1, "pending")]
+    after = [("a", 1, "success"), ("b", 9, "pending")]
+    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
     with monkeypatch.context() as patch:
-        patch.setattr(CrawlState, "_overwrite", die)
+        patch.setattr(CrawlState, step, die)
         with pytest.raises(RuntimeError):
             state.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "success"), page(9, "https://b/9", "b")))
-    assert stored(state) == [("a", 1, "pending")]
-    again = CrawlState(spark, run_dir + "/s")
-    assert stored(again) == [("a", 1, "pending")]
-    again.recover()
-    assert stored(again) == [("a", 1, "success"), ("b", 9, "pending")] and again.last_id("pages") == 9
+    again = CrawlState(spark, run_dir + "/s", buckets)
+    assert stored(again) == (before if step == "_publish" else after)
+    assert again.last_id("pages") == (1 if step == "_publish" else 9)
+    again.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "failed")))
+    assert stored(again)[0] == ("a", 1, "failed")
 
 
-@pytest.mark.parametrize("step", ["_raise_mark", "_publish", "_overwrite"])
+@pytest.mark.parametrize("step", ["_publish", "_clean"])
 def test_no_id_is_given_twice_after_a_crash(spark, run_dir, monkeypatch, step):
     state = CrawlState(spark, run_dir + "/s")
     state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
-
-    def die(*_):
-        raise RuntimeError("killed")
-
     with monkeypatch.context() as patch:
         patch.setattr(CrawlState, step, die)
         with pytest.raises(RuntimeError):
             state.replace("pages", pages_of(spark, page(1, "https://a/1", "a"), page(2, "https://a/2", "a")))
     again = CrawlState(spark, run_dir + "/s")
     runs.listed_run_candidates(read_page_list(spark, urls=["https://a/3"]), again, NOW)
-    assert sorted((r.page_id, r.url) for r in again.read("pages").collect()) == [(1, "https://a/1"), (2, "https://a/2"), (3, "https://a/3")]
+    found = sorted((r.page_id, r.url) for r in again.read("pages").collect())
+    kept = [(1, "https://a/1")] + [(2, "https://a/2")] * (step == "_clean")
+    assert found == kept + [(len(kept) + 1, "https://a/3")]
+
+
+def test_versions_are_written_once_and_deleted_when_spent(spark, run_dir):
+    state = CrawlState(spark, run_dir + "/s")
+    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8"), page(2, "https://b/2", "b")))
+    reader = state.read("pages")
+    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8", "success")))
+    assert folders(state) == {"version=1/host=a%3A8", "version=1/host=b", "version=2/host=a%3A8"}
+    assert sorted(r.scrape_status for r in reader.collect()) == ["pending", "pending"]
+    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8", "failed")))
+    assert folders(state) == {"version=1/host=b", "version=2/host=a%3A8", "version=3/host=a%3A8"}
+    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8"), page(2, "https://b/2", "b", "success")))
+    state.replace("pages", pages_of(spark, page(2, "https://b/2", "b", "failed")))
+    assert folders(state) == {"version=4/host=a%3A8", "version=4/host=b", "version=5/host=b"}
+    assert sorted(os.listdir(state.root + "/_versions/pages")) == ["4", "5"]
+    assert stored(state) == [("a:8", 1, "pending"), ("b", 2, "failed")] and state.last_id("pages") == 2
+
+
+def folders(state):
+    """Partition folders of the pages, and that no version is left without any."""
+    root = state.root + "/pages"
+    found = {version: [n for n in os.listdir(f"{root}/{version}") if "=" in n] for version in os.listdir(root) if "=" in version}
+    assert all(found.values())
+    return {f"{version}/{name}" for version, names in found.items() for name in names}
 
 
 def test_runs_and_streams_keep_each_others_products(spark, captures, run_dir):

@@ -43,7 +43,6 @@ def resolve_run(captures, robots, state, as_of, batch_id=0):
     that failed are failed records as well.
     """
     spark = captures.sparkSession
-    state.recover()
     tables = RunTables(spark, "resolve-run")
     decoded = decode_captures(robots)
     declared = tables.write(extract_robots_sitemaps(decoded), "declared")
@@ -79,7 +78,6 @@ def pending_run_candidates(state, limit=0, skip=0):
 
 def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True):
     """Candidates of a run over listed URLs: sliced, seeded, and with `resume` only unvisited ones."""
-    state.recover()
     tables = RunTables(candidates.sparkSession, "candidates")
     chosen = tables.write(slice_candidates(candidates, skip, limit), "chosen")
     known = state.read("pages", hosts_of(chosen))
@@ -110,7 +108,6 @@ def scrape_run(candidates, captures, state, as_of, batch_id=None):
     earlier run, that run's products are replaced.
     """
     spark = captures.sparkSession
-    state.recover()
     batch_id = state.run_id() if batch_id is None else batch_id
     tables = RunTables(spark, "scrape-run")
     chosen = tables.write(candidates.select("url", "cand_ord"), "chosen")

@@ -60,6 +60,14 @@ def path_exists(spark, path):
     return fs.exists(hadoop_path)
 
 
+def folder_names(spark, path):
+    """Names in a folder; none if it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    fs, hadoop_path = _hadoop_path(spark, path)
+    return [entry.getPath().getName() for entry in fs.listStatus(hadoop_path)]
+
+
 def delete_path(spark, path):
     fs, hadoop_path = _hadoop_path(spark, path)
     fs.delete(hadoop_path, True)

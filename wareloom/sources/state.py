@@ -1,13 +1,13 @@
-"""Crawl state on a shared file system: parquet tables partitioned by host."""
+"""Crawl state on a shared file system: parquet tables in versions of their host partitions."""
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from wareloom.functions.urls import host_of
-from wareloom.operators.merges import next_id
 from wareloom.schemas import PAGES, SITEMAPS, STRUCTURED_PRODUCTS, column_names
-from wareloom.session import delete_path, path_exists
+from wareloom.session import delete_path, folder_names, path_exists
 
 _SCHEMAS = {"pages": PAGES, "sitemaps": SITEMAPS, "structured_products": STRUCTURED_PRODUCTS}
 _IDS = {"pages": "page_id", "sitemaps": "sitemap_id"}
@@ -26,13 +26,15 @@ def host_or_fail(host, url):
 class CrawlState:
     """Tables `pages`, `sitemaps` and `structured_products` under one root folder.
 
-    Tables are partitioned by host, or by `buckets` hash buckets of hosts, which keeps
-    the number of folders fixed when a crawl covers very many hosts. A change touches
-    the partitions it has rows for and no others. Merged pages and sitemaps are written
-    in full next to the table first and then swapped in with a dynamic partition
-    overwrite; what a run that died left behind is completed by `recover`, which every run
-    calls before it reads. Opening and reading a state change nothing. One writer at a
-    time, and always the same number of buckets.
+    Pages and sitemaps are partitioned by host, or by `buckets` hash buckets of hosts, which
+    keeps the number of folders fixed when a crawl covers very many hosts. A change writes
+    the partitions it has rows for once, as a new version, <table>/version=<n>/<partition>.
+    A list of the partitions with the version that holds each, _versions/<table>/<n>, then
+    makes them the current ones, all at once: readers see a change whole or not at all, and
+    what a writer that died left behind is never read. The version before stays for readers
+    under way; older ones are deleted by the next change. Products are partitioned by the run
+    that found them. Opening and reading a state change nothing. One writer at a time, and
+    always the same number of buckets.
     """
 
     @classmethod
@@ -48,13 +50,6 @@ class CrawlState:
         self.root = root.rstrip("/")
         self.buckets = buckets
 
-    def recover(self):
-        """Complete what a writer that died had staged; for writers only, before they read."""
-        for table in _IDS:
-            if path_exists(self.spark, f"{self._staged(table)}/_SUCCESS"):
-                self._raise_mark(table)
-                self._publish(table)
-
     def run_id(self, key=None):
         """An id of its own for a run or a stream's batch; a key that has one keeps it.
 
@@ -78,88 +73,137 @@ class CrawlState:
     def _mark(self, table):
         return f"{self.root}/_last_id/{table}"
 
-    def _staged(self, table):
-        return f"{self.root}/_staged/{table}"
-
     def _partition(self):
         """Name and value of the partition column."""
         if self.buckets:
             return "bucket", F.pmod(F.xxhash64("host"), F.lit(self.buckets)).cast("int")
         return "host", F.col("host")
 
+    def _schema(self, table):
+        return _SCHEMAS[table] + (", bucket int" if self.buckets else "")
+
+    def _lists(self, table):
+        """Numbers of the complete partition lists, in ascending order."""
+        folder = f"{self.root}/_versions/{table}"
+        names = folder_names(self.spark, folder)
+        return sorted(int(name) for name in names if path_exists(self.spark, f"{folder}/{name}/_SUCCESS"))
+
+    def _listed(self, table, number):
+        """Partitions with their version and the highest id ever given out in each."""
+        schema = f"{self._partition()[0]} {'int' if self.buckets else 'string'}, version bigint, last_id bigint"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/_versions/{table}/{number}")
+
     def read(self, table, hosts=None):
         """The table, or the partitions that hold `hosts` (a DataFrame with `host`)."""
-        if not path_exists(self.spark, self._path(table)):
+        if table not in _IDS:
+            return self._read_products(hosts)
+        numbers = self._lists(table)
+        if not numbers:
             return self.spark.createDataFrame([], _SCHEMAS[table])
         name, value = self._partition()
-        schema = _SCHEMAS[table] + (", bucket int" if self.buckets else "")
-        rows = self.spark.read.schema(schema).parquet(self._path(table))
+        rows = self.spark.read.schema(self._schema(table) + ", version bigint").parquet(self._path(table))
+        # The comparison makes the list selective, so that folders of other versions are pruned at run time.
+        current = self._listed(table, numbers[-1]).filter("version > 0").select(name, "version")
         if hosts is not None:
             wanted = hosts.select(value.alias(name)).distinct()
             values = [row[name] for row in wanted.limit(PRUNE_VALUES + 1).collect()]
             if len(values) <= PRUNE_VALUES:
-                rows = rows.filter(F.col(name).isin(values))
+                rows, current = rows.filter(F.col(name).isin(values)), current.filter(F.col(name).isin(values))
             else:
-                rows = rows.join(wanted, name, "left_semi")
-        return rows.select(*column_names(_SCHEMAS[table]))
+                current = current.join(wanted, name, "left_semi")
+        return rows.join(current, [name, "version"], "left_semi").select(*column_names(_SCHEMAS[table]))
+
+    def _read_products(self, hosts):
+        if not path_exists(self.spark, self._path("structured_products")):
+            return self.spark.createDataFrame([], STRUCTURED_PRODUCTS)
+        rows = self.spark.read.schema(STRUCTURED_PRODUCTS).parquet(self._path("structured_products"))
+        if hosts is not None:
+            rows = rows.join(hosts.select("host").distinct(), "host", "left_semi")
+        return rows.select(*column_names(STRUCTURED_PRODUCTS))
 
     def last_id(self, table):
-        """Highest id ever given out for the table, without scanning the table.
+        """Highest id of rows ever stored, from the partition list, without scanning the table.
 
-        The mark is raised before rows with new ids are published, by their writer or by
-        `recover`, so a crash can leave gaps but never give an id twice.
+        Rows and list become current in one step, so an id that a crash took back was never seen.
         """
-        for mark in (self._mark(table), f"{self._mark(table)}_next"):
-            if path_exists(self.spark, f"{mark}/_SUCCESS"):
-                return self.spark.read.schema("last_id bigint").parquet(mark).first()["last_id"]
-        return next_id(self.read(table), _IDS[table])
+        numbers = self._lists(table)
+        if not numbers:
+            return 0
+        return self._listed(table, numbers[-1]).agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
 
     def replace(self, table, rows):
         """Replace the partitions `rows` has with exactly these rows."""
-        placed = rows.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
-        placed.write.mode("overwrite").parquet(self._staged(table))
-        self._raise_mark(table)
-        self._publish(table)
-
-    def _raise_mark(self, table):
-        staged = self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table))
-        top = staged.agg(F.greatest(F.max(_IDS[table]), F.lit(self.last_id(table))).alias("last_id")).first()["last_id"]
-        mark = self.spark.createDataFrame([(top or 0,)], "last_id bigint").coalesce(1)
-        # A mark that is being replaced is gone for a moment; the new one is complete before that.
-        mark.write.mode("overwrite").parquet(f"{self._mark(table)}_next")
-        mark.write.mode("overwrite").parquet(self._mark(table))
+        number = max(self._lists(table), default=0) + 1
+        name, value = self._partition()
+        placed = rows.withColumn("host", host_or_fail(F.col("host"), F.col("url"))).withColumn(name, value)
+        # The hint makes adaptive execution split hosts with many rows over several
+        # tasks and put small ones together, so files come out evenly sized. Rows are
+        # sorted by URL, so that looking one up reads few row groups.
+        (
+            placed.hint("rebalance", name)
+            .sortWithinPartitions(name, "url")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(name)
+            .parquet(self._version(table, number))
+        )
+        self._publish(table, number)
+        self._clean(table)
+
+    def _version(self, table, number):
+        return f"{self._path(table)}/version={number}"
+
+    def _publish(self, table, number):
+        """Write the partition list that makes version `number` current where it has rows."""
+        name, _ = self._partition()
+        written = self.spark.read.schema(self._schema(table)).parquet(self._version(table, number))
+        listed = written.groupBy(name).agg(F.max(_IDS[table]).alias("last_id")).withColumn("version", F.lit(number).cast("bigint"))
+        if number > 1:
+            listed = listed.unionByName(self._listed(table, number - 1))
+        listed = listed.groupBy(name).agg(F.max("version").alias("version"), F.max("last_id").alias("last_id"))
+        listed.write.mode("overwrite").parquet(f"{self.root}/_versions/{table}/{number}")
+
+    def _clean(self, table):
+        """Delete partitions that neither the current list nor the one before it names.
+
+        Deleting goes folder by folder, over those one change has touched. What a writer that
+        died did not get to is still in its list and is deleted by the next one.
+        """
+        name, _ = self._partition()
+        *older, before, _ = [0, 0, *self._lists(table)]
+        for number in filter(None, older):
+            gone = self._listed(table, number).join(self._listed(table, before), [name, "version"], "left_anti")
+            for row in gone.select(name, "version").toLocalIterator():
+                delete_path(self.spark, f"{self._version(table, row['version'])}/{name}={_folder_name(row[name])}")
+            used = self._listed(table, before).select("version").distinct()
+            spent = self._listed(table, number).select("version").distinct().join(used, "version", "left_anti")
+            for row in spent.toLocalIterator():
+                delete_path(self.spark, self._version(table, row["version"]))
+            delete_path(self.spark, f"{self.root}/_versions/{table}/{number}")
 
     def append_products(self, products):
         """Append products; writing a batch again replaces that batch instead of doubling it.
 
-        A batch owns its partitions, so it needs no staging: a run that dies is
-        repeated and writes the same partitions again. Ids come from `run_id`; a
+        A batch owns its partition, so it needs no version: a run that dies is
+        repeated and writes the same partition again. Ids come from `run_id`; a
         run that makes up its own replaces the products of an earlier one with that id.
         """
         placed = products.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
-        self._overwrite("structured_products", placed, "batch_id")
-
-    def _publish(self, table):
-        self._overwrite(table, self.spark.read.schema(_SCHEMAS[table]).parquet(self._staged(table)))
-        delete_path(self.spark, self._staged(table))
-
-    def _overwrite(self, table, rows, *more_keys):
-        name, value = self._partition()
-        keys = [name, *more_keys]
-        # The hint makes adaptive execution split hosts with many rows over several
-        # tasks and put small ones together, so files come out evenly sized. Rows are
-        # sorted by URL, so that looking one up reads few row groups.
         (
-            rows.withColumn(name, value)
-            .hint("rebalance", *keys)
-            .sortWithinPartitions(*keys, "url")
+            placed.hint("rebalance", "host")
+            .sortWithinPartitions("batch_id", "host", "url")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys)
-            .parquet(self._path(table))
+            .partitionBy("batch_id")
+            .parquet(self._path("structured_products"))
         )
 
 
+def _folder_name(value):
+    """A partition value as it stands in the name of its folder, with reserved characters as %XX."""
+    return re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda found: f"%{ord(found[0]):02X}", str(value))
+
+
 def write_state(df, path):
     """Write one host-partitioned state table to `path`."""
     placed = df.withColumn("host", host_or_fail(F.col("host"), F.col("url")))

@@ -40,7 +40,6 @@ def process_captures(captures, batch_id, state, as_of, seed=False, stream="strea
     again, and no other run or stream shares it. With `seed`, URLs never seen before
     become pages first.
     """
-    state.recover()
     run = state.run_id(f"{stream}-{batch_id}")
     tables = RunTables(captures.sparkSession, f"batch-{batch_id}")
     try:
@@ -62,7 +61,8 @@ def _process(captures, batch_id, state, as_of, seed, tables):
     pages = state.read("pages", hosts_of(batch))
     if seed:
         fresh = unseen_urls(batch.select("url", F.col("seq").alias("cand_ord")), pages)
-        pages = tables.write(seed_pages(pages, fresh, as_of, id_start=state.last_id("pages"), tables=tables), "pages")
+        # The ids of new pages are stored, so the merged pages need not be: they are written once, as state.
+        pages = seed_pages(pages, fresh, as_of, id_start=state.last_id("pages"), tables=tables)
     outcomes = classify_outcomes(batch)
     products = products_with_ids(explode_products(batch), pages, as_of)
     state.append_products(products)
