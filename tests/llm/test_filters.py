@@ -145,6 +145,17 @@ def test_licences(spark, odd_docs, no_docs):
     assert license_scan.scan_licenses(docs, [(None, "x"), ("short", "two words")]).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 8, 30, 60])
+def test_licences_beyond_the_literals(spark, monkeypatch, limit):
+    """However many bands there are for long and short templates, the same licences are found."""
+    texts = [text for _, text in license_scan.TEMPLATES]
+    docs = spark.createDataFrame([(i, f"some words before {text} and after") for i, text in enumerate(texts)], "doc_id bigint, text string")
+    want = sorted((row.doc_id, row.license, row.n_found) for row in license_scan.scan_licenses(docs).collect())
+    monkeypatch.setattr(license_scan, "LITERAL_BANDS", limit)
+    got = sorted((row.doc_id, row.license, row.n_found) for row in license_scan.scan_licenses(docs).collect())
+    assert got == want and {doc_id for doc_id, _, _ in got} == set(range(len(texts)))
+
+
 # --- decontamination -----------------------------------------------------------------
 
 

@@ -118,9 +118,15 @@ def template_bands(templates, window=WINDOW, step=STEP):
     return long.union(short).distinct()
 
 
+def literal_bands(bands):
+    """The distinct band values in order; None when they are too many for a literal."""
+    rows = bands.select("band").distinct().limit(LITERAL_BANDS + 1).collect()
+    return sorted(row["band"] for row in rows) if len(rows) <= LITERAL_BANDS else None
+
+
 def _among(bands, values):
-    """The bands among the given values; all of them when the values are too many for a literal."""
-    if len(values) > LITERAL_BANDS:
+    """The bands among the given values; all of them when there is no list of values."""
+    if values is None:
         return F.array_distinct(bands)
     return F.array_intersect(bands, F.array(*[F.lit(v) for v in values]).cast("array<bigint>"))
 
@@ -140,9 +146,7 @@ def scan_licenses(docs, templates=TEMPLATES, percent=PERCENT):
     tables = run_tables(docs, "licenses")
     known = tables.write(template_rows(spark, templates), "templates")
     bands = tables.write(template_bands(known), "bands")
-    listed = bands.select("band", "short").distinct().limit(2 * LITERAL_BANDS + 2).collect()
-    long_values = sorted(row["band"] for row in listed if not row["short"])
-    short_values = sorted(row["band"] for row in listed if row["short"])
+    long_values, short_values = (literal_bands(bands.filter(which)) for which in (~F.col("short"), F.col("short")))
 
     keyed = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     texts = keyed.filter("text IS NOT NULL").select(text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
