@@ -55,7 +55,6 @@ def token_ids(text):
     global _tokenizer
     if _tokenizer is None:
         _tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _tokenizer.encode_special_tokens = True
     return _tokenizer.encode(text or "", add_special_tokens=False).ids
 
 

@@ -169,7 +169,7 @@ def test_super_minhash_estimates_similarity():
 
 
 def odd_texts():
-    yield from ("", " ", "  ", "a  b", "a   b", "a \n b", "a\n  b", "a \nb", " a", "  a", "a ", "a  ", "\n\n\n", "don't  stop\t \n x", "é  ü")
+    yield from ("<|endoftext|>", "a <|endoftext|>  b", "a  <|endoftext|>b c", "", " ", "  ", "a  b", "a   b", "a \n b", "a\n  b", "a \nb", " a", "  a", "a ", "a  ", "\n\n\n", "don't  stop\t \n x", "é  ü")
     r = random.Random(4)
     for _ in range(300):
         yield "".join(r.choice(["a", "b'", "l", " ", " ", "\n", "\t", "7", ",", "é", " ", " ", "s"]) for _ in range(r.randint(1, 30)))

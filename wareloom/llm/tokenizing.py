@@ -32,8 +32,8 @@ class PieceTokenizer(dict):
     def __init__(self, path=TOKENIZER):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens inside a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # A special token's name inside a text becomes that token, as in any call to the tokenizer.
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = {end: self.encode(end) for end in ",."}
 
     def __missing__(self, piece):
@@ -63,7 +63,7 @@ class PieceTokenizer(dict):
         """Ids of a whole text, equal to those of one call to the tokenizer."""
         if not text:
             return b""
-        if _LONG_RUN.search(text):
+        if _LONG_RUN.search(text) or any(name in text for name in self.special):
             return self.encode(text)
         first, *rest = text.split(" ")
         unknown = [piece for piece in set(rest) if piece not in self and len(piece) <= CACHE_CHARS]
