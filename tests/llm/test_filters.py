@@ -186,3 +186,16 @@ def test_questions_with_other_values(spark, odd_docs, no_docs):
     assert decontamination.find_contaminated(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontamination.find_contaminated(odd_docs, bench).filter("contaminated").count() == 0
     assert decontamination.find_contaminated(no_docs, bench).count() == 0
+
+
+def test_items_without_template_windows_are_found_as_they_are(spark):
+    items = [
+        "What is 12 + 35 * 4 - 17 / 3?", "Compute 48 * 17 + 9 and 12 * 5.", "Paris, Rome, Oslo, Bern, Wien, Kyiv, Riga", "capital of Peru",
+        "水在标准大气压下的沸点是多少度", "SAY who painted the ceiling", "7 7 7 7 7 7 7 7",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(i, f"Before it came this 他问，{item}。他说 and so on") for i, item in enumerate(items)]
+    rows += [(20, "What is 12 + 36 * 4 - 17 / 3?"), (21, "the capital of a Peru"), (22, "水在标准大气压下的熔点是多少度"), (23, "7 7 7 7"), (24, "say WHO Painted the ceiling")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {row.doc_id: row.item_id for row in decontamination.find_contaminated(docs, bench).collect() if row.contaminated}
+    assert found == {**{i: i for i in range(len(items))}, 24: 5}

@@ -4,6 +4,10 @@ Numbers, names and units of a text are replaced with typed placeholders, so that
 again with other values still has the same template. Five-word windows of the templates of the
 benchmark are hash-joined with those of the documents. What the placeholders stood for has to be
 consistent: a value of the question always turns into the same value of the document.
+
+A template says nothing where a text is mostly values. So every item is also looked for as it is: windows
+of its words, values included, and for an item shorter than a window all its words as one. An item with
+few template windows matches by `percent` of these, any other by all of them.
 """
 
 import hashlib
@@ -57,21 +61,50 @@ def _hash_words(words):
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
+EXACT = np.frombuffer(hashlib.blake2b(b"exact", digest_size=64).digest(), np.uint64)
+# Code points from and to: punctuation beyond ASCII, and scripts that put no blanks between words.
+PUNCTUATION = ((0xA0, 0xBF), (0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20))
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _bounds(raw):
+    """(starts, ends, bytes) of the words; a character of a script without blanks is a word."""
+    flat = _KEEP[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        at = lambda shift: raw[np.minimum(lead + shift, len(raw) - 1)].astype(np.int64) & 63
+        first = raw[lead].astype(np.int64)
+        two, three = first < 0xE0, first < 0xF0
+        size = np.where(two, 2, np.where(three, 3, 4))
+        point = np.where(
+            two, (first & 31) << 6 | at(1),
+            np.where(three, (first & 15) << 12 | at(1) << 6 | at(2), (first & 7) << 18 | at(1) << 12 | at(2) << 6 | at(3)),
+        )
+        within = lambda ranges: np.logical_or.reduce([(point >= low) & (point <= high) for low, high in ranges])
+        # Letters among the signs of Latin-1, and signs of money.
+        blank = within(PUNCTUATION) & ~np.isin(point, (0xA2, 0xA3, 0xA5, 0xAA, 0xB5, 0xBA))
+        for shift in range(4):
+            flat[lead[blank & (size > shift)] + shift] = 32
+        alone = within(UNSPACED)
+        cut[lead[alone]] = cut[lead[alone] + size[alone]] = True
+    solid = np.concatenate([[False], flat != 32, [False]])
+    start = (solid[1:] & ~solid[:-1]) | (cut & solid[1:])
+    end = (solid[:-1] & ~solid[1:]) | (cut & solid[:-1])
+    return np.flatnonzero(start), np.flatnonzero(end), flat.tobytes()
+
+
 def canonical(text):
-    """(template words, values): hashes of the words, placeholders in place of typed ones, and what they were.
+    """(template words, values, words): hashes of the words, placeholders in place of typed ones, what they were, and all as they are.
 
     Words are runs of letters, digits, % and $, lower-cased (A-Z). One that starts with a digit is a
     number, a unit word after a number is a unit, a capitalised word inside a sentence is a name. The
     value of a literal word is 0.
     """
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    flat = _KEEP[raw]
-    solid = np.concatenate([[False], flat != 32, [False]])
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends, data = _bounds(raw)
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    data = flat.tobytes()
+        return (np.empty(0, np.uint64),) * 3
     hashes = span_hashes(data, starts, ends)
     first = raw[starts]
     number = (first >= 48) & (first <= 57)
@@ -85,7 +118,7 @@ def canonical(text):
     name = capital & ~fresh & (ends - starts > 1)
     values = np.where(number | unit | name, hashes | np.uint64(1), np.uint64(0))
     template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-    return template, values
+    return template, values, hashes
 
 
 def windows(template, values, words=WORDS, literals=MIN_LITERALS):
@@ -102,36 +135,65 @@ def windows(template, values, words=WORDS, literals=MIN_LITERALS):
     return places, keys[places]
 
 
-def _template_rows(words):
+def exact_windows(hashes, lengths):
+    """(places, hashes) of the different windows of the words themselves, of each length."""
+    places, found, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], np.zeros(len(hashes) + 1, np.uint64)
+    for length in range(1, min(max(lengths, default=0), len(hashes)) + 1):
+        keys = mix(keys[:-1] ^ hashes[length - 1 :])
+        if length in lengths:
+            own, first = np.unique(mix(keys ^ EXACT[length % len(EXACT)]), return_index=True)
+            places.append(first)
+            found.append(own)
+    return np.concatenate(places), np.concatenate(found)
+
+
+def _template_rows(words, percent):
     def run(batches):
         for batch in batches:
             rows = []
             for item_id, text in zip(batch["item_id"], batch["text"]):
-                template, values = canonical(text or "")
+                template, values, hashes = canonical(text or "")
                 places, keys = windows(template, values, words)
                 # Equal templates whose values repeat in the same pattern are one template.
                 pattern = np.unique(values, return_inverse=True)[1].astype(np.int64)
-                digest = hashlib.blake2b(template.tobytes() + pattern.tobytes(), digest_size=8).digest()
+                template_id = _digest(template.tobytes() + pattern.tobytes())
+                for place, key in zip(places.tolist(), signed(keys).tolist()):
+                    rows.append((item_id, template_id, template_id, place, key, signed(values[place : place + words]), len(places), percent, 0))
+                if not len(hashes):
+                    continue
+                # Few template windows: fewer than half of all.
+                least = percent if 2 * len(places) < len(hashes) - words + 1 or len(hashes) < words else 100
+                length, reading_id = min(words, len(hashes)), _digest(b"exact" + hashes.tobytes())
+                places, keys = exact_windows(hashes, {length})
                 for place, key in zip(places.tolist(), signed(keys).tolist()):
-                    rows.append((item_id, int.from_bytes(digest, "little", signed=True), place, key, signed(values[place : place + words]), len(places)))
-            yield pd.DataFrame(rows, columns=["item_id", "template_id", "item_place", "window", "item_values", "n_windows"])
+                    rows.append((item_id, template_id, reading_id, place, key, [], len(places), least, length))
+            yield pd.DataFrame(rows, columns=[part.split()[0] for part in TEMPLATES.split(", ")])
 
     return run
 
 
-TEMPLATES = "item_id bigint, template_id bigint, item_place bigint, window bigint, item_values array<bigint>, n_windows bigint"
+def _digest(data):
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+# A template is looked for in several readings; one found in `percent` of its windows is enough.
+TEMPLATES = (
+    "item_id bigint, template_id bigint, reading_id bigint, item_place bigint, window bigint, item_values array<bigint>, "
+    "n_windows bigint, percent bigint, length bigint"
+)
 
 
-def benchmark_templates(benchmark, words=WORDS):
+def benchmark_templates(benchmark, words=WORDS, percent=PERCENT):
     """Windows of the benchmark's templates, those of equal templates once, under the smallest item id.
 
-    Items with fewer than five words, without text or without an id have no windows and match nothing.
+    `length` is 0 for windows of templates, otherwise that of windows of the words themselves. Items
+    without words or without an id have no windows and match nothing.
     """
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter("item_id IS NOT NULL")
-    rows = items.mapInPandas(_template_rows(words), TEMPLATES)
-    return rows.groupBy("template_id", "item_place", "window").agg(
-        F.min_by(F.struct("item_id", "item_values", "n_windows"), "item_id").alias("_t")
-    ).select("template_id", "item_place", "window", "_t.*")
+    rows = items.mapInPandas(_template_rows(words, percent), TEMPLATES)
+    return rows.groupBy("template_id", "reading_id", "item_place", "window").agg(
+        F.min_by(F.struct("item_id", "item_values", "n_windows", "percent", "length"), "item_id").alias("_t")
+    ).select("template_id", "reading_id", "item_place", "window", "_t.*")
 
 
 def _bits(batches):
@@ -152,26 +214,31 @@ def window_filter(templates):
     return bitmap
 
 
+def _near(bits, places, keys):
+    low = keys & np.uint64(FILTER_BITS - 1)
+    near = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return places[near], keys[near]
+
+
 HITS = "array<struct<place:bigint,window:bigint,doc_values:array<bigint>>>"
 
 
-def _hits(bitmap, words):
+def _hits(bitmap, words, lengths):
     @F.pandas_udf(HITS)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bits = bitmap.value
         for batch in texts:
             rows = []
             for text in batch:
-                template, values = canonical(text or "")
-                places, keys = windows(template, values, words)
-                low = keys & np.uint64(FILTER_BITS - 1)
-                near = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
-                rows.append(
-                    [
-                        {"place": p, "window": k, "doc_values": signed(values[p : p + words]).tolist()}
-                        for p, k in zip(places[near == 1].tolist(), signed(keys[near == 1]).tolist())
-                    ]
-                )
+                template, values, hashes = canonical(text or "")
+                places, keys = _near(bits, *windows(template, values, words))
+                found = [
+                    {"place": p, "window": k, "doc_values": signed(values[p : p + words]).tolist()}
+                    for p, k in zip(places.tolist(), signed(keys).tolist())
+                ]
+                # Without values there is nothing to be consistent, so their places do not count.
+                _, keys = _near(bits, *exact_windows(hashes, lengths))
+                rows.append(found + [{"place": None, "window": k, "doc_values": []} for k in signed(keys).tolist()])
             yield pd.Series(rows)
 
     return found.asNondeterministic()
@@ -189,11 +256,12 @@ def leaks(docs, benchmark, percent=PERCENT, words=WORDS):
     """
     spark = docs.sparkSession
     tables = run_tables(docs, "decontamination")
-    templates = tables.write(benchmark_templates(benchmark, words), "templates")
+    templates = tables.write(benchmark_templates(benchmark, words, percent), "templates")
+    lengths = {row["length"] for row in templates.filter("length > 0").select("length").distinct().collect()}  # `words` at most
     bitmap = spark.sparkContext.broadcast(window_filter(templates))
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     hits = (
-        texts.select(text_key(F.col("text")).alias("text_key"), _hits(bitmap, words)("text").alias("_hits"))
+        texts.select(text_key(F.col("text")).alias("text_key"), _hits(bitmap, words, lengths)("text").alias("_hits"))
         .select("text_key", F.explode("_hits").alias("_hit"))
         .select("text_key", "_hit.*")
     )
@@ -202,29 +270,28 @@ def leaks(docs, benchmark, percent=PERCENT, words=WORDS):
         F.zip_with("item_values", "doc_values", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))),
         lambda pair: (pair["item"] != 0) | (pair["doc"] != 0),
     )
-    aligned = joined.groupBy("text_key", "template_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(
+    aligned = joined.groupBy("text_key", "template_id", "reading_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(
         F.min("item_id").alias("item_id"),
         F.max("n_windows").alias("n_windows"),
+        F.max("percent").alias("percent"),
         F.collect_set("item_place").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("values"),
     )
     # At one alignment a place of the template meets one word, so these arrays are as long as the template at most.
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda pair: pair["item"])))
-    placed = aligned.filter(consistent).select("text_key", "template_id", "item_id", "n_windows", F.explode("places").alias("place"))
-    return (
-        placed.distinct()
-        .groupBy("text_key", "template_id", "item_id", "n_windows")
-        .agg(F.count("*").alias("n_matched"))
-        .filter(F.lit(100) * F.col("n_matched") >= F.lit(percent) * F.col("n_windows"))
-        .drop("template_id")
-    )
+    reading = ["text_key", "template_id", "reading_id", "item_id", "n_windows", "percent"]
+    placed = aligned.filter(consistent).select(*reading, F.explode("places").alias("place"))
+    found = placed.distinct().groupBy(*reading).agg(F.count("*").alias("n_matched"))
+    found = found.filter(F.lit(100) * F.col("n_matched") >= F.col("percent") * F.col("n_windows"))
+    best = F.max_by(F.struct("n_matched", "n_windows"), F.col("n_matched") / F.col("n_windows")).alias("_best")
+    return found.groupBy("text_key", "template_id").agg(F.min("item_id").alias("item_id"), best).select("text_key", "item_id", "_best.*")
 
 
 def find_contaminated(docs, benchmark, percent=PERCENT, words=WORDS):
     """Every document with `contaminated`, the number of matching templates and the least matching item id.
 
-    Documents without text or with fewer than five words match nothing, and so does everything if the
-    benchmark is empty. Repeated rows and copies fare alike; null ids stay null. Extra columns are
+    Documents without words match nothing, and so does everything if the benchmark is empty. An item
+    shorter than a window is found wherever its words follow each other, even a single one. Repeated rows and copies fare alike; null ids stay null. Extra columns are
     ignored; an empty table gives an empty result.
     """
     found = leaks(docs, benchmark, percent, words).groupBy("text_key").agg(
