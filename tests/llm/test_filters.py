@@ -199,3 +199,21 @@ def test_items_without_template_windows_are_found_as_they_are(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {row.doc_id: row.item_id for row in decontamination.find_contaminated(docs, bench).collect() if row.contaminated}
     assert found == {**{i: i for i in range(len(items))}, 24: 5}
+
+
+def test_slots_at_starts_of_sentences_and_of_money(spark):
+    question = (
+        "Natalia sold 48 clips to her friends in April for $5 each. Natalia kept the other clips for the rest of the year. "
+        "How much money did Natalia make in total?"
+    )
+    decimals = "The shop sells bags of flour of 2.5 kg at €1,250 a ton, and 12% of them are lost on the way to the town."
+    bench = spark.createDataFrame([(1, question), (2, decimals)], "item_id bigint, text string")
+    rows = [
+        (1, question.replace("Natalia", "Marion")),
+        (2, "Question 3\n" + question.replace("Natalia", "Marion").replace("$5", "$7").replace("48", "31").replace(" her", "\nher").replace("in April", "\nin April")),
+        (3, "Marion sold 31 clips to her friends, and how much money that was in total is not known."),
+        (4, decimals.replace("2.5", "13").replace("€1,250", "€3").replace("12%", "7.5%")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {row.doc_id: row.item_id for row in decontamination.find_contaminated(docs, bench).collect() if row.contaminated}
+    assert found == {1: 1, 2: 1, 4: 2}

@@ -44,7 +44,7 @@ _KEEP = np.frombuffer(
     ),
     np.uint8,
 )
-_ENDERS = np.isin(np.arange(256), np.frombuffer(b".!?:;\n\"", np.uint8))
+_ENDERS = np.isin(np.arange(256), np.frombuffer(b".!?:;\"", np.uint8))
 NUMBER, UNIT, NAME = (np.uint64(int.from_bytes(hashlib.blake2b(kind, digest_size=8).digest(), "little")) for kind in (b"number", b"unit", b"name"))
 
 
@@ -61,6 +61,7 @@ def _hash_words(words):
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
+MONEY = "$¢£¥€"
 EXACT = np.frombuffer(hashlib.blake2b(b"exact", digest_size=64).digest(), np.uint64)
 # Code points from and to: punctuation beyond ASCII, and scripts that put no blanks between words.
 PUNCTUATION = ((0xA0, 0xBF), (0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20))
@@ -70,6 +71,9 @@ UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x300
 def _bounds(raw):
     """(starts, ends, bytes) of the words; a character of a script without blanks is a word."""
     flat = _KEEP[raw]
+    digit = (raw >= 48) & (raw <= 57)
+    inner = np.flatnonzero(digit[:-2] & digit[2:] & ((raw[1:-1] == 44) | (raw[1:-1] == 46))) + 1 if len(raw) > 2 else []
+    flat[inner] = raw[inner]
     cut = np.zeros(len(raw) + 1, bool)
     lead = np.flatnonzero(raw >= 0xC2)
     if len(lead):
@@ -95,19 +99,27 @@ def _bounds(raw):
 
 
 def canonical(text):
-    """(template words, values, words): hashes of the words, placeholders in place of typed ones, what they were, and all as they are.
+    """(readings, words): hashes of the words as they are, and the readings (template words, values) of the text.
 
-    Words are runs of letters, digits, % and $, lower-cased (A-Z). One that starts with a digit is a
-    number, a unit word after a number is a unit, a capitalised word inside a sentence is a name. The
-    value of a literal word is 0.
+    Words are runs of letters, digits, % and $, lower-cased (A-Z); a point or comma between two digits is
+    part of a number. One that starts with a digit, or with a sign of money before a digit, is a number,
+    a unit word after a number is a unit. A capitalised word is a name inside a sentence in the first
+    reading, anywhere in the second. In a template, placeholders are in place of typed words; values are
+    what they were, 0 for a literal word.
     """
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends, data = _bounds(raw)
     if not len(starts):
-        return (np.empty(0, np.uint64),) * 3
+        return [(np.empty(0, np.uint64),) * 2] * 2, np.empty(0, np.uint64)
     hashes = span_hashes(data, starts, ends)
     first = raw[starts]
     number = (first >= 48) & (first <= 57)
+    for sign in MONEY:
+        if sign in text:
+            code = np.frombuffer(sign.encode(), np.uint8)
+            for at in np.flatnonzero((first == code[0]) & (ends - starts > len(code))):
+                after = starts[at] + len(code)
+                number[at] |= (raw[starts[at] : after] == code).all() and 48 <= raw[after] <= 57
     after_number = np.concatenate([[False], number[:-1]])
     place = np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)
     unit = after_number & (_UNIT_HASHES[place] == hashes)
@@ -115,10 +127,12 @@ def canonical(text):
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     closed = np.concatenate([[0], np.cumsum(_ENDERS[raw])])
     fresh = np.concatenate([[True], closed[starts[1:]] > closed[ends[:-1]]])
-    name = capital & ~fresh & (ends - starts > 1)
-    values = np.where(number | unit | name, hashes | np.uint64(1), np.uint64(0))
-    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-    return template, values, hashes
+    capital &= (ends - starts > 1) & ~number & ~unit
+    readings = []
+    for name in (capital & ~fresh, capital):
+        values = np.where(number | unit | name, hashes | np.uint64(1), np.uint64(0))
+        readings.append((np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes))), values))
+    return readings, hashes
 
 
 def windows(template, values, words=WORDS, literals=MIN_LITERALS):
@@ -126,25 +140,24 @@ def windows(template, values, words=WORDS, literals=MIN_LITERALS):
     n = len(template) - words + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    keys = mix(template[:n])
-    own = (values[:n] == 0).astype(np.int8)
-    for shift in range(1, words):
-        keys = mix(keys ^ template[shift : n + shift])
-        own += values[shift : n + shift] == 0
-    places = np.flatnonzero(own >= literals)
-    return places, keys[places]
+    own = np.concatenate([[0], np.cumsum(values == 0)])
+    places = np.flatnonzero(own[words:] - own[:-words] >= literals)
+    return places, _keys(template, words)[places]
+
+
+def _keys(hashes, words):
+    """Hash of each run of `words` hashes."""
+    n = len(hashes) - words + 1
+    keys = np.zeros(n, np.uint64)
+    for shift, factor in enumerate(mix(np.arange(words)) | np.uint64(1)):
+        keys += hashes[shift : n + shift] * factor
+    return mix(keys)
 
 
 def exact_windows(hashes, lengths):
-    """(places, hashes) of the different windows of the words themselves, of each length."""
-    places, found, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], np.zeros(len(hashes) + 1, np.uint64)
-    for length in range(1, min(max(lengths, default=0), len(hashes)) + 1):
-        keys = mix(keys[:-1] ^ hashes[length - 1 :])
-        if length in lengths:
-            own, first = np.unique(mix(keys ^ EXACT[length % len(EXACT)]), return_index=True)
-            places.append(first)
-            found.append(own)
-    return np.concatenate(places), np.concatenate(found)
+    """Hashes of the windows of the words themselves, of each length."""
+    found = [_keys(hashes, length) ^ EXACT[length % len(EXACT)] for length in lengths if length <= len(hashes)]
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def _template_rows(words, percent):
@@ -152,21 +165,26 @@ def _template_rows(words, percent):
         for batch in batches:
             rows = []
             for item_id, text in zip(batch["item_id"], batch["text"]):
-                template, values, hashes = canonical(text or "")
-                places, keys = windows(template, values, words)
-                # Equal templates whose values repeat in the same pattern are one template.
-                pattern = np.unique(values, return_inverse=True)[1].astype(np.int64)
-                template_id = _digest(template.tobytes() + pattern.tobytes())
-                for place, key in zip(places.tolist(), signed(keys).tolist()):
-                    rows.append((item_id, template_id, template_id, place, key, signed(values[place : place + words]), len(places), percent, 0))
+                readings, hashes = canonical(text or "")
                 if not len(hashes):
                     continue
+                # Equal templates whose values repeat in the same pattern are one template.
+                ids = [_digest(t.tobytes() + np.unique(v, return_inverse=True)[1].astype(np.int64).tobytes()) for t, v in readings]
+                template_id, counts = ids[1], []
+                for nth, (reading_id, (template, values)) in enumerate(zip(ids, readings)):
+                    places, keys = windows(template, values, words)
+                    counts.append(len(places))
+                    # The second reading has fewer literal words; too few windows of it say little.
+                    if nth and (reading_id == ids[0] or 2 * len(places) < len(hashes) - words + 1):
+                        continue
+                    for place, key in zip(places.tolist(), signed(keys).tolist()):
+                        rows.append((item_id, template_id, reading_id, place, key, signed(values[place : place + words]), len(places), percent, 0))
                 # Few template windows: fewer than half of all.
-                least = percent if 2 * len(places) < len(hashes) - words + 1 or len(hashes) < words else 100
+                least = percent if 2 * counts[0] < len(hashes) - words + 1 or len(hashes) < words else 100
                 length, reading_id = min(words, len(hashes)), _digest(b"exact" + hashes.tobytes())
-                places, keys = exact_windows(hashes, {length})
-                for place, key in zip(places.tolist(), signed(keys).tolist()):
-                    rows.append((item_id, template_id, reading_id, place, key, [], len(places), least, length))
+                keys = np.unique(exact_windows(hashes, {length}))
+                for place, key in enumerate(signed(keys).tolist()):
+                    rows.append((item_id, template_id, reading_id, place, key, [], len(keys), least, length))
             yield pd.DataFrame(rows, columns=[part.split()[0] for part in TEMPLATES.split(", ")])
 
     return run
@@ -230,15 +248,16 @@ def _hits(bitmap, words, lengths):
         for batch in texts:
             rows = []
             for text in batch:
-                template, values, hashes = canonical(text or "")
-                places, keys = _near(bits, *windows(template, values, words))
-                found = [
-                    {"place": p, "window": k, "doc_values": signed(values[p : p + words]).tolist()}
-                    for p, k in zip(places.tolist(), signed(keys).tolist())
-                ]
+                readings, hashes = canonical(text or "")
+                found = {}  # windows that both readings have count once
+                for template, values in readings:
+                    places, keys = _near(bits, *windows(template, values, words))
+                    for p, k in zip(places.tolist(), signed(keys).tolist()):
+                        found[p, k] = {"place": p, "window": k, "doc_values": signed(values[p : p + words]).tolist()}
                 # Without values there is nothing to be consistent, so their places do not count.
-                _, keys = _near(bits, *exact_windows(hashes, lengths))
-                rows.append(found + [{"place": None, "window": k, "doc_values": []} for k in signed(keys).tolist()])
+                keys = exact_windows(hashes, lengths)
+                keys = np.unique(_near(bits, keys, keys)[1])
+                rows.append(list(found.values()) + [{"place": None, "window": k, "doc_values": []} for k in signed(keys).tolist()])
             yield pd.Series(rows)
 
     return found.asNondeterministic()
