@@ -15,8 +15,8 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, by the limits of all documents."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "documents"))
 
 
 def near_dup_stage(spark, docs, sf_dir):

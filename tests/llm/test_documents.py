@@ -57,6 +57,23 @@ def test_compression_bands():
     assert not judge(" ".join(f"{i % 7} same line again and again" for i in range(2000)))
 
 
+def test_limits_come_from_the_documents(spark):
+    """Symbols added to words stay inside the fixed bands; the limits of the corpus reject them."""
+    r = random.Random(3)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 8))) for _ in range(800)]
+    texts = [" ".join(r.choices(words, k=900)) for _ in range(200)]
+    junk = [" ".join(f"{word} ***" if r.random() < 0.5 else word for word in r.choices(words, k=700)) for _ in range(10)]
+    rows = [(i, text) for i, text in enumerate(texts + junk)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    import zstandard
+
+    assert all(quality.judge(text, zstandard.ZstdCompressor(level=quality.LEVEL))[6] for text in junk)
+    kept = {row.doc_id for row in quality.quality_rules(docs).filter("kept").collect()}
+    assert not kept & set(range(200, 210)) and len(kept) >= 190
+    assert {row.doc_id for row in quality.keep_good(docs).collect()} == kept
+    assert quality.keep_good(docs.filter("doc_id >= 200"), docs).count() == 0
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
