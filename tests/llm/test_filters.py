@@ -99,6 +99,18 @@ def test_template_text_of_a_host_is_left_out(spark, no_docs):
     assert extraction.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", ["layout no-sidebar", "site has-sidebar", "sidebar", "page-header"])
+def test_class_of_an_ancestor_does_not_remove_the_article(around):
+    html = f"""<body><div class='{around}'><div class="menu">Menu</div><article><h1 class="article-header">Title</h1>
+    <p class="social-policy">One <a href='/hidden-valley' title='Hidden gems' data-hidden='false'>two</a> <a href='/p?id=menu' data-role='header'>three</a></p>
+    <p data-id='notice-3' class="search-result">Four<span hidden>no</span><b aria-hidden=true>no</b></p><div class="share-box">Share</div></article>
+    <div id="comments"><article class="comment">First!</article></div></div></body>"""
+    want = "Title\nOne two three\nFour"
+    got = extraction.main_text(html)
+    assert got == (want if "-sidebar" in around else f"{want}\nFirst!")
+    assert extraction.main_text("<body><div class='sidebar'><p>All there is</p></div></body>") == "All there is"
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 
