@@ -111,6 +111,13 @@ def test_class_of_an_ancestor_does_not_remove_the_article(around):
     assert extraction.main_text("<body><div class='sidebar'><p>All there is</p></div></body>") == "All there is"
 
 
+def test_text_that_every_article_has_stays(spark):
+    html = "<html><body><div>Shop of things</div><article><p>Own text {0}</p><p>Shared by all articles</p></article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://shop.example.com/{i}", html.format(i)) for i in range(12)], PAGES)
+    got = {row.page_id: row.text for row in extraction.extract_pages(pages).collect()}
+    assert got == {i: f"Own text {i}\nShared by all articles" for i in range(12)}
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 
