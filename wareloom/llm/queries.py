@@ -2,7 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from wareloom.llm import decontamination, extraction, license_scan, near_dup, packing, quality, sharding, token_edits, toxicity, url_rules
+from wareloom.llm import (
+    decontamination,
+    extraction,
+    license_scan,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    spelling,
+    token_edits,
+    toxicity,
+    url_rules,
+)
 from wareloom.llm.common import read_table
 
 
@@ -48,6 +60,10 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.find_contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -61,6 +77,7 @@ QUERIES = {
         op8_toxicity,
         op9_license_scan,
         op10_decontamination,
+        op11_spelling,
     )
 }
 
