@@ -7,6 +7,7 @@ from wareloom.llm import (
     extraction,
     license_scan,
     near_dup,
+    negatives,
     packing,
     quality,
     sharding,
@@ -64,6 +65,10 @@ def op11_spelling(spark, sf_dir):
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.mine_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -78,6 +83,7 @@ QUERIES = {
         op9_license_scan,
         op10_decontamination,
         op11_spelling,
+        op12_hard_negatives,
     )
 }
 
@@ -129,4 +135,29 @@ FROM owned_words JOIN wanted_words USING (shingle)
 GROUP BY doc_id, license, n_shingles HAVING 100 * count(*) >= {license_scan.PERCENT} * n_shingles
 """
 
-CHECKS = {"op3_url_filters": _URL_FILTERS, "op9_license_scan": _LICENSE_SCAN}
+_HARD_NEGATIVES = f"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id
+  WHERE a.vec_id % {negatives.ANCHOR_EVERY} = 0
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}
+)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+  AND {negatives.LOWEST_PERCENT} * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= {negatives.NEGATIVES}
+"""
+
+CHECKS = {"op12_hard_negatives": _HARD_NEGATIVES, "op3_url_filters": _URL_FILTERS, "op9_license_scan": _LICENSE_SCAN}
