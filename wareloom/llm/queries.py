@@ -6,6 +6,7 @@ from wareloom.llm import (
     decontamination,
     extraction,
     license_scan,
+    likelihood,
     near_dup,
     negatives,
     packing,
@@ -69,6 +70,10 @@ def op12_hard_negatives(spark, sf_dir):
     return negatives.mine_negatives(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scoring(spark, sf_dir):
+    return likelihood.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -84,6 +89,7 @@ QUERIES = {
         op10_decontamination,
         op11_spelling,
         op12_hard_negatives,
+        op13_lm_scoring,
     )
 }
 
