@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,12 +63,13 @@ WORDS = [b"the", b"banana", b"queue|", b"\xc3\xa9t\xc3\xa9", b"q", "▁▁".enco
 @pytest.mark.parametrize("word", WORDS)
 def test_forward_sums_all_segmentations(word):
     pieces = likelihood.pieces_of()
-    scores = pieces.scores.tolist()
+    scores = pieces.scores
     ways = all_segmentations(pieces, word)
     plain = math.log(math.fsum(math.exp(math.fsum(scores[i] for i in way)) for way in ways))
-    assert likelihood.word_log_probability(pieces, scores, word) == pytest.approx(plain, rel=1e-12)
-    counts = [0.0] * len(pieces)
-    likelihood.add_expected(pieces, scores, word, 3, counts)
+    together = likelihood.log_probabilities(pieces, scores, [b"some", word, b"", word, b"word"])
+    assert together[1] == together[3] == pytest.approx(plain, rel=1e-12)
+    counts = np.zeros(len(pieces))
+    likelihood.add_expected(pieces, scores, [word, word], [1, 2], counts)
     expected = Counter()
     for way in ways:
         share = 3 * math.exp(math.fsum(scores[i] for i in way) - plain)
@@ -84,31 +86,30 @@ def test_pieces_are_a_distribution():
 
 def test_very_long_word():
     pieces = likelihood.pieces_of()
-    one = likelihood.word_log_probability(pieces, pieces.scores.tolist(), b"x" * 100_000)
-    assert -10 * 100_000 < one < 0
+    one, other = likelihood.log_probabilities(pieces, pieces.scores, [b"x" * 50_000, b"y"])
+    assert -10 * 50_000 < one < other < 0
+    assert likelihood.log_probabilities(pieces, pieces.scores, []).tolist() == []
 
 
 def plain_scores(rows, learned):
     """Scores of whole texts by the lattice of each of their words, with scores learned here."""
     pieces = likelihood.pieces_of()
-    found = {word: likelihood.word_log_probability(pieces, learned, word) for _, text in rows for word in set(plain_words(text))}
+    known = sorted({word for _, text in rows for word in plain_words(text)})
+    found = dict(zip(known, likelihood.log_probabilities(pieces, learned, known)))
     return [(sum(found[word] for word in plain_words(text)) + learned[pieces.end]) / math.log(10) for _, text in rows]
 
 
 def plain_learned(rows):
-    import numpy as np
-
     pieces = likelihood.pieces_of()
     counts = Counter()
     for doc_id, text in rows:
         if not held_out(doc_id):
             counts.update(plain_words(text))
-    expected = [0.0] * len(pieces)
-    for word, n in counts.items():
-        likelihood.add_expected(pieces, pieces.scores.tolist(), word, n, expected)
+    expected = np.zeros(len(pieces))
+    likelihood.add_expected(pieces, pieces.scores, list(counts), list(counts.values()), expected)
     expected[pieces.end] = sum(not held_out(doc_id) for doc_id, _ in rows)
-    weights = np.array(expected) + likelihood.PRIOR * np.exp(pieces.scores)
-    return np.log(weights / weights.sum()).tolist()
+    weights = expected + likelihood.PRIOR * np.exp(pieces.scores)
+    return np.log(weights / weights.sum())
 
 
 def check(got, rows):
@@ -158,5 +159,5 @@ def test_held_out_text_is_likelier_than_the_same_letters_shuffled(spark):
     before, after = plain_scores(chosen, learned), plain_scores(junk, learned)
     assert sum(a > b for a, b in zip(before, after)) > 0.95 * len(chosen)
     # Training makes held-out text likelier than the vocabulary's own scores do.
-    untrained = plain_scores(chosen, likelihood.pieces_of().scores.tolist())
+    untrained = plain_scores(chosen, likelihood.pieces_of().scores)
     assert sum(before) > sum(untrained)

@@ -34,7 +34,11 @@ KNOWN_BYTES = 64
 # Distinct words a task counts before it hands them on; bounds its memory.
 COUNTED = 200_000
 
+# Bytes of words whose lattices a task looks at side by side.
+PART_BYTES = 50_000
+
 START = " "
+_CHAR_BITS = 21
 LOG10 = math.log(10)
 _LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -62,36 +66,89 @@ class Pieces:
         self.end = len(self.texts)
         shares = np.array([share or least for share in shares] + [max(shares)])
         self.scores = np.log(shares / shares.sum())
-        skipped = set(self.bytes)
-        self.trie = {}
+        self._number_trie()
+
+    def _number_trie(self):
+        """Trie of the pieces as arrays: (node, character) in order, the node each leads to, the piece that ends there."""
+        spelled = set(self.bytes)
+        nodes, ends = {}, [-1]
         for i, text in enumerate(self.texts):
-            if i in skipped:
+            if i in spelled:
                 continue
-            node = self.trie
+            node = 0
             for char in text.replace("▁", START):
-                node = node.setdefault(char, {})
-            node[None] = i
+                key = (node << _CHAR_BITS) | ord(char)
+                if key not in nodes:
+                    nodes[key] = len(ends)
+                    ends.append(-1)
+                node = nodes[key]
+            ends[node] = i
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.children = np.array([nodes[key] for key in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
 
     def __len__(self):
         return self.end + 1
 
-    def arcs(self, word):
-        """Pieces of a word (bytes) on its lattice: for each place the (start, piece ids) that end there.
-
-        Place 0 is before the blank that begins a word. A character can also be spelled by its bytes,
-        so every word has a segmentation.
-        """
-        text = START + word.decode("utf-8", "surrogatepass")
-        ends = [[] for _ in range(len(text) + 1)]
-        spelled = self.bytes
-        for start, char in enumerate(text):
-            node, place = self.trie, start
-            while place < len(text) and (node := node.get(text[place])) is not None:
-                place += 1
-                if None in node:
-                    ends[place].append((start, (node[None],)))
-            ends[start + 1].append((start, tuple(spelled[b] for b in char.encode("utf-8", "surrogatepass"))))
-        return ends
+
+class Lattices:
+    """The lattices of some words (bytes) side by side: arcs from place to place, in order of the place they end at.
+
+    The first place of a word is before the blank that begins it. An arc is a piece, or one character
+    spelled by its bytes, so every word has a segmentation; `piece` is then the negative of the place of the
+    character in `characters`, less one.
+    """
+
+    def __init__(self, pieces, words):
+        texts = [START + word.decode("utf-8", "surrogatepass") for word in words]
+        lengths = np.array([len(text) for text in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(texts)), lengths)
+        stops = np.cumsum(lengths)
+        self.first = stops - lengths + np.arange(len(texts))
+        self.last = self.first + lengths
+        self.characters, spelled = np.unique(chars, return_inverse=True)
+        starts = np.arange(len(chars))
+        found = [(starts, starts + 1, -1 - spelled)]
+        node, place, stop = np.zeros(len(chars), np.int64), starts, stops[word]
+        while len(starts):
+            inside = place < stop
+            starts, node, place, stop = starts[inside], node[inside], place[inside], stop[inside]
+            keys = (node << _CHAR_BITS) | chars[place]
+            at = np.minimum(np.searchsorted(pieces.keys, keys), len(pieces.keys) - 1)
+            on = pieces.keys[at] == keys
+            starts, node, place, stop = starts[on], pieces.children[at[on]], place[on] + 1, stop[on]
+            whole = pieces.ends[node] >= 0
+            found.append((starts[whole], place[whole], pieces.ends[node[whole]]))
+        starts, ends, self.piece = (np.concatenate(part) for part in zip(*found))
+        # Places are numbered word by word, with one more than characters in each.
+        owner = word[starts]
+        depth = ends - (stops - lengths)[owner]
+        order = np.lexsort((ends, depth))
+        self.start, self.end, self.piece = (starts + owner)[order], (ends + owner)[order], self.piece[order]
+        cuts = np.searchsorted(depth[order], np.arange(1, lengths.max(initial=0) + 2))
+        self.depths = list(zip(cuts[:-1], cuts[1:]))
+
+    def arc_scores(self, pieces, scores):
+        spelled = [sum(scores[pieces.bytes[b]] for b in _utf8(char)) for char in self.characters]
+        return np.where(self.piece >= 0, scores[self.piece], np.array(spelled)[np.maximum(-1 - self.piece, 0)])
+
+    def forward(self, arcs):
+        """Log of the summed weight of all ways to each place."""
+        sums = np.zeros(self.last[-1] + 1)
+        for low, high in self.depths:
+            ends = self.end[low:high]
+            ways = sums[self.start[low:high]] + arcs[low:high]
+            groups = np.flatnonzero(np.diff(ends, prepend=-1))
+            top = np.maximum.reduceat(ways, groups)
+            sizes = np.diff(groups, append=len(ends))
+            total = np.add.reduceat(np.exp(ways - np.repeat(top, sizes)), groups)
+            sums[ends[groups]] = top + np.log(total)
+        return sums
+
+
+def _utf8(char):
+    return chr(char).encode("utf-8", "surrogatepass")
 
 
 _loaded = {}
@@ -104,48 +161,34 @@ def pieces_of(path=VOCABULARY):
     return _loaded[path]
 
 
-def log_sum(values):
-    top = max(values)
-    return top + math.log(sum([math.exp(value - top) for value in values])) if len(values) > 1 else top
-
-
-def forward(ends, scores):
-    """Log of the summed weight of all segmentations up to each place of a lattice."""
-    sums = [0.0]
-    for place in range(1, len(ends)):
-        reached = []
-        for start, ids in ends[place]:
-            score = sums[start] + scores[ids[0]]
-            for i in ids[1:]:
-                score += scores[i]
-            reached.append(score)
-        sums.append(log_sum(reached))
-    return sums
-
-
-def word_log_probability(pieces, scores, word):
-    """Natural log of the summed probability of all segmentations of a word."""
-    return forward(pieces.arcs(word), scores)[-1]
-
-
-def add_expected(pieces, scores, word, n, counts):
-    """Add `n` times the expected number of each piece in the segmentations of a word."""
-    ends = pieces.arcs(word)
-    sums = forward(ends, scores)
-    # From the end backwards: the share of all segmentations that pass each place.
-    passed = [0.0] * len(ends)
-    passed[-1] = float(n)
-    for place in range(len(ends) - 1, 0, -1):
-        share = passed[place]
-        if share:
-            for start, ids in ends[place]:
-                log = sums[start] - sums[place]
-                for i in ids:
-                    log += scores[i]
-                expected = share * math.exp(log)
-                passed[start] += expected
-                for i in ids:
-                    counts[i] += expected
+def log_probabilities(pieces, scores, words):
+    """Natural log of the summed probability of all segmentations of each word."""
+    if not words:
+        return np.zeros(0)
+    lattices = Lattices(pieces, words)
+    return lattices.forward(lattices.arc_scores(pieces, scores))[lattices.last]
+
+
+def add_expected(pieces, scores, words, times, counts):
+    """Add the expected number of each piece in the segmentations of words that occur so many times."""
+    if not words:
+        return
+    lattices = Lattices(pieces, words)
+    arcs = lattices.arc_scores(pieces, scores)
+    sums = lattices.forward(arcs)
+    # From the end backwards: the share of all segmentations that pass each place, and each arc.
+    passed = np.zeros(len(sums))
+    passed[lattices.last] = times
+    shares = np.exp(sums[lattices.start] + arcs - sums[lattices.end])
+    for low, high in reversed(lattices.depths):
+        shares[low:high] *= passed[lattices.end[low:high]]
+        np.add.at(passed, lattices.start[low:high], shares[low:high])
+    whole = lattices.piece >= 0
+    counts += np.bincount(lattices.piece[whole], shares[whole], len(counts))
+    spelled = np.bincount(-1 - lattices.piece[~whole], shares[~whole], len(lattices.characters))
+    for char, share in zip(lattices.characters, spelled):
+        for byte in _utf8(char):
+            counts[pieces.bytes[byte]] += share
 
 
 def is_held_out(doc_id):
@@ -191,18 +234,28 @@ def count_words(docs):
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
+def _parts(words, *columns):
+    """A batch in parts of a bounded number of bytes, or of single words beyond it."""
+    start, size = 0, 0
+    for place, word in enumerate(words):
+        if size and size + len(word) > PART_BYTES:
+            yield words[start:place], *(column[start:place] for column in columns)
+            start, size = place, 0
+        size += len(word) + 1
+    yield words[start:], *(column[start:] for column in columns)
+
+
 def expected_counts(words, scores, path):
     """Expected number of each piece in the training words; one row per piece reaches the driver."""
 
     def expect(batches):
         pieces = pieces_of(path)
-        listed = scores.tolist()
-        counts = [0.0] * len(pieces)
+        counts = np.zeros(len(pieces))
         for batch in batches:
-            for word, n in zip(*(column.to_pylist() for column in batch.columns)):
-                add_expected(pieces, listed, word, n, counts)
-        used = [i for i, n in enumerate(counts) if n]
-        yield pa.record_batch({"piece": pa.array(used, pa.int32()), "n": pa.array([counts[i] for i in used], pa.float64())})
+            for words, times in _parts(*(column.to_pylist() for column in batch.columns)):
+                add_expected(pieces, scores, words, times, counts)
+        used = np.flatnonzero(counts)
+        yield pa.record_batch({"piece": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.float64())})
 
     parts = words.filter("n_train > 0").select("word", "n_train").mapInArrow(expect, "piece int, n double")
     counts = np.zeros(len(scores))
@@ -227,9 +280,9 @@ def scored_words(words, scores, path):
     """The words with `log_p`, the natural log of the probability of each."""
 
     def scored(batches):
-        pieces, listed = pieces_of(path), scores.tolist()
+        pieces = pieces_of(path)
         for batch in batches:
-            found = [word_log_probability(pieces, listed, word) for word in batch.column(0).to_pylist()]
+            found = np.concatenate([log_probabilities(pieces, scores, words) for (words,) in _parts(batch.column(0).to_pylist())])
             yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=["word", "n", "n_train", "log_p"])
 
     return words.select("word", "n", "n_train").mapInArrow(scored, "word binary, n bigint, n_train bigint, log_p double")
