@@ -201,6 +201,16 @@ def test_pieces_give_the_same_ids():
         assert "".join(own.pieces(text)) == text
 
 
+def test_whole_texts_have_the_ids_of_a_plain_call(spark):
+    own = tokenizing.text_tokenizer()
+    r = random.Random(3)
+    strange = ["".join(chr(r.choice([r.randint(32, 0xD7FF), r.randint(0xE000, 0x10FFFF)])) for _ in range(40)) for _ in range(500)]
+    long = ["a" * 30_000, " " * 30_000, "".join(r.choices("etaoin", k=30_000)), "é!" * 9000]
+    for text in [*odd_texts(), *strange, *long, *filter(None, documents(spark).values())]:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.token_ids(text), repr(text[:80])
+    assert own.ids("") == own.ids(None) == b""
+
+
 def check_packing(rows, texts):
     sequences = defaultdict(list)
     for row in rows:

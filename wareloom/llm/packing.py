@@ -8,12 +8,12 @@ fit is the lowest set bit at or above the length wanted. When all are open, the
 
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from wareloom.llm.common import run_tables
-from wareloom.llm.tokenizing import TOKENIZER, tokenizer_for
+from wareloom.llm.tokenizing import RANKS, text_tokenizer
 
 LENGTH = 2048
 OPEN_BINS = 16_384
@@ -71,23 +71,26 @@ class OpenBins:
         return place, self.length - room
 
 
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "lot"]
+
+
 def _pieces(path, length):
     def tokenise(batches):
-        tokenizer = tokenizer_for(path)
+        tokenizer = text_tokenizer(path)
         task = TaskContext.get().partitionId()
         n = 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = tokenizer.ids(text) + END
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = tokenizer.ids(text.as_py()) + END
                 for piece, (start, size) in enumerate(cut(len(ids) // 4, length)):
                     crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)])
                     n += 1
                     lot = zlib.crc32(b"%d %d" % (task, n))
                     rows.append((doc_id, piece, start, size, crc, lot))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "lot"]).astype(
-                {"doc_id": "Int64", "piece": "int32"}
-            )
+            columns = zip(*rows) if rows else [()] * len(_TYPES)
+            yield pa.record_batch([pa.array(column, kind) for column, kind in zip(columns, _TYPES)], names=_NAMES)
 
     return tokenise
 
@@ -97,16 +100,15 @@ def _pack(length, limit):
         task = TaskContext.get().partitionId()
         bins = OpenBins(length, limit)
         for batch in batches:
-            placed = [bins.put(size) for size in batch["length"].tolist()]
-            batch = batch.drop(columns="lot")
-            batch["sequence_id"] = [(2 * task << 40) + place for place, _ in placed]
-            batch["offset"] = [offset for _, offset in placed]
-            yield batch
+            placed = [bins.put(size) for size in batch.column("length").to_pylist()]
+            sequences = pa.array([(2 * task << 40) + place for place, _ in placed], pa.int64())
+            offsets = pa.array([offset for _, offset in placed], pa.int64())
+            yield pa.record_batch([*batch.columns[:-1], sequences, offsets], names=[*_NAMES[:-1], "sequence_id", "offset"])
 
     return pack
 
 
-def pack_documents(docs, length=LENGTH, tokenizer=TOKENIZER, open_bins=OPEN_BINS, pieces_per_packer=PIECES_PER_PACKER):
+def pack_documents(docs, length=LENGTH, tokenizer=RANKS, open_bins=OPEN_BINS, pieces_per_packer=PIECES_PER_PACKER):
     """Pieces of all documents with their sequence and place in it.
 
     A document without text has one id, the end mark. Repeated rows are packed once each. A null
@@ -116,7 +118,7 @@ def pack_documents(docs, length=LENGTH, tokenizer=TOKENIZER, open_bins=OPEN_BINS
     tables = run_tables(docs, "packing")
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     # Written, so that the deal stays as it is when a task is repeated.
-    pieces = tables.write(narrow.mapInPandas(_pieces(tokenizer, length), PIECES), "pieces")
+    pieces = tables.write(narrow.mapInArrow(_pieces(tokenizer, length), PIECES), "pieces")
     full = pieces.filter(F.col("length") == length).select(
         *[name for name in pieces.columns if name != "lot"],
         (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"),
@@ -126,4 +128,4 @@ def pack_documents(docs, length=LENGTH, tokenizer=TOKENIZER, open_bins=OPEN_BINS
     packers = max(1, -(-short.count() // pieces_per_packer))
     dealt = short.repartition(packers, "lot").sortWithinPartitions(F.desc("length"), "lot", "doc_id", "piece")
     schema = PIECES.replace(", lot bigint", ", sequence_id bigint, offset bigint")
-    return full.unionByName(dealt.mapInPandas(_pack(length, open_bins), schema))
+    return full.unionByName(dealt.select(*_NAMES).mapInArrow(_pack(length, open_bins), schema))

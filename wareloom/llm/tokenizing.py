@@ -1,5 +1,6 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded cache of word pieces."""
+"""Token ids of whole texts by a public tokenizer, and of their pieces with a bounded cache."""
 
+import base64
 import os
 import re
 import struct
@@ -9,9 +10,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
+import tiktoken  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# The same vocabulary as ranks, for the library that encodes whole texts fastest.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SPECIAL = {"<|endoftext|>": 50256}
 
 # The byte-level pre-tokenizer never joins anything across a blank that follows a non-blank, save that
 # the blank belongs to what follows it. Only runs of three blanks, or two at the end, are cut otherwise.
@@ -82,9 +87,29 @@ class PieceTokenizer(dict):
         return len(self.encode(piece)) // 4
 
 
+class RankTokenizer:
+    """Ids of whole texts, equal to those of a plain call to the tokenizer; keeps nothing between texts."""
+
+    def __init__(self, path=RANKS, special=SPECIAL):
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, text):
+        """Little-endian unsigned 32-bit ids; a special token's name inside a text becomes that token."""
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes() if text else b""
+
+
 _loaded = {}
 
 
+def text_tokenizer(path=RANKS):
+    """One tokenizer of whole texts per Python worker."""
+    if path not in _loaded:
+        _loaded[path] = RankTokenizer(path)
+    return _loaded[path]
+
+
 def tokenizer_for(path=TOKENIZER):
     """One tokenizer with its cache per Python worker."""
     if path not in _loaded:
