@@ -2,8 +2,8 @@ from wareloom.operators.robots import extract_robots_sitemaps
 
 CASES = {
     "two-declarations": (
-        "\nUser-agent: *\nDisallow: /cart\nSitemap: https://example.com/sitemap.xml\nsitemap: https://example.com/products.xml\n",
-        ["https://example.com/sitemap.xml", "https://example.com/products.xml"],
+        "siteMAP: https://lamps.test/all.xml\nUser-agent: bot\nAllow: /\n\nSitemap: https://lamps.test/new.xml.gz",
+        ["https://lamps.test/all.xml", "https://lamps.test/new.xml.gz"],
     ),
     "unicode-white-space": ("　SITEMAP\u0085:\t https://a/1 \r\n", ["https://a/1"]),
     "byte-order-mark-stays": ("﻿Sitemap: https://a/1\nSitemap: https://a/2", ["https://a/2"]),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wareloom.operators.ordering import with_positions
 from wareloom.schemas import CAPTURES, PAGE_LIST
+from wareloom.sources.page_lists import read_array
 
 
 def read_captures(spark, path):
@@ -14,23 +15,23 @@ def read_captures(spark, path):
 def read_page_list(spark, path=None, urls=(), json_lines=False):
     """Candidates (url, cand_ord): explicit URLs first, then those of a page-list export.
 
-    Entries without `loc` are skipped and repeats are kept. An export holds one JSON
-    array per file, which a single task has to read; large lists should come as
-    several files or as JSON lines, which split. File order is by path.
+    Entries without `loc` are skipped and repeats are kept. An export holds one JSON array per file, or
+    JSON lines; both are read in byte ranges. File order is by path.
     """
     explicit = spark.createDataFrame(list(zip(urls, range(len(urls)))), "url string, cand_ord bigint")
     if path is None:
         return explicit
-    reader = spark.read.schema(PAGE_LIST).option("mode", "FAILFAST").option("multiLine", not json_lines)
-    listed = (
-        reader.json(path)
-        .select(
+    if json_lines:
+        rows = spark.read.schema(PAGE_LIST).option("mode", "FAILFAST").json(path)
+        order = ["file", "block", "row"]
+        listed = rows.select(
             F.col("loc").alias("url"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         )
-        .filter(F.col("url") != "")
-    )
-    placed = with_positions(listed, ["file", "block", "row"], "place")
+    else:
+        order = ["file", "number"]
+        listed = read_array(spark, path).select(F.col("page.loc").alias("url"), *order)
+    placed = with_positions(listed.filter(F.col("url") != ""), order, "place")
     return explicit.unionByName(placed.select("url", (F.col("place") - 1 + F.lit(len(urls))).alias("cand_ord")))
