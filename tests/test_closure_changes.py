@@ -1,0 +1,139 @@
+"""A closure brought up to date equals the closure from scratch, and only touches what changed."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from test_resolve import index, urlset
+from wareloom.operators.resolve import (
+    closure_pages,
+    closure_records,
+    latest_documents,
+    read_closure,
+    resolve_closure,
+    store_closure,
+    update_closure,
+)
+from wareloom.session import RunTables, folder_names
+
+
+def rows_of(documents, batch):
+    return [
+        dict(url=url, body=body, batch_id=batch, duration_ms=len(url), **({} if body else dict(status_code=404, status_text="404 No")))
+        for url, body in documents.items()
+    ]
+
+
+def starts_of(spark, starts):
+    return spark.createDataFrame(list(starts.items()), "url string, ord long")
+
+
+def result(closure):
+    records = {tuple(map(str, row)) for row in closure_records(closure).collect()}
+    return records, sorted((row["loc"], row.source_sitemap, tuple(row.seq)) for row in closure_pages(closure).collect())
+
+
+def updated(spark, captures, run_dir, before, after, starts, new_starts=None, withdrawn=()):
+    """(updated, from scratch, tables): `after` is captured on top of `before`."""
+    store_closure(resolve_closure(captures(*rows_of(before, 0)), starts_of(spark, starts)), run_dir + "/closure")
+    tables = RunTables(spark, "update-test")
+    gone = spark.createDataFrame([(url,) for url in withdrawn], "url string") if withdrawn else None
+    closure, changed = update_closure(
+        read_closure(spark, run_dir + "/closure"),
+        captures(*rows_of(after, 1)) if after else captures(*rows_of({"x": ""}, 1)).limit(0),
+        starts_of(spark, new_starts) if new_starts else None, gone, tables,
+    )
+    whole = {**before, **after}
+    for url in withdrawn:
+        whole.pop(url, None)
+    rows = [row for batch, docs in ((0, before), (1, after)) for row in rows_of(docs, batch) if row["url"] in whole]
+    fresh = resolve_closure(captures(*rows), starts_of(spark, new_starts or starts))
+    return closure, fresh, changed, tables
+
+
+BEFORE = {
+    "r": index("a", "b", "r"), "a": index("x", "y"), "b": index("y", "z"), "x": urlset("p1"), "y": urlset("p2"),
+    "z": index("r", "w"), "w": urlset("p3"), "other": index("o1", "o2"), "o1": urlset("q1"), "o2": urlset("q2"),
+}
+CASES = {
+    "nothing": ({}, None, ()),
+    "same again": ({"a": index("x", "y")}, None, ()),
+    "child moves to another parent": ({"a": index("x")}, None, ()),
+    "positions change": ({"r": index("b", "a")}, None, ()),
+    "index fails": ({"b": ""}, None, ()),
+    "index becomes a set": ({"a": urlset("p9")}, None, ()),
+    "set becomes an index": ({"x": index("w", "new"), "new": urlset("n1")}, None, ()),
+    "cut off and still in a cycle": ({"r": index("a")}, None, ()),
+    "shorter way": ({"r": index("z", "a", "b")}, None, ()),
+    "withdrawn": ({}, None, ("b",)),
+    "start added": ({}, {"r": 1, "other": 2, "z": 3}, ()),
+    "start lost": ({}, {"other": 2}, ()),
+    "start moved": ({}, {"r": 5, "other": 2}, ()),
+    "everything at once": ({"r": index("z", "o2", "a"), "o2": index("b", "r"), "z": ""}, {"r": 3, "o2": 1}, ("other",)),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_equals_a_closure_from_scratch(spark, captures, run_dir, case):
+    after, new_starts, withdrawn = CASES[case]
+    closure, fresh, _, _ = updated(spark, captures, run_dir, BEFORE, after, {"r": 1, "other": 2}, new_starts, withdrawn)
+    assert result(closure) == result(fresh)
+
+
+def test_random_graphs(spark, captures, run_dir):
+    for seed in range(4):
+        r = random.Random(seed)
+        urls = [f"u{i}" for i in range(40)]
+
+        def document():
+            return index(*r.sample(urls, r.randint(1, 4))) if r.random() < 0.7 else r.choice([urlset("p", "q"), ""])
+
+        before = {url: document() for url in urls if r.random() < 0.9}
+        after = {url: document() for url in r.sample(urls, 8)}
+        starts = {url: i for i, url in enumerate(r.sample(urls, 3))}
+        closure, fresh, changed, _ = updated(spark, captures, f"{run_dir}/{seed}", before, after, starts)
+        assert result(closure) == result(fresh)
+        # What is not among the changed URLs has kept its place and its document.
+        stored = read_closure(spark, f"{run_dir}/{seed}/closure")
+        names = {row.url for row in changed.collect()}
+        place = lambda c: {row.url: (row.depth, tuple(row.trail)) for row in c.visited.collect()}
+        old, new = place(stored), place(closure)
+        assert all(new.get(url) == old.get(url) for url in {*old, *new} - names)
+
+
+def test_a_closure_can_be_updated_again(spark, captures, run_dir):
+    first, _, _, _ = updated(spark, captures, run_dir, BEFORE, {"r": index("b", "a")}, {"r": 1, "other": 2})
+    store_closure(first, run_dir + "/second")
+    closure, _ = update_closure(read_closure(spark, run_dir + "/second"), captures(*rows_of({"b": index("w")}, 2)))
+    whole = {**BEFORE, "r": index("b", "a"), "b": index("w")}
+    assert result(closure) == result(resolve_closure(captures(*rows_of(whole, 0)), starts_of(spark, {"r": 1, "other": 2})))
+
+
+def test_hop_tables_hold_changed_branches_only(spark, captures, run_dir):
+    before = {"r": index(*[f"h{i}" for i in range(50)])}
+    for i in range(50):
+        before |= {f"h{i}": index(f"s{i}-0", f"s{i}-1"), f"s{i}-0": urlset("p"), f"s{i}-1": urlset("q")}
+    closure, fresh, changed, tables = updated(spark, captures, run_dir, before, {"h7": index("s7-1", "s8-0")}, {"r": 1})
+    assert result(closure) == result(fresh)
+    assert {row.url for row in changed.collect()} == {"h7", "s7-0", "s7-1", "s8-0"}
+    for name in ("removed", "added", "offers", "given-up", "settled"):
+        assert spark.read.parquet(tables.path(name)).count() <= 4, name
+    assert folder_names(spark, tables.path("settled"))
+
+
+def test_an_older_capture_changes_nothing(spark, captures, run_dir):
+    store_closure(resolve_closure(captures(*rows_of(BEFORE, 5)), starts_of(spark, {"r": 1})), run_dir + "/closure")
+    before = read_closure(spark, run_dir + "/closure")
+    closure, changed = update_closure(before, captures(*rows_of({"r": index("z")}, 4)))
+    assert changed.isEmpty() and result(closure) == result(before)
+
+
+def test_no_hop_aggregates_documents(spark, captures, run_dir):
+    rows = [*rows_of(BEFORE, 0), *rows_of({"a": index("w")}, 1)]
+    tables = RunTables(spark, "latest-test")
+    docs = latest_documents(captures(*rows), tables)
+    text = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and "Join" not in text
+    assert docs.count() == len(BEFORE)
+    assert [row.children for row in docs.filter(F.col("url") == "a").collect()] == [["w"]]

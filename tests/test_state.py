@@ -5,13 +5,16 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from wareloom.operators import frontier, merges
+from wareloom.operators.outcomes import classify_outcomes
 from wareloom.plans import runs
 from wareloom.schemas import PAGES, STRUCTURED_PRODUCTS
 from wareloom.session import checkpoint_root
 from wareloom.sources.captures import read_captures, read_page_list
 from wareloom.sources.state import CrawlState, read_state, write_state
-from wareloom.streaming.capture_state import process_captures
+from wareloom.streaming.capture_state import merge_stream, read_capture_stream, stream_capture_state, unseen_urls
 
 NOW = datetime(2024, 1, 1)
 
@@ -28,80 +31,129 @@ def stored(state, table="pages"):
     return sorted((r.host, r.page_id, r.scrape_status) for r in state.read(table).collect())
 
 
-@pytest.mark.parametrize("buckets", [None, 2, 64])
-def test_only_touched_hosts_change(spark, run_dir, buckets):
-    state = CrawlState(spark, run_dir + "/s", buckets)
-    assert state.read("pages").count() == 0 and state.last_id("pages") == 0
+def snapshots(state):
+    return sorted(os.listdir(state.root + "/pages"))
+
+
+def test_a_snapshot_replaces_the_one_before(spark, run_dir):
+    state = CrawlState(spark, run_dir + "/it's a state", 2)
+    assert state.read("pages").count() == 0
     state.replace("pages", pages_of(spark, page(1, "https://a/1", "a"), page(2, "https://b/2", "b"), page(3, "https://123/3", "123")))
-    known = state.read("pages", spark.createDataFrame([("a",)], "host string"))
-    others = known.filter("host <> 'a'")
-    assert known.count() < 3 if buckets == 64 else known.filter("host = 'a'").count() == 1
-    changed = pages_of(spark, page(1, "https://a/1", "a", "success"), page(7, "https://a/7", "a"))
-    state.replace("pages", changed.unionByName(others))
-    assert stored(state) == [("123", 3, "pending"), ("a", 1, "success"), ("a", 7, "pending"), ("b", 2, "pending")]
-    assert state.last_id("pages") == 7
-    assert stored(CrawlState(spark, run_dir + "/s", buckets)) == stored(state)
+    reader = state.read("pages")
+    known = state.read("pages")
+    changed = known.filter("host <> 'a'").unionByName(pages_of(spark, page(1, "https://a/1", "a", "success"), page(7, "https://a/7", "a")))
+    state.replace("pages", changed)
+    after = [("123", 3, "pending"), ("a", 1, "success"), ("a", 7, "pending"), ("b", 2, "pending")]
+    assert stored(state) == after
+    assert sorted(r.scrape_status for r in reader.collect()) == ["pending"] * 3
+    other = CrawlState(spark, state.root, 7)
+    assert stored(other) == after
+    other.replace("pages", other.read("pages").filter("page_id > 1"))
+    assert stored(state) == after[:1] + after[2:]
+    assert snapshots(state) == ["00000001-2", "00000002-2", "00000003-7"]
+
+
+def test_a_change_is_seen_whole_or_not_at_all(spark, run_dir):
+    state = CrawlState(spark, run_dir + "/s")
+    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
+    bad = pages_of(spark, page(1, "https://a/1", "a", "success"), page(2, "/x", None))
+    with pytest.raises(PySparkException, match="cannot derive a state location"):
+        state.replace("pages", bad)
+    assert stored(state) == [("a", 1, "pending")]
+    # What a writer leaves that dies before it is done, and the finished file of one that dies right after.
+    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "success"), page(9, "https://b/9", "b")))
+    newest = f"{state.root}/pages/{snapshots(state)[-1]}"
+    os.rename(newest + "/_SUCCESS", newest + "/_kept")
+    again = CrawlState(spark.newSession(), run_dir + "/s")
+    assert stored(again) == [("a", 1, "pending")]
+    os.rename(newest + "/_kept", newest + "/_SUCCESS")
+    assert stored(again) == [("a", 1, "success"), ("b", 9, "pending")]
+    again.replace("pages", again.spark.createDataFrame([page(1, "https://a/1", "a", "failed")], PAGES))
+    assert stored(state) == [("a", 1, "failed")]
+
+
+def test_ids_go_on_from_the_stored_ones(spark, run_dir):
+    state = CrawlState(spark, run_dir + "/s")
+    state.replace("pages", pages_of(spark, page(4, "https://a/1", "a")))
+    runs.listed_run_candidates(read_page_list(spark, urls=["https://a/3", "https://a/1"]), state, NOW)
+    assert sorted((r.page_id, r.url) for r in state.read("pages").collect()) == [(4, "https://a/1"), (5, "https://a/3")]
 
 
-def die(*_):
-    raise RuntimeError("killed")
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("buckets", [None, 4])
-@pytest.mark.parametrize("step", ["_publish", "_clean"])
-def test_a_change_is_seen_whole_or_not_at_all(spark, run_dir, monkeypatch, step, buckets):
-    state = CrawlState(spark, run_dir + "/s", buckets)
-    before = [("a", 1, "pending")]
-    after = [("a", 1, "success"), ("b", 9, "pending")]
-    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
-    with monkeypatch.context() as patch:
-        patch.setattr(CrawlState, step, die)
-        with pytest.raises(RuntimeError):
-            state.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "success"), page(9, "https://b/9", "b")))
-    again = CrawlState(spark, run_dir + "/s", buckets)
-    assert stored(again) == (before if step == "_publish" else after)
-    assert again.last_id("pages") == (1 if step == "_publish" else 9)
-    again.replace("pages", pages_of(spark, page(1, "https://a/1", "a", "failed")))
-    assert stored(again)[0] == ("a", 1, "failed")
-
-
-@pytest.mark.parametrize("step", ["_publish", "_clean"])
-def test_no_id_is_given_twice_after_a_crash(spark, run_dir, monkeypatch, step):
-    state = CrawlState(spark, run_dir + "/s")
-    state.replace("pages", pages_of(spark, page(1, "https://a/1", "a")))
-    with monkeypatch.context() as patch:
-        patch.setattr(CrawlState, step, die)
-        with pytest.raises(RuntimeError):
-            state.replace("pages", pages_of(spark, page(1, "https://a/1", "a"), page(2, "https://a/2", "a")))
-    again = CrawlState(spark, run_dir + "/s")
-    runs.listed_run_candidates(read_page_list(spark, urls=["https://a/3"]), again, NOW)
-    found = sorted((r.page_id, r.url) for r in again.read("pages").collect())
-    kept = [(1, "https://a/1")] + [(2, "https://a/2")] * (step == "_clean")
-    assert found == kept + [(len(kept) + 1, "https://a/3")]
-
-
-def test_versions_are_written_once_and_deleted_when_spent(spark, run_dir):
+@pytest.fixture
+def many_pages(spark, run_dir):
+    """A state of pages in eight buckets and a batch that Spark may not broadcast."""
     state = CrawlState(spark, run_dir + "/s")
-    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8"), page(2, "https://b/2", "b")))
-    reader = state.read("pages")
-    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8", "success")))
-    assert folders(state) == {"version=1/host=a%3A8", "version=1/host=b", "version=2/host=a%3A8"}
-    assert sorted(r.scrape_status for r in reader.collect()) == ["pending", "pending"]
-    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8", "failed")))
-    assert folders(state) == {"version=1/host=b", "version=2/host=a%3A8", "version=3/host=a%3A8"}
-    state.replace("pages", pages_of(spark, page(1, "https://a:8/1", "a:8"), page(2, "https://b/2", "b", "success")))
-    state.replace("pages", pages_of(spark, page(2, "https://b/2", "b", "failed")))
-    assert folders(state) == {"version=4/host=a%3A8", "version=4/host=b", "version=5/host=b"}
-    assert sorted(os.listdir(state.root + "/_versions/pages")) == ["4", "5"]
-    assert stored(state) == [("a:8", 1, "pending"), ("b", 2, "failed")] and state.last_id("pages") == 2
-
-
-def folders(state):
-    """Partition folders of the pages, and that no version is left without any."""
-    root = state.root + "/pages"
-    found = {version: [n for n in os.listdir(f"{root}/{version}") if "=" in n] for version in os.listdir(root) if "=" in version}
-    assert all(found.values())
-    return {f"{version}/{name}" for version, names in found.items() for name in names}
+    url = F.concat(F.lit("https://a/"), F.col("id").cast("string"))
+    candidates = spark.range(5000).select(url.alias("url"), F.col("id").alias("cand_ord"))
+    state.replace("pages", merges.seed_pages(state.read("pages"), candidates, NOW))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield state, candidates
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def exchanges_of_stored_rows(df):
+    """Shuffles above a scan of the stored snapshot, in a plan without adaptive execution."""
+    found, above = [], []
+    for line in plan(df).splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [entry for entry in above if entry[0] < depth] + [(depth, line)]
+        if "SelectedBucketsCount" in line or "Bucketed: true" in line:
+            found.extend(text for _, text in above if "Exchange hashpartitioning" in text)
+    return found
+
+
+def _outcomes(candidates):
+    return classify_outcomes(
+        candidates.select(
+            "url", F.lit(200).alias("status_code"), F.lit("200 OK").alias("status_text"), F.lit(1).cast("bigint").alias("duration_ms"),
+            F.lit(None).cast("string").alias("fetch_error"), F.lit(0).alias("batch_id"), F.col("cand_ord").alias("seq"),
+        )
+    )
+
+
+def test_merges_do_not_move_stored_rows(spark, many_pages):
+    state, candidates = many_pages
+    merged = merges.apply_outcomes(state.read("pages"), _outcomes(candidates), NOW)
+    assert "SortMergeJoin" in plan(merged) and "Bucketed: true" in plan(merged)
+    assert not exchanges_of_stored_rows(merged)
+    new = candidates.withColumn("url", F.concat("url", F.lit("/more")))
+    unseen = unseen_urls(new, state.read("pages"))
+    assert "Bucketed: true" in plan(unseen) and "SortMergeJoin" in plan(unseen)
+    pending = frontier.pending_from_candidates(candidates, state.read("pages"))
+    assert "Bucketed: true" in plan(pending) and not exchanges_of_stored_rows(pending)
+    state.replace("pages", merged)
+    assert state.read("pages").filter("scrape_status = 'success'").count() == 5000
+
+
+def test_looking_up_a_url_reads_one_bucket(spark, many_pages):
+    state, _ = many_pages
+    one = frontier.page_by_url(state.read("pages"), "https://a/77")
+    assert [r.url for r in one.collect()] == ["https://a/77"]
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        assert "SelectedBucketsCount: 1 out of 8" in plan(frontier.page_by_url(state.read("pages"), "https://a/77"))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    # Also where the planner does without a bucketed scan, files of other buckets are not opened.
+    assert one.rdd.getNumPartitions() == 1 < state.read("pages").rdd.getNumPartitions()
+
+
+def test_the_frontier_reads_pending_files_only(spark, many_pages):
+    state, candidates = many_pages
+    visited = merges.apply_outcomes(state.read("pages"), _outcomes(candidates.filter("cand_ord % 2 = 0")), NOW)
+    state.replace("pages", visited)
+    top = frontier.pending_pages(state.read_pending().select("page_id", "url", "visited_at"), 3)
+    text = plan(top)
+    assert "PartitionFilters: [isnotnull(pending" in text and "TakeOrderedAndProject" in text
+    assert [r.url for r in top.collect()] == ["https://a/1", "https://a/3", "https://a/5"]
+    found = {os.path.basename(os.path.dirname(f)) for f in state.read_pending().inputFiles()}
+    assert found == {"pending=true"}
 
 
 def test_runs_and_streams_keep_each_others_products(spark, captures, run_dir):
@@ -110,8 +162,13 @@ def test_runs_and_streams_keep_each_others_products(spark, captures, run_dir):
         chosen = runs.listed_run_candidates(read_page_list(spark, urls=[url]), state, NOW)
         summary, _ = runs.scrape_run(chosen, captures(dict(url=url, body=LD)), state, NOW)
         assert summary.first()["stored_products"] == number
-    for name in ("one", "two", "two"):
-        process_captures(captures(dict(url="https://a/2", body=LD)), 0, state, NOW, stream=name)
+    captures(dict(url="https://a/2", body=LD)).write.parquet(run_dir + "/in")
+    for name in ("one", "two"):
+        store = f"{run_dir}/{name}"
+        for query in stream_capture_state(read_capture_stream(spark, run_dir + "/in"), store, store + "-offsets"):
+            query.awaitTermination()
+        run = merge_stream(state, store, NOW)
+    merge_stream(state, store, NOW, batch_id=run)
     assert sorted(r.url for r in state.read("structured_products").collect()) == ["https://a/1", *["https://a/2"] * 3]
 
 
@@ -242,7 +299,7 @@ def shop(captures):
     return robots, sitemaps, pages
 
 
-@pytest.mark.parametrize("buckets", [None, 1])
+@pytest.mark.parametrize("buckets", [1, 8])
 def test_resolve_then_scrape_pending(spark, shop, run_dir, buckets):
     robots, sitemaps, pages = shop
     state = CrawlState(spark, run_dir + "/s", buckets)

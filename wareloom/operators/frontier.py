@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wareloom.functions.urls import is_bad_url, url_host
 from wareloom.operators.joins import lookup_join, small_or_lookup_join
 from wareloom.operators.ordering import slice_ordered
+from wareloom.operators.url_filter import possible_keys
 
 
 def pending_pages(pages, limit=0, offset=0):
@@ -12,8 +13,13 @@ def pending_pages(pages, limit=0, offset=0):
     return slice_ordered(pages.filter(F.col("visited_at").isNull()), ["page_id"], offset, limit)
 
 
-def pending_from_candidates(candidates, pages, limit=0):
-    """Candidates (url, cand_ord) that are known and unvisited, order and repeats kept."""
+def pending_from_candidates(candidates, pages, limit=0, known=None):
+    """Candidates (url, cand_ord) that are known and unvisited, order and repeats kept.
+
+    With the filter `known` of the stored URLs, candidates that are surely not stored drop out first.
+    """
+    if known is not None:
+        candidates = candidates.join(possible_keys(candidates, known), "url", "left_semi")
     unvisited = pages.filter(F.col("visited_at").isNull()).select("url", "page_id")
     return slice_ordered(lookup_join(candidates, unvisited, "url"), ["cand_ord"], 0, limit)
 

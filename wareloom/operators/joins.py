@@ -43,15 +43,26 @@ def lookup_join(left, right, key, how="inner", hot_rows=HOT_KEY_ROWS, salts=SALT
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def latest_rows(rows, key, order=("batch_id", "seq")):
-    """Of the rows of each key those with the highest `order`, one if that is free of ties.
+def latest_rows(stored, key, tables, name, order=("batch_id", "seq")):
+    """Of the rows of each key in a stored table those with the highest `order`, one if that is free of ties.
 
-    Only key and order are aggregated, map-side; pass stored, narrow rows, since they are read twice.
+    Which rows are superseded is found from key and order alone and written; as a rule there are few or
+    none, and then no wide row moves.
     """
-    last = rows.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
-    last = last.select(F.col(key).alias("_key"), *[F.col(f"_last.{name}").alias(f"_{name}") for name in order])
-    same = [rows[key] == last["_key"], *[rows[name].eqNullSafe(last[f"_{name}"]) for name in order]]
-    return rows.join(last, same, "left_semi")
+    own = F.struct(*order)
+    last = stored.groupBy(key).agg(F.count("*").alias("_n"), F.max(own).alias("_last")).filter("_n > 1")
+    last = tables.write(last.select(F.col(key).alias("_key"), "_last"), f"{name}-repeated")
+    if last.isEmpty():
+        return stored
+    older = stored.select(key, *order).join(last, F.col(key) == F.col("_key")).filter(own != F.col("_last"))
+    older = tables.write(older.select("_key", *[F.col(c).alias(f"_{c}") for c in order]), f"{name}-superseded")
+    same = [F.col(key) == F.col("_key"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]]
+    return tables.write(stored.join(older, same, "left_anti"), f"{name}-latest")
+
+
+def known_keys(rows, known, key):
+    """The keys of `known` (one row per key) that `rows` has; few rows are broadcast and `known` is only scanned."""
+    return known.select(key).join(rows.select(key), key, "left_semi")
 
 
 def missing_rows(rows, known, key):
@@ -61,8 +72,7 @@ def missing_rows(rows, known, key):
     broadcast and a large `known` is only scanned. A direct anti join would have to
     shuffle it. `rows` is read twice.
     """
-    hits = known.select(key).join(rows.select(key), key, "left_semi")
-    return rows.join(hits, key, "left_anti")
+    return rows.join(known_keys(rows, known, key), key, "left_anti")
 
 
 def small_or_lookup_join(left, right, key, how="inner", small_rows=SMALL_ROWS, tables=None):

@@ -168,13 +168,14 @@ def apply_outcomes(pages, outcomes, as_of, order=ORDER, tables=None):
     )
 
 
-def products_with_ids(products, pages, as_of):
+def products_with_ids(products, pages, as_of, how="inner"):
     """Products of known pages with their page id; products of unknown URLs are left out.
 
-    Rows are appended as they are: scraping a page again adds its products again.
+    With `how="left"` these stay, without page id and host. Rows are appended as they are: scraping
+    a page again adds its products again.
     """
     known = pages.select("url", "page_id", "host")
-    joined = lookup_join(products, known, "url")
+    joined = lookup_join(products, known, "url", how)
     return joined.select(
         "page_id",
         "url",

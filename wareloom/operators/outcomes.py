@@ -12,12 +12,12 @@ def extract_error(decode_status, content_encoding):
     return F.when(decode_status == "unsupported", text)
 
 
-def classify_outcomes(fetched):
+def classify_outcomes(fetched, keep=()):
     """Outcome rows from fetch results (url, allowed, fetch_error, status_code, status_text, duration_ms, ...).
 
     The first rule that applies decides: outside the allowed domains, failed fetch,
     status outside 2xx, failed extraction, success. Failures without a response have
-    status 0, not NULL. A page without products is still a success.
+    status 0, not NULL. A page without products is still a success. Columns named in `keep` stay.
     """
     columns = fetched.columns
     unread = F.col("extract_error") if "extract_error" in columns else F.lit(None).cast("string")
@@ -42,4 +42,5 @@ def classify_outcomes(fetched):
         F.when(disallowed, F.lit(SKIPPED)).when(failed, F.lit(FAILED)).otherwise(F.lit(SCRAPED)).alias("label"),
         "batch_id",
         "seq",
+        *keep,
     )

@@ -27,18 +27,35 @@ def _one_row(*parts):
     return united.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
 
 
-def resolve_summary(records, pages):
-    """One row of counters; `final_urls` counts repeats, `failed_pages` is always 0."""
+def record_counts():
+    """Aggregates over sitemap records for a summary."""
     done = F.col("status") == SUCCESS
-    counts = records.agg(
+    return [
         F.count("*").alias("sitemaps_attempted"),
         F.count_if(done).alias("sitemaps_succeeded"),
         F.count_if(~done).alias("sitemaps_failed"),
         F.count_if(done & (F.col("type") == INDEX_ROOT)).alias("sitemap_indexes"),
         F.count_if(done & (F.col("type") == SET_ROOT)).alias("url_sets"),
-    )
-    finals = pages.agg(F.count("*").alias("final_urls"))
-    return _one_row(counts, finals).withColumn("failed_pages", F.lit(0).cast("bigint"))
+    ]
+
+
+def page_counts():
+    return [F.count("*").alias("final_urls")]
+
+
+def outcome_counts():
+    """Aggregates over scrape outcomes for a summary."""
+    return [F.count("*").alias("pages_scraped"), F.count_if(F.col("scrape_status") == FAILED).alias("failures")]
+
+
+def summary_row(spark, counts):
+    """One row of counters that the jobs of a run have taken on their way."""
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+
+
+def resolve_summary(records, pages):
+    """One row of counters; `final_urls` counts repeats, `failed_pages` is always 0."""
+    return _one_row(records.agg(*record_counts()), pages.agg(*page_counts())).withColumn("failed_pages", F.lit(0).cast("bigint"))
 
 
 def slowest_sitemaps(records, k=5):
@@ -52,16 +69,9 @@ def failed_sitemaps(records, k=5):
     return failed.orderBy("batch_id", "seq").select("loc", "error").limit(k)
 
 
-def scrape_summary(outcomes, products, unstored=None):
-    """Pages attempted, products stored in total, failures; each row of `unstored` is a failure too."""
-    counts = outcomes.agg(
-        F.count("*").alias("pages_scraped"), F.count_if(F.col("scrape_status") == FAILED).alias("failures")
-    )
-    if unstored is not None:
-        lost = unstored.agg(F.lit(0).cast("bigint").alias("pages_scraped"), F.count("*").alias("failures"))
-        counts = counts.union(lost).agg(F.sum("pages_scraped").alias("pages_scraped"), F.sum("failures").alias("failures"))
-    stored = products.agg(F.count("*").alias("stored_products"))
-    return _one_row(counts, stored)
+def scrape_summary(outcomes, products):
+    """Pages attempted, products stored in total, failures."""
+    return _one_row(outcomes.agg(*outcome_counts()), products.agg(F.count("*").alias("stored_products")))
 
 
 def scrape_log(outcomes):

@@ -8,7 +8,7 @@ from wareloom.functions.urls import url_host
 from wareloom.operators import frontier, merges, ordering, products, reports
 from wareloom.operators.decode import decode_captures, gunzip_sitemaps
 from wareloom.operators.outcomes import classify_outcomes
-from wareloom.operators.resolve import resolve_sitemaps
+from wareloom.operators.resolve import closure_pages, closure_records, read_closure, resolve_closure, resolve_sitemaps, store_closure, update_closure
 from wareloom.operators.robots import extract_robots_sitemaps, failed_robots
 from wareloom.operators.sitemaps import parse_sitemaps, sitemap_children, sitemap_pages
 from wareloom.plans import runs
@@ -17,7 +17,14 @@ from wareloom.session import RunTables
 from wareloom.sources import derived
 from wareloom.sources.captures import read_captures, read_page_list
 from wareloom.sources.state import CrawlState, read_state, write_state
-from wareloom.streaming.capture_state import process_captures, read_capture_stream, stream_capture_state, unseen_urls
+from wareloom.streaming.capture_state import (
+    merge_stream,
+    read_capture_stream,
+    stream_capture_state,
+    stream_pages,
+    stream_products,
+    unseen_urls,
+)
 
 FIRST, SECOND = "2024-06-01 00:00:00", "2024-06-02 00:00:00"
 HALF = "2024-01-16"
@@ -50,13 +57,15 @@ def _seeded(spark, sf_dir, pages=None):
     return merges.seed_pages(_empty(spark, PAGES), _candidates(spark, sf_dir) if pages is None else pages, FIRST)
 
 
-def _crawled(spark, sf_dir):
-    """A crawl that has got through the English pages so far."""
+def _english_outcomes(spark, sf_dir):
     events = derived.page_events(spark, sf_dir)
     english = events.filter(F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1) == "en")
-    return merges.apply_outcomes(
-        _seeded(spark, sf_dir), classify_outcomes(derived.fetch_results(english)), SECOND
-    )
+    return classify_outcomes(derived.fetch_results(english))
+
+
+def _crawled(spark, sf_dir):
+    """A crawl that has got through the English pages so far."""
+    return merges.apply_outcomes(_seeded(spark, sf_dir), _english_outcomes(spark, sf_dir), SECOND)
 
 
 def _outcomes(spark, sf_dir):
@@ -97,25 +106,37 @@ def page_list_array(spark, sf_dir):
 
 
 def state_round_trip_buckets(spark, sf_dir):
-    """The crawled state in host buckets: every page is stored once, then read for all hosts."""
-    state = CrawlState(spark, RunTables(spark, "bucketed").path("state"), buckets=16)
-    state.replace("pages", _crawled(spark, sf_dir))
-    pages = state.read("pages", _candidates(spark, sf_dir).select(url_host(F.col("url")).alias("host")))
-    return pages.select("host", "url", "page_id", *OUTCOME_COLUMNS)
+    """The crawled state as snapshots of different numbers of buckets, the second made from the first."""
+    root = RunTables(spark, "bucketed").path("state")
+    CrawlState(spark, root, buckets=16).replace("pages", _seeded(spark, sf_dir))
+    state = CrawlState(spark, root, buckets=5)
+    state.replace("pages", merges.apply_outcomes(state.read("pages"), _english_outcomes(spark, sf_dir), SECOND))
+    return state.read("pages").select("host", "url", "page_id", *OUTCOME_COLUMNS)
 
 
 def append_products_runs(spark, sf_dir):
-    """Two scrape runs and two streams' batches over one state, none of which names its run."""
-    state = CrawlState(spark, RunTables(spark, "product-runs").path("state"))
-    bodies = derived.product_pages(spark, sf_dir)
+    """Two scrape runs and two streams over one state, the second one merged twice; none names its run."""
+    tables = RunTables(spark, "product-runs")
+    state = CrawlState(spark, tables.path("state"))
+    bodies = tables.write(derived.product_pages(spark, sf_dir), "bodies")
     for _ in range(2):
         chosen = runs.listed_run_candidates(_candidates(spark, sf_dir), state, FIRST, resume=False)
         runs.scrape_run(chosen, bodies, state, SECOND)
-    for stream in ("first", "second", "second"):
-        process_captures(bodies, 0, state, SECOND, stream=stream)
+    for stream in ("first", "second"):
+        arriving = read_capture_stream(spark, tables.path("bodies"))
+        _streamed(arriving, tables, stream)
+        run = merge_stream(state, tables.path(stream), SECOND)
+    merge_stream(state, tables.path("second"), SECOND, batch_id=run)
     return state.read("structured_products").groupBy("url").agg(F.count("*").alias("stored_products"))
 
 
+def _streamed(arriving, tables, name):
+    """All that has arrived, through the stream of this name."""
+    scraping, changing = stream_capture_state(arriving, tables.path(name), tables.path(f"{name}-offsets"), seed=True)
+    scraping.awaitTermination()
+    changing.awaitTermination()
+
+
 def scrape_recrawled(spark, sf_dir):
     """Every page captured twice, the first time with an error; the later capture counts."""
     state = CrawlState(spark, RunTables(spark, "recrawled").path("state"))
@@ -233,6 +254,24 @@ def failed_sitemaps(spark, sf_dir):
     return reports.failed_sitemaps(_resolved(spark, sf_dir)[0])
 
 
+def _updated_closure(spark, sf_dir):
+    """A closure that was stored, then brought up to date after a slice of the host indexes has changed."""
+    robots = extract_robots_sitemaps(decode_captures(derived.robots_captures(spark, sf_dir)))
+    starts = robots.filter(F.col("seq") % 2 == 0).select(F.col("sitemap_url").alias("url"), F.col("seq").alias("ord"))
+    path = RunTables(spark, "closure").path("first")
+    store_closure(resolve_closure(derived.crosslinked_sitemaps(spark, sf_dir), starts), path)
+    return update_closure(read_closure(spark, path), derived.recrawled_indexes(spark, sf_dir))[0]
+
+
+def sitemap_records_updated(spark, sf_dir):
+    records = closure_records(_updated_closure(spark, sf_dir))
+    return records.select("loc", "discovered_from", "status", "type", "error", "depth", F.array_join("seq", ".").alias("place"))
+
+
+def resolved_pages_updated(spark, sf_dir):
+    return closure_pages(_updated_closure(spark, sf_dir)).select("loc", "lastmod", "source_sitemap")
+
+
 # --- merges --------------------------------------------------------------------------
 
 
@@ -292,6 +331,14 @@ def pending_pages(spark, sf_dir, limit=10, offset=5):
     return frontier.pending_pages(_crawled(spark, sf_dir), limit, offset).select("page_id", "url")
 
 
+def pending_pages_stored(spark, sf_dir):
+    """Pending pages of stored state, after a mark has moved the visited ones to other files."""
+    state = _state(spark, "pending-query")
+    state.replace("pages", _seeded(spark, sf_dir))
+    state.replace("pages", merges.apply_outcomes(state.read("pages"), _english_outcomes(spark, sf_dir), SECOND))
+    return runs.pending_run_candidates(state, limit=10, skip=5).select(F.col("cand_ord").alias("page_id"), "url")
+
+
 def pending_from_candidates(spark, sf_dir, limit=0):
     clicked = derived.page_events(spark, sf_dir).select("url", F.col("event_id").alias("cand_ord"))
     return frontier.pending_from_candidates(clicked, _crawled(spark, sf_dir), limit).select("cand_ord", "url")
@@ -327,6 +374,24 @@ def unseen(spark, sf_dir):
     return unseen_urls(arriving, known)
 
 
+def unseen_by_filter(spark, sf_dir):
+    """The same with the Bloom filter of stored state."""
+    english = F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1) == "en"
+    state = _state(spark, "unseen-query")
+    state.replace("pages", _seeded(spark, sf_dir, _candidates(spark, sf_dir).filter(english)))
+    arriving = derived.page_events(spark, sf_dir).select("url", F.col("event_id").alias("cand_ord"))
+    return unseen_urls(arriving, state.read("pages"), state.url_filter("pages"))
+
+
+def pending_by_filter(spark, sf_dir):
+    """Candidates of which some are not stored, through the Bloom filter of stored state."""
+    state = _state(spark, "pending-filter-query")
+    state.replace("pages", _crawled(spark, sf_dir))
+    clicked = derived.page_events(spark, sf_dir).select("url", F.col("event_id").alias("cand_ord"))
+    strange = clicked.select(F.concat("url", F.lit("/other")).alias("url"), "cand_ord")
+    return frontier.pending_from_candidates(clicked.unionByName(strange), state.read_pending(), 0, state.url_filter("pages")).select("cand_ord", "url")
+
+
 # --- counts and reports --------------------------------------------------------------
 
 
@@ -375,6 +440,19 @@ def resolve_run(spark, sf_dir):
     return state.read("pages").select("url", "source_sitemap", "lastmod", "scrape_status", "host")
 
 
+def resolve_changes_run(spark, sf_dir):
+    """Resolve, then bring closure and state up to date after a slice of the host indexes has changed."""
+    state = _state(spark, "changes-query")
+    closures = RunTables(spark, "closures")
+    robots = derived.robots_captures(spark, sf_dir).filter(F.col("seq") % 2 == 0)
+    runs.resolve_run(derived.crosslinked_sitemaps(spark, sf_dir), robots, state, FIRST, 0, closures.path("0"))
+    runs.resolve_changes_run(
+        derived.recrawled_indexes(spark, sf_dir), robots, state, SECOND, closures.path("0"), closures.path("1"), 1
+    )
+    pages = state.read("pages").select("url", "source_sitemap", "lastmod", _stamp("updated_at", "updated"))
+    return pages
+
+
 def scrape_pending_run(spark, sf_dir):
     """Resolve, then scrape all pending pages."""
     state = _state(spark, "scrape-query")
@@ -393,10 +471,8 @@ def scrape_listed_run(spark, sf_dir):
     return _stored(state)
 
 
-def stream_captures(spark, sf_dir):
-    """Captures of all page events, arriving in three lots that one resumed stream applies as they come."""
-    tables = RunTables(spark, "stream-query")
-    state = CrawlState(spark, tables.path("state"))
+def _lots(spark, sf_dir, tables):
+    """Captures of all page events, arriving in three lots; gives control back after each."""
     events = derived.page_events(spark, sf_dir)
     bodies = derived.product_pages(spark, sf_dir).select("url", "final_url", "content_type", "content_encoding", "body")
     bounds = [F.lit(cut).cast("timestamp") if cut else None for cut in (None, *STREAM_CUTS, None)]
@@ -405,8 +481,28 @@ def stream_captures(spark, sf_dir):
         lot = lot if stop is None else lot.filter(F.col("ts") < stop)
         fetched = derived.fetch_results(lot).drop("allowed").join(bodies, "url").withColumn("delay_ms", F.lit(0))
         derived.as_captures(fetched).write.mode("append").parquet(tables.path("arriving"))
-        arriving = read_capture_stream(spark, tables.path("arriving"))
-        stream_capture_state(arriving, state, tables.path("offsets"), SECOND, seed=True).awaitTermination()
+        yield read_capture_stream(spark, tables.path("arriving"))
+
+
+def stream_captures(spark, sf_dir):
+    """Three lots of captures that one resumed stream applies as they come."""
+    tables = RunTables(spark, "stream-query")
+    for arriving in _lots(spark, sf_dir, tables):
+        _streamed(arriving, tables, "stream")
+    store = tables.path("stream")
+    counted = stream_products(spark, store).groupBy("url").agg(F.count("*").alias("stored_products"))
+    pages = stream_pages(spark, store).join(counted, "url", "left")
+    return pages.select("url", *OUTCOME_COLUMNS, F.coalesce("stored_products", F.lit(0)).alias("stored_products"))
+
+
+def stream_merged(spark, sf_dir):
+    """The same lots, brought into stored state after the first one and after the last one."""
+    tables = RunTables(spark, "merged-query")
+    state, run = CrawlState(spark, tables.path("state")), None
+    for number, arriving in enumerate(_lots(spark, sf_dir, tables)):
+        _streamed(arriving, tables, "stream")
+        if number != 1:
+            run = merge_stream(state, tables.path("stream"), SECOND, seed=True, batch_id=run)
     return _stored(state)
 
 
@@ -434,6 +530,8 @@ QUERIES = {
     "resolve_summary": resolve_summary,
     "slowest_sitemaps": slowest_sitemaps,
     "failed_sitemaps": failed_sitemaps,
+    "sitemap_records_updated": sitemap_records_updated,
+    "resolved_pages_updated": resolved_pages_updated,
     "upsert_sitemaps": upsert_sitemaps,
     "upsert_pages": upsert_pages,
     "seed_pages": seed_pages,
@@ -443,6 +541,7 @@ QUERIES = {
     "pending_pages": pending_pages,
     "pending_pages_all": partial(pending_pages, limit=0, offset=0),
     "pending_pages_after": partial(pending_pages, limit=0, offset=20),
+    "pending_pages_stored": pending_pages_stored,
     "pending_from_candidates": pending_from_candidates,
     "pending_from_candidates_top": partial(pending_from_candidates, limit=10),
     "page_by_url": page_by_url,
@@ -452,13 +551,17 @@ QUERIES = {
     "allowed_domains": allowed_domains,
     "filter_allowed": filter_allowed,
     "unseen_urls": unseen,
+    "unseen_urls_filtered": unseen_by_filter,
+    "pending_from_candidates_filtered": pending_by_filter,
     "count_pages": count_pages,
     "count_pending": count_pending,
     "count_products": count_products,
     "scrape_summary": scrape_summary,
     "scrape_log": scrape_log,
     "resolve_run": resolve_run,
+    "resolve_changes_run": resolve_changes_run,
     "scrape_pending_run": scrape_pending_run,
     "scrape_listed_run": scrape_listed_run,
     "stream_capture_state": stream_captures,
+    "merge_stream": stream_merged,
 }

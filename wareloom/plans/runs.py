@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from wareloom.functions.urls import state_host
 from wareloom.operators.decode import decode_captures, gunzip_sitemaps
 from wareloom.operators.frontier import (
     allowed_domains,
@@ -22,8 +21,15 @@ from wareloom.operators.joins import latest_rows, lookup_join
 from wareloom.operators.ordering import with_positions
 from wareloom.operators.outcomes import classify_outcomes, extract_error
 from wareloom.operators.products import explode_products, with_products
-from wareloom.operators.reports import resolve_summary, scrape_summary
-from wareloom.operators.resolve import resolve_sitemaps
+from wareloom.operators.reports import count_products, outcome_counts, page_counts, record_counts, summary_row
+from wareloom.operators.resolve import (
+    closure_pages,
+    closure_records,
+    read_closure,
+    resolve_closure,
+    store_closure,
+    update_closure,
+)
 from wareloom.operators.robots import extract_robots_sitemaps, failed_robots
 from wareloom.session import RunTables
 
@@ -31,19 +37,8 @@ from wareloom.session import RunTables
 BROADCAST_BYTES = 64 << 20
 
 
-def hosts_of(urls, column="url"):
-    """Hosts of a URL column, for reading only their part of the state."""
-    return urls.select(state_host(F.col(column)).alias("host"))
-
-
-def resolve_run(captures, robots, state, as_of, batch_id=0):
-    """Robots files to sitemaps to pages, merged into `state`; returns (summary, records, pages).
-
-    `robots` and `captures` are responses of robots files and of sitemap files. Robots files
-    that failed are failed records as well.
-    """
-    spark = captures.sparkSession
-    tables = RunTables(spark, "resolve-run")
+def _declared_starts(robots, tables):
+    """Decoded robots files and the sitemaps they declare, as start URLs in order."""
     decoded = decode_captures(robots)
     declared = tables.write(extract_robots_sitemaps(decoded), "declared")
     if declared.isEmpty():
@@ -51,28 +46,65 @@ def resolve_run(captures, robots, state, as_of, batch_id=0):
     starts = declared.select(
         F.col("sitemap_url").alias("url"), F.struct("batch_id", "seq", "line_no").alias("place")
     )
-    starts = with_positions(starts, ["place", "url"], "ord", tables=tables).select("url", "ord")
-    documents = gunzip_sitemaps(decode_captures(captures))
-    records, pages = resolve_sitemaps(documents, starts, batch_id, tables)
-    failures = failed_robots(decoded, batch_id).select(*records.columns)
-    records, pages = tables.write(records.unionByName(failures), "records"), tables.write(pages, "pages")
+    return decoded, with_positions(starts, ["place", "url"], "ord", tables=tables).select("url", "ord")
+
 
-    known = state.read("sitemaps", hosts_of(records, "loc"))
-    merged = upsert_sitemaps(known, records, as_of, id_start=state.last_id("sitemaps"))
-    state.replace("sitemaps", merged)
+def _save_resolved(records, pages, decoded, state, as_of, batch_id, tables):
+    failures = failed_robots(decoded, batch_id).select(*records.columns)
+    records, counts = tables.write_counted(records.unionByName(failures), "records", record_counts())
+    pages, finals = tables.write_counted(pages, "pages", page_counts())
+    state.replace("sitemaps", upsert_sitemaps(state.read("sitemaps"), records, as_of, tables=tables))
     save_pages(pages, state, as_of)
-    return resolve_summary(records, pages), records, pages
+    return summary_row(state.spark, counts | finals | {"failed_pages": 0}), records, pages
+
+
+def resolve_run(captures, robots, state, as_of, batch_id=0, closure_path=None):
+    """Robots files to sitemaps to pages, merged into `state`; returns (summary, records, pages).
+
+    `robots` and `captures` are responses of robots files and of sitemap files. Robots files
+    that failed are failed records as well. With `closure_path` the closure is stored there,
+    for `resolve_changes_run`.
+    """
+    tables = RunTables(captures.sparkSession, "resolve-run")
+    decoded, starts = _declared_starts(robots, tables)
+    closure = resolve_closure(gunzip_sitemaps(decode_captures(captures)), starts, tables)
+    if closure_path:
+        store_closure(closure, closure_path)
+    records, pages = closure_records(closure, batch_id), closure_pages(closure, batch_id)
+    return _save_resolved(records, pages, decoded, state, as_of, batch_id, tables)
+
+
+def resolve_changes_run(captures, robots, state, as_of, stored_path, closure_path, batch_id=0, withdrawn=None):
+    """Bring a stored closure up to date and merge what has changed; returns (summary, records, pages).
+
+    `captures` are the sitemap files captured since, `robots` all robots files as they are now; starts
+    known before keep their place and new ones come after them. The closure at `stored_path` stays as it
+    is, the new one is written to `closure_path`. Records, pages and summary cover what was captured
+    again or has another place than before.
+    """
+    spark = captures.sparkSession
+    tables = RunTables(spark, "resolve-changes")
+    decoded, starts = _declared_starts(robots, tables)
+    stored = read_closure(spark, stored_path)
+    last = stored.starts.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
+    known = stored.starts.select("url", F.col("ord").alias("_known"))
+    starts = starts.join(known, "url", "left").select("url", F.coalesce("_known", F.col("ord") + last).alias("ord"))
+    documents = gunzip_sitemaps(decode_captures(captures))
+    closure, changed = update_closure(stored, documents, starts, withdrawn, tables)
+    store_closure(closure, closure_path)
+    closure = read_closure(spark, closure_path)
+    records, pages = closure_records(closure, batch_id, changed), closure_pages(closure, batch_id, changed)
+    return _save_resolved(records, pages, decoded, state, as_of, batch_id, tables)
 
 
 def save_pages(pages, state, as_of, order=("batch_id", "seq")):
     """Upsert page URLs (loc, lastmod, source_sitemap) into stored state."""
-    known = state.read("pages", hosts_of(pages, "loc"))
-    state.replace("pages", upsert_pages(known, pages, as_of, order, state.last_id("pages")))
+    state.replace("pages", upsert_pages(state.read("pages"), pages, as_of, order))
 
 
 def pending_run_candidates(state, limit=0, skip=0):
     """Candidates of a run over stored state: pending pages in id order."""
-    narrow = state.read("pages").select("page_id", "url", "visited_at")
+    narrow = state.read_pending().select("page_id", "url", "visited_at")
     return pending_pages(narrow, limit, skip).select("url", F.col("page_id").alias("cand_ord"))
 
 
@@ -80,11 +112,10 @@ def listed_run_candidates(candidates, state, as_of, limit=0, skip=0, resume=True
     """Candidates of a run over listed URLs: sliced, seeded, and with `resume` only unvisited ones."""
     tables = RunTables(candidates.sparkSession, "candidates")
     chosen = tables.write(slice_candidates(candidates, skip, limit), "chosen")
-    known = state.read("pages", hosts_of(chosen))
-    state.replace("pages", seed_pages(known, chosen, as_of, id_start=state.last_id("pages")))
+    state.replace("pages", seed_pages(state.read("pages"), chosen, as_of, tables=tables))
     if not resume:
         return chosen
-    return pending_from_candidates(chosen, state.read("pages", hosts_of(chosen))).select("url", "cand_ord")
+    return pending_from_candidates(chosen, state.read_pending()).select("url", "cand_ord")
 
 
 def _narrowed(captures, wanted):
@@ -104,11 +135,11 @@ def scrape_run(candidates, captures, state, as_of, batch_id=None):
 
     A candidate without capture fails like an unreachable page; of several captures the
     latest by (batch_id, seq) counts. Bodies are dropped right after extraction, so the merges
-    move narrow rows only. The state hands out the id of the run; with an id of an
-    earlier run, that run's products are replaced.
+    move narrow rows only. Without `batch_id` the run gets the next free id; with the id
+    of an earlier run, that run's products are replaced.
     """
     spark = captures.sparkSession
-    batch_id = state.run_id() if batch_id is None else batch_id
+    batch_id = state.next_run() if batch_id is None else batch_id
     tables = RunTables(spark, "scrape-run")
     chosen = tables.write(candidates.select("url", "cand_ord"), "chosen")
     if chosen.isEmpty():
@@ -125,7 +156,7 @@ def scrape_run(candidates, captures, state, as_of, batch_id=None):
         ),
         "responses",
     )
-    responses = latest_rows(responses, "url").drop("batch_id", "seq")
+    responses = latest_rows(responses, "url", tables, "responses").drop("batch_id", "seq")
     # One response per URL, joined to candidates that may repeat: a page listed twice
     # is scraped twice and stores its products twice.
     joined = lookup_join(checked, responses, "url", "left")
@@ -143,18 +174,22 @@ def scrape_run(candidates, captures, state, as_of, batch_id=None):
         F.col("cand_ord").alias("seq"),
     )
     fetched = tables.write(fetched, "fetched")
-    outcomes = classify_outcomes(fetched)
+    outcomes, counts = tables.write_counted(classify_outcomes(fetched), "outcomes", outcome_counts())
     unstored = store_scrape(outcomes, explode_products(fetched.filter("allowed")), state, as_of, tables)
-    return scrape_summary(outcomes, state.read("structured_products"), unstored), outcomes
+    counts["failures"] += unstored
+    counts["stored_products"] = count_products(state.read("structured_products")).first()["products"]
+    return summary_row(spark, counts), outcomes
 
 
 def store_scrape(outcomes, products, state, as_of, tables):
     """Store products first, then mark the pages; both steps can be repeated safely.
 
-    Returns the products whose page is not stored: they cannot be, and count as failures.
+    Returns how many products belong to no stored page: they cannot be stored and count as failures.
     """
-    known = state.read("pages", hosts_of(outcomes))
-    unstored = tables.write(products.select("url").join(known.select("url"), "url", "left_anti"), "unstored")
-    state.append_products(products_with_ids(products, known, as_of))
+    known = state.read("pages")
+    found = products_with_ids(products, known, as_of, "left")
+    unknown = F.col("page_id").isNull()
+    found, counts = tables.write_counted(found, "products", [F.count_if(unknown).alias("unstored")])
+    state.append_products(found.filter(~unknown))
     state.replace("pages", apply_outcomes(known, outcomes, as_of, tables=tables))
-    return unstored
+    return counts["unstored"]

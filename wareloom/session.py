@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import Observation
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -44,6 +46,11 @@ class RunTables:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def write_counted(self, df, name, counts):
+        """Like `write`; also returns the values of the aggregates `counts`, taken by the job that writes."""
+        seen = Observation()
+        return self.write(df.observe(seen, *counts), name), seen.get
+
     def drop(self):
         """Delete the run's folder; only after its results are stored elsewhere."""
         delete_path(self.spark, self.root)
@@ -68,6 +75,11 @@ def folder_names(spark, path):
     return [entry.getPath().getName() for entry in fs.listStatus(hadoop_path)]
 
 
+def make_folder(spark, path):
+    fs, hadoop_path = _hadoop_path(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
 def delete_path(spark, path):
     fs, hadoop_path = _hadoop_path(spark, path)
     fs.delete(hadoop_path, True)

@@ -70,7 +70,7 @@ def robots_captures(spark, sf_dir):
     """One robots file per host, declaring one sitemap; `seq` is the host's first page."""
     hosts = hosted_pages(spark, sf_dir).groupBy("host").agg(F.min("page_id").alias("first_page"))
     body = F.concat(
-        F.lit("User-agent: *\nDisallow: /cart\nSitemap: https://"), F.col("host"), F.lit("/sitemap.xml\n")
+        F.lit("# crawl gently\nCrawl-delay: 4\nSitemap: https://"), F.col("host"), F.lit("/sitemap.xml\n")
     )
     robots = hosts.select(
         F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url"), body.alias("body"), "first_page"
@@ -143,20 +143,63 @@ def sitemap_captures(spark, sf_dir):
             ),
         )
     )
-    host_rows = listed.groupBy("host").agg(
-        _document("sitemapindex", _entries(F.col("place"), _index_entry(F.col("loc")))).alias("body")
-    )
-    host_rows = host_rows.select(F.concat(base, F.lit(".xml")).alias("url"), "body", F.lit(False).alias("lost"))
+    return _sitemap_files(set_rows.unionByName(lang_rows).unionByName(_host_indexes(listed)))
+
+
+def _host_indexes(listed):
+    """Index files of hosts from their entries (host, place, loc)."""
+    body = _document("sitemapindex", _entries(F.col("place"), _index_entry(F.col("loc"))))
+    url = F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap.xml"))
+    return listed.groupBy("host").agg(body.alias("body")).select(url.alias("url"), "body", F.lit(False).alias("lost"))
+
 
-    united = set_rows.unionByName(lang_rows).unionByName(host_rows)
+def _sitemap_files(rows, batch_id=0):
     return _captures(
-        united,
+        rows,
         status_code=F.when(F.col("lost"), F.lit(404)).otherwise(F.lit(200)),
         status_text=F.when(F.col("lost"), F.lit("404 Not Found")).otherwise(F.lit("200 OK")),
         content_type=F.lit("application/xml"),
+        batch_id=F.lit(batch_id),
     )
 
 
+def _language_entries(spark, sf_dir):
+    """Entries (host, lang, loc) of language indexes, and (host, loc) of the host of the page after a host's first."""
+    pages = hosted_pages(spark, sf_dir)
+    loc = F.concat(F.lit("https://"), "host", F.lit("/sitemap-"), "lang", F.lit(".xml"))
+    langs = pages.select("host", "lang").distinct().withColumn("loc", loc)
+    after = pages.groupBy("host").agg((F.min("page_id") + 1).alias("page_id"))
+    nearby = after.join(pages.select("page_id", F.col("host").alias("other")), "page_id")
+    return langs, nearby.select("host", F.concat(F.lit("https://"), "other", F.lit("/sitemap.xml")).alias("loc"))
+
+
+def crosslinked_sitemaps(spark, sf_dir):
+    """Sitemaps in which each host index lists its language indexes and then the index of another host."""
+    langs, nearby = _language_entries(spark, sf_dir)
+    listed = langs.select("host", F.col("lang").alias("place"), "loc").unionByName(
+        nearby.select("host", F.lit("~next").alias("place"), "loc")
+    )
+    below = sitemap_captures(spark, sf_dir).filter(~F.col("url").endswith("/sitemap.xml"))
+    return below.unionByName(_sitemap_files(_host_indexes(listed)))
+
+
+def recrawled_indexes(spark, sf_dir):
+    """Host indexes captured again, changed: by the length of the host's name modulo 3,
+
+    1: the other host comes first, then languages in falling order without the French one;
+    2: the file is gone (404). Those of the other hosts are not captured again.
+    """
+    langs, nearby = _language_entries(spark, sf_dir)
+    falling = F.concat(F.lit("b"), F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))
+    kept = langs.filter(F.col("lang") != "fr").select("host", falling.alias("place"), "loc")
+    listed = kept.unionByName(nearby.select("host", F.lit("a").alias("place"), "loc"))
+    changed = _host_indexes(listed.filter(F.length("host") % 3 == 1))
+    gone = langs.filter(F.length("host") % 3 == 2).select("host").distinct()
+    url = F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml"))
+    gone = gone.select(url.alias("url"), F.lit("").alias("body"), F.lit(True).alias("lost"))
+    return _sitemap_files(changed.unionByName(gone), batch_id=1)
+
+
 def product_pages(spark, sf_dir):
     """Page HTML with a JSON-LD script made from the part of the same number.
 

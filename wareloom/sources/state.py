@@ -1,20 +1,21 @@
-"""Crawl state on a shared file system: parquet tables in versions of their host partitions."""
+"""Crawl state on a shared file system: whole snapshots of parquet tables, bucketed by URL."""
 
-import re
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
 from wareloom.functions.urls import host_of
+from wareloom.operators.url_filter import url_filter
 from wareloom.schemas import PAGES, SITEMAPS, STRUCTURED_PRODUCTS, column_names
-from wareloom.session import delete_path, folder_names, path_exists
+from wareloom.session import folder_names, path_exists
 
 _SCHEMAS = {"pages": PAGES, "sitemaps": SITEMAPS, "structured_products": STRUCTURED_PRODUCTS}
-_IDS = {"pages": "page_id", "sitemaps": "sitemap_id"}
 
-# Up to this many partition values a read is narrowed by a literal list, which prunes
-# folders at planning time; beyond it a semi join does the same at run time.
-PRUNE_VALUES = 5_000
+# Pages lie apart by whether they are pending, so that the frontier reads pending files only.
+_LAYOUT = {"pages": ("pending", "visited_at IS NULL")}
+
+# Buckets of a snapshot unless the caller names a number; some 200 MB a bucket are a good size.
+BUCKETS = 8
 
 
 def host_or_fail(host, url):
@@ -26,168 +27,108 @@ def host_or_fail(host, url):
 class CrawlState:
     """Tables `pages`, `sitemaps` and `structured_products` under one root folder.
 
-    Pages and sitemaps are partitioned by host, or by `buckets` hash buckets of hosts, which
-    keeps the number of folders fixed when a crawl covers very many hosts. A change writes
-    the partitions it has rows for once, as a new version, <table>/version=<n>/<partition>.
-    A list of the partitions with the version that holds each, _versions/<table>/<n>, then
-    makes them the current ones, all at once: readers see a change whole or not at all, and
-    what a writer that died left behind is never read. The version before stays for readers
-    under way; older ones are deleted by the next change. Products are partitioned by the run
-    that found them. Opening and reading a state change nothing. One writer at a time, and
-    always the same number of buckets.
+    Pages and sitemaps are whole snapshots, one folder for each change, <table>/<number>-<buckets>. The
+    newest one that Spark has finished, which its _SUCCESS file tells, is the current one: readers see a
+    change whole or not at all, and what a writer that died left behind is never read. Snapshots are
+    Spark tables bucketed and sorted by URL, so merges join them bucket by bucket without moving the
+    stored rows, and looking up a URL reads one bucket; Parquet Bloom filters then skip row groups.
+    Products are partitioned by the run that found them. Older snapshots stay until the storage's own
+    rules remove them. One writer at a time; the number of buckets may change from snapshot to snapshot.
     """
 
     @classmethod
-    def for_url(cls, spark, root, url, buckets=None):
+    def for_url(cls, spark, root, url, buckets=BUCKETS):
         """A state of its own for the host of `url`, at <root>/<host>; no host is an error."""
         host = host_of(url)
         if not host:
             raise ValueError(f"cannot derive a state location from URL {url!r}")
         return cls(spark, f"{root.rstrip('/')}/{host}", buckets)
 
-    def __init__(self, spark, root, buckets=None):
+    def __init__(self, spark, root, buckets=BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
 
-    def run_id(self, key=None):
-        """An id of its own for a run or a stream's batch; a key that has one keeps it.
-
-        The mark is raised before the id is stored under its key, so that a crash leaves
-        a gap at most.
-        """
-        path = f"{self.root}/_runs/{key or uuid.uuid4().hex}"
-        if path_exists(self.spark, f"{path}/_SUCCESS"):
-            return self.spark.read.schema("last_id bigint").parquet(path).first()["last_id"]
-        last = self.read("structured_products").agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("last_id"))
-        if path_exists(self.spark, f"{self._mark('runs')}/_SUCCESS"):
-            last = self.spark.read.schema("last_id bigint").parquet(self._mark("runs"))
-        number = self.spark.createDataFrame([(last.first()["last_id"] + 1,)], "last_id bigint").coalesce(1)
-        number.write.mode("overwrite").parquet(self._mark("runs"))
-        number.write.mode("overwrite").parquet(path)
-        return number.first()["last_id"]
-
-    def _path(self, table):
-        return f"{self.root}/{table}"
-
-    def _mark(self, table):
-        return f"{self.root}/_last_id/{table}"
-
-    def _partition(self):
-        """Name and value of the partition column."""
-        if self.buckets:
-            return "bucket", F.pmod(F.xxhash64("host"), F.lit(self.buckets)).cast("int")
-        return "host", F.col("host")
-
-    def _schema(self, table):
-        return _SCHEMAS[table] + (", bucket int" if self.buckets else "")
-
-    def _lists(self, table):
-        """Numbers of the complete partition lists, in ascending order."""
-        folder = f"{self.root}/_versions/{table}"
-        names = folder_names(self.spark, folder)
-        return sorted(int(name) for name in names if path_exists(self.spark, f"{folder}/{name}/_SUCCESS"))
-
-    def _listed(self, table, number):
-        """Partitions with their version and the highest id ever given out in each."""
-        schema = f"{self._partition()[0]} {'int' if self.buckets else 'string'}, version bigint, last_id bigint"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/_versions/{table}/{number}")
-
-    def read(self, table, hosts=None):
-        """The table, or the partitions that hold `hosts` (a DataFrame with `host`)."""
-        if table not in _IDS:
-            return self._read_products(hosts)
-        numbers = self._lists(table)
-        if not numbers:
-            return self.spark.createDataFrame([], _SCHEMAS[table])
-        name, value = self._partition()
-        rows = self.spark.read.schema(self._schema(table) + ", version bigint").parquet(self._path(table))
-        # The comparison makes the list selective, so that folders of other versions are pruned at run time.
-        current = self._listed(table, numbers[-1]).filter("version > 0").select(name, "version")
-        if hosts is not None:
-            wanted = hosts.select(value.alias(name)).distinct()
-            values = [row[name] for row in wanted.limit(PRUNE_VALUES + 1).collect()]
-            if len(values) <= PRUNE_VALUES:
-                rows, current = rows.filter(F.col(name).isin(values)), current.filter(F.col(name).isin(values))
-            else:
-                current = current.join(wanted, name, "left_semi")
-        return rows.join(current, [name, "version"], "left_semi").select(*column_names(_SCHEMAS[table]))
-
-    def _read_products(self, hosts):
-        if not path_exists(self.spark, self._path("structured_products")):
-            return self.spark.createDataFrame([], STRUCTURED_PRODUCTS)
-        rows = self.spark.read.schema(STRUCTURED_PRODUCTS).parquet(self._path("structured_products"))
-        if hosts is not None:
-            rows = rows.join(hosts.select("host").distinct(), "host", "left_semi")
-        return rows.select(*column_names(STRUCTURED_PRODUCTS))
-
-    def last_id(self, table):
-        """Highest id of rows ever stored, from the partition list, without scanning the table.
-
-        Rows and list become current in one step, so an id that a crash took back was never seen.
-        """
-        numbers = self._lists(table)
-        if not numbers:
-            return 0
-        return self._listed(table, numbers[-1]).agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
+    def _path(self, table, snapshot=None):
+        return f"{self.root}/{table}" + (f"/{snapshot[0]:08d}-{snapshot[1]}" if snapshot else "")
+
+    def _snapshots(self, table):
+        """(number, buckets) of the snapshots, unfinished ones included, the newest first."""
+        names = [name for name in folder_names(self.spark, self._path(table)) if name[:1].isdigit()]
+        return sorted((tuple(map(int, name.split("-"))) for name in names), reverse=True)
+
+    def _table_name(self, path):
+        return f"wareloom_{hashlib.md5(path.encode()).hexdigest()}"
+
+    def _bucketed(self, path, table, buckets):
+        """The snapshot as a table of this session's catalog, which is how Spark learns of its buckets."""
+        name = self._table_name(path)
+        if not self.spark.catalog.tableExists(name):
+            location = path.replace("\\", "\\\\").replace("'", "\\'")
+            apart = table in _LAYOUT
+            self.spark.sql(
+                f"CREATE TABLE {name} ({_SCHEMAS[table]}{f', {_LAYOUT[table][0]} boolean' if apart else ''}) USING parquet "
+                f"{f'PARTITIONED BY ({_LAYOUT[table][0]}) ' if apart else ''}"
+                f"CLUSTERED BY (url) SORTED BY (url) INTO {buckets} BUCKETS LOCATION '{location}'"
+            )
+            if apart:
+                self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return self.spark.table(name)
+
+    def _newest(self, table):
+        """(number, buckets) of the newest finished snapshot, or None."""
+        done = (s for s in self._snapshots(table) if path_exists(self.spark, f"{self._path(table, s)}/_SUCCESS"))
+        return next(done, None)
+
+    def _current(self, table):
+        """The newest finished snapshot with the column it is laid out by, or None."""
+        snapshot = self._newest(table)
+        return self._bucketed(self._path(table, snapshot), table, snapshot[1]) if snapshot else None
+
+    def read_pending(self):
+        """The stored pages that have not been visited; files of other pages are not read."""
+        pages = self._current("pages")
+        if pages is None:
+            return self.read("pages")
+        return pages.filter(F.col(_LAYOUT["pages"][0])).select(*column_names(PAGES))
+
+    def read(self, table):
+        """The current rows of a table."""
+        if table == "structured_products":
+            if not path_exists(self.spark, self._path(table)):
+                return self.spark.createDataFrame([], STRUCTURED_PRODUCTS)
+            return self.spark.read.schema(STRUCTURED_PRODUCTS).parquet(self._path(table)).select(*column_names(STRUCTURED_PRODUCTS))
+        rows = self._current(table)
+        return self.spark.createDataFrame([], _SCHEMAS[table]) if rows is None else rows.select(*column_names(_SCHEMAS[table]))
 
     def replace(self, table, rows):
-        """Replace the partitions `rows` has with exactly these rows."""
-        number = max(self._lists(table), default=0) + 1
-        name, value = self._partition()
-        placed = rows.withColumn("host", host_or_fail(F.col("host"), F.col("url"))).withColumn(name, value)
-        # The hint makes adaptive execution split hosts with many rows over several
-        # tasks and put small ones together, so files come out evenly sized. Rows are
-        # sorted by URL, so that looking one up reads few row groups.
-        (
-            placed.hint("rebalance", name)
-            .sortWithinPartitions(name, "url")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(name)
-            .parquet(self._version(table, number))
-        )
-        self._publish(table, number)
-        self._clean(table)
-
-    def _version(self, table, number):
-        return f"{self._path(table)}/version={number}"
-
-    def _publish(self, table, number):
-        """Write the partition list that makes version `number` current where it has rows."""
-        name, _ = self._partition()
-        written = self.spark.read.schema(self._schema(table)).parquet(self._version(table, number))
-        listed = written.groupBy(name).agg(F.max(_IDS[table]).alias("last_id")).withColumn("version", F.lit(number).cast("bigint"))
-        if number > 1:
-            listed = listed.unionByName(self._listed(table, number - 1))
-        listed = listed.groupBy(name).agg(F.max("version").alias("version"), F.max("last_id").alias("last_id"))
-        listed.write.mode("overwrite").parquet(f"{self.root}/_versions/{table}/{number}")
-
-    def _clean(self, table):
-        """Delete partitions that neither the current list nor the one before it names.
-
-        Deleting goes folder by folder, over those one change has touched. What a writer that
-        died did not get to is still in its list and is deleted by the next one.
-        """
-        name, _ = self._partition()
-        *older, before, _ = [0, 0, *self._lists(table)]
-        for number in filter(None, older):
-            gone = self._listed(table, number).join(self._listed(table, before), [name, "version"], "left_anti")
-            for row in gone.select(name, "version").toLocalIterator():
-                delete_path(self.spark, f"{self._version(table, row['version'])}/{name}={_folder_name(row[name])}")
-            used = self._listed(table, before).select("version").distinct()
-            spent = self._listed(table, number).select("version").distinct().join(used, "version", "left_anti")
-            for row in spent.toLocalIterator():
-                delete_path(self.spark, self._version(table, row["version"]))
-            delete_path(self.spark, f"{self.root}/_versions/{table}/{number}")
+        """Make `rows` the current rows of a table; they may be made from the ones before."""
+        number = max((n for n, _ in self._snapshots(table)), default=0) + 1
+        path = self._path(table, (number, self.buckets))
+        placed = rows.withColumn("host", host_or_fail(F.col("host"), F.col("url"))).select(*column_names(_SCHEMAS[table]))
+        if table in _LAYOUT:
+            placed = placed.withColumn(_LAYOUT[table][0], F.expr(_LAYOUT[table][1]))
+        writer = placed.write.format("parquet").bucketBy(self.buckets, "url").sortBy("url")
+        writer = writer.partitionBy(_LAYOUT[table][0]) if table in _LAYOUT else writer
+        writer = writer.option("parquet.bloom.filter.enabled#url", "true").option("path", path)
+        writer.saveAsTable(self._table_name(path))
+
+    def url_filter(self, table):
+        """The Bloom filter of the current URLs of a table, made by its first reader and kept beside the snapshots."""
+        snapshot = self._newest(table)
+        if snapshot is None:
+            return url_filter(self.read(table))
+        path = f"{self.root}/_url_filters/{table}/{snapshot[0]:08d}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            url_filter(self.read(table)).coalesce(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("bitmap_id bigint, bitmap binary").parquet(path)
+
+    def next_run(self):
+        """An id no stored run has; a run that is repeated under its id replaces its products."""
+        return self.read("structured_products").agg(F.coalesce(F.max("batch_id"), F.lit(0)) + 1).first()[0]
 
     def append_products(self, products):
-        """Append products; writing a batch again replaces that batch instead of doubling it.
-
-        A batch owns its partition, so it needs no version: a run that dies is
-        repeated and writes the same partition again. Ids come from `run_id`; a
-        run that makes up its own replaces the products of an earlier one with that id.
-        """
+        """Append products; writing a batch again replaces that batch instead of doubling it."""
         placed = products.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
         (
             placed.hint("rebalance", "host")
@@ -199,16 +140,11 @@ class CrawlState:
         )
 
 
-def _folder_name(value):
-    """A partition value as it stands in the name of its folder, with reserved characters as %XX."""
-    return re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda found: f"%{ord(found[0]):02X}", str(value))
-
-
 def write_state(df, path):
     """Write one host-partitioned state table to `path`."""
     placed = df.withColumn("host", host_or_fail(F.col("host"), F.col("url")))
     sorted_rows = placed.hint("rebalance", "host").sortWithinPartitions("host", "url")
-    sorted_rows.write.mode("overwrite").partitionBy("host").parquet(path)
+    sorted_rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#url", "true").partitionBy("host").parquet(path)
 
 
 def read_state(spark, path, schema, host=None):
