@@ -1,9 +1,10 @@
 """Best-fit packing of documents into fixed-length sequences with a bounded number of open bins.
 
 Documents are tokenised where they lie; only rows about pieces move. Pieces of full length fill a
-sequence each. The others are dealt out at random to packers. A packer keeps a fixed number of open
-sequences in lists by free space and a bitset of the free spaces that occur, so the tightest
-fit is the lowest set bit at or above the length wanted. When all are open, the fullest closes.
+sequence each. The others are dealt out at random to packers, which place them as they come, without
+sorting them by length. A packer keeps a fixed number of open sequences in lists by free space and a
+bitset of the free spaces that occur, so the tightest fit is the lowest set bit at or above the length
+wanted. When one more has to open, the fullest closes.
 """
 
 import zlib
@@ -16,7 +17,7 @@ from wareloom.llm.common import run_tables
 from wareloom.llm.tokenizing import RANKS, text_tokenizer
 
 LENGTH = 2048
-OPEN_BINS = 16_384
+OPEN_BINS = 512
 PIECES_PER_PACKER = 40_000
 END = b"\x00\x00\x00\x00"
 
@@ -126,6 +127,6 @@ def pack_documents(docs, length=LENGTH, tokenizer=RANKS, open_bins=OPEN_BINS, pi
     )
     short = pieces.filter(F.col("length") < length)
     packers = max(1, -(-short.count() // pieces_per_packer))
-    dealt = short.repartition(packers, "lot").sortWithinPartitions(F.desc("length"), "lot", "doc_id", "piece")
+    dealt = short.repartition(packers, "lot").sortWithinPartitions("lot", "doc_id", "piece")
     schema = PIECES.replace(", lot bigint", ", sequence_id bigint, offset bigint")
     return full.unionByName(dealt.select(*_NAMES).mapInArrow(_pack(length, open_bins), schema))
