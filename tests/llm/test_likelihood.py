@@ -105,11 +105,14 @@ def plain_learned(rows):
     for doc_id, text in rows:
         if not held_out(doc_id):
             counts.update(plain_words(text))
-    expected = np.zeros(len(pieces))
-    likelihood.add_expected(pieces, pieces.scores, list(counts), list(counts.values()), expected)
-    expected[pieces.end] = sum(not held_out(doc_id) for doc_id, _ in rows)
-    weights = expected + likelihood.PRIOR * np.exp(pieces.scores)
-    return np.log(weights / weights.sum())
+    scores = pieces.scores
+    for _ in range(likelihood.ROUNDS):
+        expected = np.zeros(len(pieces))
+        likelihood.add_expected(pieces, scores, list(counts), list(counts.values()), expected)
+        expected[pieces.end] = sum(not held_out(doc_id) for doc_id, _ in rows)
+        weights = expected + likelihood.PRIOR * np.exp(pieces.scores)
+        scores = np.log(weights / weights.sum())
+    return scores
 
 
 def check(got, rows):

@@ -24,7 +24,7 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 HELD_OUT_ONE_IN = 10
 ADDED = 0.1
 
-ROUNDS = 1
+ROUNDS = 3
 # Tokens of prior weight, spread over the pieces as the vocabulary's scores have them.
 PRIOR = 1000.0
 
