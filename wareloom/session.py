@@ -1,5 +1,6 @@
 """Shared-folder tables that cut lineage between the stages of a run."""
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def checkpoint_root(spark):
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wareloom-"))
         current = context.getCheckpointDir()

@@ -201,13 +201,14 @@ def recrawled_indexes(spark, sf_dir):
 
 
 def product_pages(spark, sf_dir):
-    """Page HTML with a JSON-LD script made from the part of the same number.
+    """Page HTML with a JSON-LD script made from the part of the same number, counted round.
 
     By page number: a multiple of ten less one has malformed JSON; of the others,
     every third has a single product, the next one a graph, and the rest no script.
     """
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    pages = table(spark, sf_dir, "pages").join(parts, F.col("page_id") == F.col("p_partkey"))
+    # Beyond the number of parts they are used again, so that no page goes without one.
+    pages = table(spark, sf_dir, "pages").join(parts, F.col("page_id") % max(1, parts.count()) == F.col("p_partkey"))
     number = F.col("page_id")
     fields = F.concat(
         F.lit('"sku":"'), number.cast("string"), F.lit('", "offers":{"priceCurrency":"EUR","price":'),
@@ -231,10 +232,10 @@ def product_pages(spark, sf_dir):
 
 
 def page_events(spark, sf_dir):
-    """Events with the page their user number names, in event order."""
+    """Events with the page their user number names, counted round, in event order."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return events.join(pages, F.col("user_id") == F.col("page_id")).select(
+    return events.join(pages, F.col("user_id") % max(1, pages.count()) == F.col("page_id")).select(
         "event_id", "ts", "event_type", "value", "page_id", "url"
     )
 
