@@ -267,3 +267,59 @@ def test_slots_at_starts_of_sentences_and_of_money(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {row.doc_id: row.item_id for row in decontamination.find_contaminated(docs, bench).collect() if row.contaminated}
     assert found == {1: 1, 2: 1, 4: 2}
+
+
+def shops(spark, bodies):
+    """Main texts of pages of one host."""
+    pages = spark.createDataFrame(
+        [(i, f"http://shop.example.com/{i}", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)], PAGES
+    )
+    return [row.text for row in extraction.extract_pages(pages).orderBy("page_id").collect()]
+
+
+def test_texts_in_no_fixed_order_are_not_of_the_template(spark):
+    """On every page once like the page itself, but two of them change places and one goes anywhere."""
+    bodies, wanted = [], []
+    for i in range(12):
+        lines = ["Nice", f"Own text {i}", "Cheap"][:: 1 - 2 * (i % 2)]
+        roaming = "<p>Anywhere</p>"
+        parts = ["<div><b>Shop of things</b></div>", "<div><u>Since 1900</u></div>", "".join(f"<p>{line}</p>" for line in lines), "<div><i>All rights</i></div>"]
+        parts.insert(i % 5, roaming)
+        bodies.append("".join(parts))
+        lines.insert(3 if i % 5 > 2 else 0, "Anywhere")
+        wanted.append("\n".join(lines))
+    assert shops(spark, bodies) == wanted
+
+
+def test_classes_that_are_not_nested_are_not_of_the_template(spark):
+    """Boxes (<table>, with a text of their own) that stand in one gap of the page's class on some pages, in another on others."""
+    box = "<table><tr><td>Box text</table>"
+    fixed = [f"<div><b>Shop of things</b></div>{box * (1 + i % 2)}<div><i>All rights</i></div><p>Own text {i}</p>" for i in range(12)]
+    assert shops(spark, fixed) == [f"Own text {i}" for i in range(12)]
+    moving = [
+        f"{box * (i % 3 == 0)}<div><b>Shop of things</b></div>{box * (1 + i % 2)}<div><i>All rights</i></div><p>Own text {i}</p>" for i in range(12)
+    ]
+    assert shops(spark, moving) == ["\n".join(["Box text"] * ((i % 3 == 0) + 1 + i % 2) + [f"Own text {i}"]) for i in range(12)]
+
+
+def test_order_of_a_class():
+    place = {token: at for at, token in enumerate("abcdef")}
+    for found, moved in (("abcdef", ""), ("abcdef" * 3, ""), ("bacdef", "ab"), ("bcdeaf", "a"), ("abcdefbcdefa", "a"), ("fabcde", "f")):
+        assert extraction.out_of_order(list(found), place) == set(moved)
+    # What is left of an occurrence is in each of them, in one order.
+    assert extraction.out_of_order(list("abcdfeabecdf"), place) >= set("e")
+
+
+def test_places_of_classes():
+    class_of = dict(A=0, B=0, C=0, d=1, e=1, f=2, g=2)
+    sizes = {0: 3, 1: 2, 2: 2}
+    places = extraction.page_places("AdedeBfgC", class_of, sizes)
+    assert places == ({(0, -1, 0), (1, 0, 1), (2, 0, 2)}, set())
+    assert extraction.page_places("AdBeCfg", class_of, sizes) == ({(0, -1, 0), (1, 0, 1), (2, -1, 0)}, {1})
+    assert extraction.page_places("ABCdfeg", class_of, sizes)[1] == {2}
+    rows = [(0, -1, 0, 0), (1, 0, 1, 0), (2, 1, 1, 0), (3, 2, 1, 0), (3, 1, 1, 0)]
+    # 3 lies in 2 on some pages only, so one of them goes; without it, all have one place.
+    assert extraction.nested_classes(rows) == {0, 1, 2}
+    assert extraction.nested_classes([*rows[:2], (3, 1, 1, 0), (4, -1, 0, 0), (3, 4, 1, 0), (4, 1, 1, 0)]) == {0, 1}
+    assert extraction.nested_classes([(0, -1, 0, 0), (0, 1, 1, 0), (1, -1, 0, 0)]) == {0}
+    assert extraction.nested_classes([(0, -1, 0, 0), (1, 0, 1, 1)]) == {0}
