@@ -1,8 +1,14 @@
 import gzip
 import zlib
 
+import pyarrow as pa
+
+from conftest import SF
+from wareloom.functions import codecs
+from wareloom.operators import decode
 from wareloom.operators.decode import decode_captures, gunzip_sitemaps
 from wareloom.operators.sitemaps import parse_sitemaps
+from wareloom.sources import derived
 
 PAGE = b"<html>ok</html>"
 
@@ -73,3 +79,30 @@ def test_sitemap_files(captures):
     assert {r.url: r.decode_status for r in unpacked.collect()} == {u: c[3] for u, c in cases.items()}
     failed = {r.url: r.error for r in parse_sitemaps(unpacked).collect() if r.status == "failed"}
     assert failed == {"https://h/not-gzip.gz": "unexpected EOF"}
+
+
+def test_bodies_are_packed_and_decoded_in_slices():
+    """A worker holds the batch it is given and some MB besides, not all its bodies once more."""
+    bodies = [bytes([i]) * (1 << 20) for i in range(40)]
+    plain = pa.array([*bodies, None], pa.binary())
+    for forms in (["gzip"] * 41, ["none"] * 41, [None] * 41):
+        packed = list(derived._packed(iter([(plain, pa.array(["none"] * 41), pa.array(forms, pa.string()))])))
+        assert max(part.nbytes for part in packed) < 10 << 20
+        decoded = list(decode._decoder(codecs.decode_body).func(iter([(part, pa.array(["gzip"] * len(part))) for part in packed])))
+        assert max(part.nbytes for part in decoded) < 10 << 20
+        rows = [row for part in decoded for row in part.to_pylist()]
+        assert [row["body"] for row in rows] == [*bodies, None]
+        assert {row["decode_status"] for row in rows[:40]} == {"decoded" if forms[0] == "gzip" else "passthrough"}
+
+
+def test_bodies_pass_through_python_twice(spark):
+    """Once to be packed in all forms, once to be decoded; neither by way of pandas."""
+    plan = decode_captures(derived.packed_captures(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def test_pages_without_html(spark, run_dir):
+    rows = [(0, "a", None), (4, "b", "<p>"), (5, "c", None), (5, "d", "<p>"), (2, "e", "")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{run_dir}/pages.parquet")
+    got = {r.url: as_bytes(r.body) for r in decode_captures(derived.packed_captures(spark, run_dir)).collect()}
+    assert got == {"a": None, "b": b"<p>", "c": None, "d": b"<p>", "e": b""}
